@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES and ORACLES.
 MODULES = (
+    "quality_rules",
+    "token_counts",
+    "wavelet_shards",
     "bpe_codec",
 )
 
