@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Modules with QUERIES and ORACLES.
 MODULES = (
     "quality_rules",
+    "mixing",
     "token_counts",
     "wavelet_shards",
     "bpe_codec",
