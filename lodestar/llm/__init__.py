@@ -14,6 +14,7 @@ MODULES = (
     "token_counts",
     "wavelet_shards",
     "bpe_codec",
+    "dart_dedup",
 )
 
 
