@@ -13,6 +13,7 @@ MODULES = (
     "mixing",
     "token_counts",
     "wavelet_shards",
+    "multiset_hash",
     "bpe_codec",
     "dart_dedup",
 )
