@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES and ORACLES.
 MODULES = (
+    "factorization_toxicity",
     "quality_rules",
     "mixing",
     "token_counts",
     "wavelet_shards",
+    "fourier_quality",
     "multiset_hash",
     "bpe_codec",
     "dart_dedup",
