@@ -16,6 +16,7 @@ MODULES = (
     "wavelet_shards",
     "fourier_quality",
     "multiset_hash",
+    "page_text",
     "bpe_codec",
     "dart_dedup",
 )
