@@ -17,11 +17,11 @@ from __future__ import annotations
 
 import functools
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestar.llm.common import table, text_of
 from lodestar.llm.tokenizers_io import BYTE_BPE, byte_alphabet, library, path_of, vocabulary
@@ -145,33 +145,33 @@ def digests(docs: DataFrame, path: str = BYTE_BPE, id_column: str = "doc_id", te
     """
     place = path_of(path)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digested(texts: pd.Series) -> pd.DataFrame:
         own = codec(place)
-        for frame in frames:
-            counts, ids, texts = [], [], []
-            for text in frame["text"]:
-                found = own.encoded(text)
-                counts.append(sum([x[1] for x in found]))
-                ids.append(hashlib.sha256(",".join([x[0] for x in found]).encode()).hexdigest())
-                texts.append(hashlib.sha256(b"".join([x[2] for x in found]).decode("utf-8", "replace").encode()).hexdigest())
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "n_tokens": counts, "ids_sha256": ids, "decoded_sha256": texts})
+        counts, ids, decoded = [], [], []
+        for text in texts:
+            found = own.encoded(text)
+            counts.append(sum([x[1] for x in found]))
+            ids.append(hashlib.sha256(",".join([x[0] for x in found]).encode()).hexdigest())
+            decoded.append(hashlib.sha256(b"".join([x[2] for x in found]).decode("utf-8", "replace").encode()).hexdigest())
+        return pd.DataFrame({"n_tokens": counts, "ids_sha256": ids, "decoded_sha256": decoded})
 
-    rows = docs.select(docs[id_column].cast("long").alias("doc_id"), text_of(docs, text_column).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    rows = docs.select(docs[id_column].cast("long").alias("doc_id"), digested(text_of(docs, text_column)).alias("found"))
+    return rows.select("doc_id", "found.*")
 
 
 def encode(docs: DataFrame, path: str = BYTE_BPE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The ids themselves: doc_id, token_ids array<int>, decoded string."""
     place = path_of(path)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("token_ids array<int>, decoded string")
+    def coded(texts: pd.Series) -> pd.DataFrame:
         own = codec(place)
-        for frame in frames:
-            ids = [own.encode(text) for text in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "token_ids": ids, "decoded": [own.decode(x) for x in ids]})
+        ids = [own.encode(text) for text in texts]
+        return pd.DataFrame({"token_ids": ids, "decoded": [own.decode(x) for x in ids]})
 
-    rows = docs.select(docs[id_column].cast("long").alias("doc_id"), text_of(docs, text_column).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, token_ids array<int>, decoded string")
+    rows = docs.select(docs[id_column].cast("long").alias("doc_id"), coded(text_of(docs, text_column)).alias("found"))
+    return rows.select("doc_id", "found.*")
 
 
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,11 +15,11 @@ each time) up to the whole rest of the text, which needs no splice.
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
 
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestar.llm.common import table, text_of
 from lodestar.llm.tokenizers_io import BYTE_BPE, library, path_of
@@ -115,24 +115,25 @@ def counts(docs: DataFrame, path: str = BYTE_BPE, limit: int = LIMIT, chunk: int
     """
     place = path_of(path)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("n_tokens long")
+    def counted(column: pd.Series) -> pd.DataFrame:
         tokenizer = library(place)
         spliced = Spliced(tokenizer, chunk, overlap)
-        for frame in frames:
-            texts = frame["text"].tolist()
-            short = [i for i, text in enumerate(texts) if len(text) <= chunk]
-            numbers = [0] * len(texts)
-            for k in range(0, len(short), 256):
-                part = short[k : k + 256]
-                for i, found in zip(part, tokenizer.encode_batch_fast([texts[i] for i in part], add_special_tokens=False), strict=True):
-                    numbers[i] = len(found)
-            for i, text in enumerate(texts):
-                if len(text) > chunk:
-                    numbers[i] = len(spliced.ids(text))
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "n_bytes": [len(x.encode()) for x in texts], "n_tokens": numbers, "over_limit": [n > limit for n in numbers]})
-
-    rows = docs.select(docs[id_column].cast("long").alias("doc_id"), text_of(docs, text_column).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+        texts = column.tolist()
+        numbers = [0] * len(texts)
+        short = [i for i, text in enumerate(texts) if len(text) <= chunk]
+        for k in range(0, len(short), 256):
+            part = short[k : k + 256]
+            for i, found in zip(part, tokenizer.encode_batch_fast([texts[i] for i in part], add_special_tokens=False), strict=True):
+                numbers[i] = len(found)
+        for i, text in enumerate(texts):
+            if len(text) > chunk:
+                numbers[i] = len(spliced.ids(text))
+        return pd.DataFrame({"n_tokens": numbers})
+
+    text = text_of(docs, text_column)
+    rows = docs.select(docs[id_column].cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), counted(text).alias("found"))
+    return rows.select("doc_id", "n_bytes", "found.n_tokens", (F.col("found.n_tokens") > limit).alias("over_limit"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
