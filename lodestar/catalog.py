@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES: tuple[str, ...] = ()
+_MODULES: tuple[str, ...] = (
+    "scans",
+    "vectors",
+    "lexical",
+)
 
 
 def _registered() -> dict[str, tuple[Query, str | None]]:
