@@ -12,6 +12,7 @@ _MODULES: tuple[str, ...] = (
     "scans",
     "vectors",
     "lexical",
+    "scoring",
 )
 
 

@@ -23,6 +23,15 @@ BLOCK, QUERIES = 4096, 1024
 METRICS = ("cosine", "dot", "l2")
 
 
+def squared_distances(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """queries x rows by one product; where that cancels, by the differences."""
+    a, b = (queries**2).sum(axis=1)[:, None], (rows**2).sum(axis=1)[None, :]
+    square = a - 2 * queries @ rows.T + b
+    i, j = np.nonzero(square < 1e-3 * (a + b))
+    square[i, j] = ((queries[i] - rows[j]) ** 2).sum(axis=1)
+    return square
+
+
 def scores(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
     """queries x rows, higher is better; l2 as 1 / (1 + distance)."""
     if metric == "cosine":
@@ -32,8 +41,7 @@ def scores(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
     if metric == "dot":
         return queries @ rows.T
     if metric == "l2":
-        square = (queries**2).sum(axis=1)[:, None] - 2 * queries @ rows.T + (rows**2).sum(axis=1)[None, :]
-        return 1 / (1 + np.sqrt(np.maximum(square, 0)))
+        return 1 / (1 + np.sqrt(squared_distances(queries, rows)))
     raise ValueError(f"unknown metric {metric}")
 
 
@@ -312,7 +320,7 @@ def near_pairs(rows: DataFrame, radius: float, centres: np.ndarray) -> DataFrame
             for some, asks in zip(frame["rows"], frame["asks"], strict=True):
                 ids, others = np.array([r["id"] for r in some]), np.array([r["other"] for r in asks])
                 x, y = np.array([r["vector"] for r in some], float), np.array([r["o"] for r in asks], float)
-                d = np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ y.T + (y**2).sum(axis=1)[None, :], 0))
+                d = np.sqrt(squared_distances(x, y))
                 i, j = np.nonzero((d <= radius) & (ids[:, None] < others[None, :]))
                 yield pd.DataFrame({"a": ids[i], "b": others[j], "distance": d[i, j]})
 

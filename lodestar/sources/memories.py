@@ -21,6 +21,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def epoch_ms(column: str = "ts"):
+    """Milliseconds of a timestamp without zone, whatever the session's zone."""
+    return F.expr(f"timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', {column})")
+
+
 def _choice(index, names):
     return F.element_at(F.array(*[F.lit(n) for n in names]), (index + 1).cast("int"))
 
@@ -99,8 +104,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     e = read(spark, sf_dir, "events")
-    ms = F.unix_micros("ts") / F.lit(1000)
-    rows = e.select(F.col("event_id").alias("fact_id"), F.col("user_id").alias("subject"), F.col("event_type").alias("predicate"), F.get_json_object("props", "$.k").cast("long").alias("object"), F.floor(ms).cast("long").alias("valid_from"), "event_id")
+    rows = e.select(F.col("event_id").alias("fact_id"), F.col("user_id").alias("subject"), F.col("event_type").alias("predicate"), F.get_json_object("props", "$.k").cast("long").alias("object"), epoch_ms().alias("valid_from"), "event_id")
     order = Window.partitionBy("subject", "predicate").orderBy("valid_from", "fact_id")
     return rows.select(
         "fact_id", "subject", "predicate", "object", "valid_from",
@@ -127,7 +131,7 @@ def wal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log of changes: sequence, kind, memory_id, ts_ms, payload."""
     e = read(spark, sf_dir, "events")
     kind = F.when(F.col("event_type") == "purchase", "REMEMBER").when(F.col("event_type") == "error", "FORGET").otherwise("REINFORCE")
-    return e.select(F.col("event_id").alias("sequence"), kind.alias("kind"), F.col("user_id").alias("memory_id"), F.floor(F.unix_micros("ts") / F.lit(1000)).cast("long").alias("ts_ms"), F.col("value").alias("payload"))
+    return e.select(F.col("event_id").alias("sequence"), kind.alias("kind"), F.col("user_id").alias("memory_id"), epoch_ms().alias("ts_ms"), F.col("value").alias("payload"))
 
 
 WAL_SQL = """
