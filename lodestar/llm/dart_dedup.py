@@ -16,10 +16,10 @@ a similarity of 0.8 a pair misses all 64 bands of 8 with a probability of 8e-6.
 Exact links without all pairs of a group. Exact copies are one node (grouped by md5)
 from the start. In each bucket all nodes are held against one centre, and pairs are
 checked exactly on the whole sets of shingles. The classes so far settle most
-buckets: all their nodes are in one class. Others get new centres, a few times;
-what is then left is checked pair by pair, but only between nodes of different
-classes that share a bucket. No link between classes is lost, none within one
-matters to the result.
+buckets: all their nodes are in one class. Others get new centres as long as that
+helps. What is then left is compared exactly, but only between nodes of different
+classes that share a bucket, and in blocks where that is many. No link between
+classes is lost, none within one matters to the result.
 """
 
 from __future__ import annotations
@@ -39,8 +39,14 @@ from lodestar.llm.shingles import WORDS, mixed, shingles
 
 SIMILARITY = 0.8
 BANDS, ROWS = 64, 8
-#: Rounds of centres at most; what they leave is checked pair by pair.
-ROUNDS = 6
+#: What rounding may take from a similarity that is the threshold exactly.
+EDGE = 1e-9
+#: Further rounds of centres at most; what they leave is checked pair by pair.
+ROUNDS = 3
+#: Buckets with more pairs than this between classes are compared in blocks.
+PAIRS = 64
+#: Bytes of the sets of a block, and of a chunk of probes, about.
+BLOCK_BYTES, PROBE_BYTES = 1 << 20, 4 << 20
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _CELL = np.uint64(0x9E3779B97F4A7C15)
 _DART = np.uint64(0xD1B54A32D192ED03)
@@ -149,31 +155,98 @@ def bucket_rows(nodes: DataFrame, weights: str = "one", n: int = WORDS, bands: i
     return nodes.mapInPandas(run, "node long, buckets array<long>").select(F.explode("buckets").alias("bucket"), "node")
 
 
+def expanded(elements: np.ndarray, counts: np.ndarray | None) -> np.ndarray:
+    """A multiset as a set: an element that occurs n times stands for n elements. The
+    Jaccard similarity of such sets is the weighted one of the multisets."""
+    if counts is None:
+        return elements
+    times = counts.astype(np.int64)
+    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    return np.unique(mixed(np.repeat(elements, times) + nth.astype(np.uint64) * _LEVEL))
+
+
 def element_rows(nodes: DataFrame, weights: str = "one", n: int = WORDS) -> DataFrame:
-    """node, text -> (node, elements, counts): the sets as packed 64-bit numbers."""
+    """node, text -> (node, elements): the sets as packed sorted 64-bit numbers."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            sets = [weighed(text, weights, n) for text in frame["text"]]
-            yield pd.DataFrame({"node": frame["node"], "elements": [e.tobytes() for e, _ in sets], "counts": [None if c is None else c.tobytes() for _, c in sets]})
+            yield pd.DataFrame({"node": frame["node"], "elements": [expanded(*weighed(text, weights, n)).tobytes() for text in frame["text"]]})
 
-    return nodes.mapInPandas(run, "node long, elements binary, counts binary")
+    return nodes.mapInPandas(run, "node long, elements binary")
 
 
 def checked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose exact similarity reaches the threshold."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def read(elements, counts):
-            return np.frombuffer(elements, np.uint64), None if counts is None else np.frombuffer(counts, float)
-
         for frame in frames:
-            near = [similarity(read(w, x), read(y, z)) >= threshold for w, x, y, z in zip(frame["ae"], frame["ac"], frame["be"], frame["bc"], strict=True)]
+            near = [similarity((np.frombuffer(x, np.uint64), None), (np.frombuffer(y, np.uint64), None)) >= threshold - EDGE for x, y in zip(frame["ae"], frame["be"], strict=True)]
             yield frame.loc[near, ["a", "b"]]
 
-    left = sets.select(F.col("node").alias("a"), F.col("elements").alias("ae"), F.col("counts").alias("ac"))
-    right = sets.select(F.col("node").alias("b"), F.col("elements").alias("be"), F.col("counts").alias("bc"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ae", "ac", "be", "bc").mapInPandas(run, "a long, b long")
+    left = sets.select(F.col("node").alias("a"), F.col("elements").alias("ae"))
+    right = sets.select(F.col("node").alias("b"), F.col("elements").alias("be"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ae", "be").mapInPandas(run, "a long, b long")
+
+
+def links_of_block(base: list[np.ndarray], base_labels: np.ndarray, probes: list[np.ndarray], probe_labels: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """(probe, base) of near pairs with different labels, one for each probe and label.
+
+    The base's sets as postings: what a probe shares with all of them is one count over
+    the postings of its elements.
+    """
+    values = np.concatenate(base)
+    order = np.argsort(values, kind="stable")
+    owners = np.repeat(np.arange(len(base)), [len(x) for x in base])[order]
+    known, begins = np.unique(values[order], return_index=True)
+    ends = np.append(begins[1:], len(values))
+    sizes = np.array([len(x) for x in base])
+    found = []
+    for i, probe in enumerate(probes):
+        at = np.minimum(np.searchsorted(known, probe), len(known) - 1)
+        at = at[known[at] == probe]
+        lengths = ends[at] - begins[at]
+        offsets = np.repeat(begins[at] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+        common = np.bincount(owners[offsets], minlength=len(base))
+        near = np.flatnonzero((common >= (threshold - EDGE) * (sizes + len(probe) - common)) & (base_labels != probe_labels[i]) & (common > 0))
+        _, first = np.unique(base_labels[near], return_index=True)
+        found += [(i, int(j)) for j in near[first]]
+    return found
+
+
+def block_links(held: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links between different classes within the buckets of bucket, node, label, main.
+
+    ``main`` is the class with the most nodes of a bucket. Its bucket's other nodes are
+    probes, held against all nodes of the bucket in blocks: a block has about
+    BLOCK_BYTES of sets, a chunk of probes PROBE_BYTES, so a group's memory is bounded
+    whatever the bucket's size, and no pair becomes a row unless it is a link.
+    """
+    rows = held.join(sets, "node").withColumn("weight", F.octet_length("elements") + 64)
+    probe = F.col("label") != F.col("main")
+    totals = rows.groupBy("bucket").agg(F.sum("weight").alias("all"), F.sum(F.when(probe, F.col("weight")).otherwise(0)).alias("other"))
+    rows = rows.join(totals, "bucket").select(
+        "bucket", "node", "label", "elements", probe.alias("probe"),
+        F.ceil(F.col("all") / F.lit(BLOCK_BYTES)).cast("int").alias("blocks"), F.ceil(F.greatest("other", F.lit(1)) / F.lit(PROBE_BYTES)).cast("int").alias("chunks"),
+    )
+    own_block = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
+    own_chunk = F.pmod(F.xxhash64("node", F.lit(2)), F.col("chunks")).cast("int")
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    at_base = F.transform(every(F.col("chunks")), lambda c: F.struct(own_block.alias("block"), c.alias("chunk"), F.lit(False).alias("asks")))
+    at_probe = F.transform(every(F.col("blocks")), lambda b: F.struct(b.alias("block"), own_chunk.alias("chunk"), F.lit(True).alias("asks")))
+    places = F.when(F.col("probe"), F.concat(at_base, at_probe)).otherwise(at_base)
+    placed = rows.withColumn("place", F.explode(places)).select("bucket", "place.*", "node", "label", "elements")
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        asks = frame["asks"].to_numpy()
+        base, probes = frame[~asks], frame[asks]
+        if not len(base) or not len(probes):
+            return pd.DataFrame({"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64")})
+        read = lambda rows: [np.frombuffer(x, np.uint64) for x in rows["elements"]]
+        found = links_of_block(read(base), base["label"].to_numpy(), read(probes), probes["label"].to_numpy(), threshold)
+        first, second = base["node"].to_numpy(), probes["node"].to_numpy()
+        return pd.DataFrame({"a": [second[i] for i, _ in found], "b": [first[j] for _, j in found]}, dtype="int64")
+
+    return placed.groupBy("bucket", "block", "chunk").applyInPandas(run, "a long, b long")
 
 
 def node_labels(nodes: DataFrame, threshold: float = SIMILARITY, weights: str = "one", n: int = WORDS, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
@@ -188,28 +261,33 @@ def node_labels(nodes: DataFrame, threshold: float = SIMILARITY, weights: str =
     pairs = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     labels = components(checked(pairs, sets, threshold))
     open_rows = members.select("bucket", "node")
-    for turn in range(rounds):
+    before = None
+    for turn in range(rounds + 1):
         held = open_rows.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
         unsettled = held.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high")
         held = written(held.join(unsettled, "bucket"), "unsettled")
-        if not held.take(1):
+        # Each bucket's class with the most nodes there, a node of it, and the pairs left.
+        order = F.struct(F.xxhash64("bucket", "node", F.lit(turn)).alias("o"), F.col("node").alias("centre"))
+        sizes = held.groupBy("bucket", "label").agg(F.count("*").alias("c"), F.min(order).alias("m"), F.first("size").alias("size"))
+        tops = sizes.groupBy("bucket").agg(F.max(F.struct("c", "m", "label")).alias("m"), (F.sum(F.col("c") * (F.col("size") - F.col("c"))) / 2).alias("pairs"))
+        tops = written(tops.select("bucket", F.col("m.m.centre").alias("centre"), F.col("m.label").alias("main"), "pairs"), "tops")
+        left = tops.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("n")).first()["n"]
+        if not left:
             return labels
         open_rows = held.select("bucket", "node")
-        sizes = held.groupBy("bucket", "label").agg(F.count("*").alias("c"), F.first("size").alias("size"))
-        work = sizes.agg((F.sum(F.col("c") * (F.col("size") - F.col("c"))) / 2).alias("pairs"), F.sum("c").alias("rows")).first()
-        if turn == rounds - 1 or work["pairs"] <= 4 * work["rows"]:
-            break
-        # A new centre, another one in each bucket and round, of the class with the
-        # most nodes there: the most likely to be near to the others.
-        order = F.struct(F.xxhash64("bucket", "node", F.lit(turn)).alias("o"), F.col("node").alias("centre"), F.col("label").alias("centre_label"))
-        first = held.groupBy("bucket", "label").agg(F.count("*").alias("c"), F.min(order).alias("m"))
-        most = first.groupBy("bucket").agg(F.max(F.struct("c", "m")).alias("m")).select("bucket", F.col("m.m.centre").alias("centre"), F.col("m.m.centre_label").alias("centre_label"))
-        pairs = held.join(most, "bucket").where("label <> centre_label").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+        if turn == rounds or (before is not None and left > 0.7 * before):
+            break  # centres don't settle any more
+        before = left
+        # The most likely to be near to the others: a node of the largest class there.
+        pairs = held.join(tops, "bucket").where("label <> main").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
         labels = components(checked(pairs, sets, threshold), labels)
-    left = held.select("bucket", F.col("node").alias("a"), F.col("label").alias("la"))
-    right = held.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"))
-    pairs = left.join(right, "bucket").where("la < lb").select("a", "b").distinct()
-    return components(checked(pairs, sets, threshold), labels)
+    held = held.join(tops, "bucket").select("bucket", "node", "label", "main", "pairs")
+    few = held.where(F.col("pairs") <= PAIRS)
+    one = few.select("bucket", F.col("node").alias("a"), F.col("label").alias("la"))
+    other = few.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"))
+    pairs = one.join(other, "bucket").where("la < lb").select("a", "b").distinct()
+    links = checked(pairs, sets, threshold).unionByName(block_links(held.where(F.col("pairs") > PAIRS), sets, threshold))
+    return components(links, labels)
 
 
 def one_of_each(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
@@ -222,7 +300,7 @@ def one_of_each(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     keep, key = internal(docs, "__keep"), internal(docs, "__node")
     text = text_of(docs)
     node = F.coalesce(docs["doc_id"].cast("long"), -F.shiftrightunsigned(F.xxhash64(text), 2) - 1)
-    kept = written(found.groupBy("label").agg(F.min("node").alias(key)).select(key).distinct(), "kept")
+    kept = written(found.groupBy("label").agg(F.coalesce(F.min("doc_id"), F.min("node")).alias(key)).select(key).distinct(), "kept")
     rows = docs.withColumn(key, node).join(small(kept, kept.count(), 8), key, "left_semi")
     repeated = written(rows.groupBy(key).agg(F.count("*").alias(keep)).where(F.col(keep) > 1).select(key), "repeated")
     many = repeated.count()
@@ -274,7 +352,7 @@ pos AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS p FROM
 sh AS (SELECT DISTINCT doc_id, ws[p:p + 4] AS s FROM pos),
 n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
 common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
-near AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8::DOUBLE * (x.n + y.n - c)
+near AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 5 * c >= 4 * (x.n + y.n - c)
          UNION SELECT x.doc_id, y.doc_id FROM w x JOIN w y ON x.text = y.text AND x.doc_id < y.doc_id),
 link AS (SELECT a, b FROM near UNION SELECT b, a FROM near),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
