@@ -35,7 +35,7 @@ class Mix:
 
 MIX = Mix()
 #: A block of one size is cut if it has more documents than this and than 1/2000 of all.
-BLOCK = 4096
+BLOCK = 512
 BLOCKS = 2000
 
 
