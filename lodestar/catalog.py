@@ -13,6 +13,9 @@ _MODULES: tuple[str, ...] = (
     "vectors",
     "lexical",
     "scoring",
+    "graphs",
+    "records",
+    "functions_",
 )
 
 

@@ -138,7 +138,7 @@ _LAST_MS = 1_706_572_800_000
 _add(
     "habituation_and_inhibition",
     lambda spark, sf_dir: r.habituated(memories(spark, sf_dir).select("id", F.col("importance").alias("score")), uses(spark, sf_dir), _LAST_MS).select("id", F.round("penalty", 6).alias("penalty"), F.round("score", 6).alias("score")),
-    f"""WITH {MEMORIES_SQL}, u AS (SELECT user_id AS id, epoch_ms(ts) AS t FROM events WHERE event_type = 'click'), n AS (SELECT id, count(*) AS n, max(t) AS last FROM u GROUP BY id),
+    f"""WITH {MEMORIES_SQL}, u AS (SELECT user_id AS id, (epoch_us(ts) // 1000) AS t FROM events WHERE event_type = 'click'), n AS (SELECT id, count(*) AS n, max(t) AS last FROM u GROUP BY id),
       f AS (SELECT DISTINCT id FROM (SELECT id FROM u ORDER BY t DESC, id LIMIT 10)),
       p AS (SELECT mem.id, importance, least(CASE WHEN n IS NULL THEN 1 ELSE 1 / (1 + (n - 1) * 0.2::DOUBLE) END, coalesce(0.1::DOUBLE + 0.9::DOUBLE * least(greatest(({_LAST_MS} - last) / 300000, 0), 1), 1))
         * CASE WHEN f.id IS NULL THEN 1 ELSE 0.5::DOUBLE END AS penalty FROM mem LEFT JOIN n USING (id) LEFT JOIN f ON f.id = mem.id)
@@ -156,7 +156,7 @@ def act_r(spark, sf_dir):
 _add(
     "act_r_activation",
     act_r,
-    f"""WITH {MEMORIES_SQL}, u AS (SELECT user_id AS id, epoch_ms(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS n FROM events WHERE event_type = 'click'),
+    f"""WITH {MEMORIES_SQL}, u AS (SELECT user_id AS id, (epoch_us(ts) // 1000) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS n FROM events WHERE event_type = 'click'),
       a AS (SELECT id, {NOW_MS} - least(t, {NOW_MS} - 1000) AS age FROM u WHERE n <= 3), b AS (SELECT id, {BUCKET_SQL} AS b FROM a), d AS (SELECT id, sum({DECAY_SQL.format(b='b')}) AS s FROM b GROUP BY id),
       m AS (SELECT id, {BUCKET_SQL} AS b FROM (SELECT id, {NOW_MS} - ts_ms AS age FROM mem)), t AS (SELECT m.id, d.s + {DECAY_SQL.format(b='b')} AS s FROM m LEFT JOIN d USING (id))
       SELECT id, round(CASE WHEN s IS NULL THEN -1 ELSE s / (s + 1) END, 6) AS activation FROM t""",
@@ -179,7 +179,7 @@ def auto_ltp(spark, sf_dir, cooldown_ms: int = 300_000):
 _add(
     "auto_ltp",
     auto_ltp,
-    f"""WITH {MEMORIES_SQL}, u AS (SELECT DISTINCT user_id AS id, epoch_ms(ts) AS t FROM events WHERE event_type = 'click'), g AS (SELECT id, t - lag(t) OVER (PARTITION BY id ORDER BY t) AS gap FROM u),
+    f"""WITH {MEMORIES_SQL}, u AS (SELECT DISTINCT user_id AS id, (epoch_us(ts) // 1000) AS t FROM events WHERE event_type = 'click'), g AS (SELECT id, t - lag(t) OVER (PARTITION BY id ORDER BY t) AS gap FROM u),
       n AS (SELECT id, count(*) AS n FROM g WHERE gap IS NULL OR gap >= 300000 GROUP BY id)
       SELECT mem.id, auto_recalls + n AS auto_recalls, round(least(strength + n * 0.05::DOUBLE, 5), 6) AS strength FROM mem JOIN n USING (id)""",
 )
@@ -219,7 +219,7 @@ def dual_surprise(spark, sf_dir):
 _add(
     "dual_surprise",
     dual_surprise,
-    """WITH e AS (SELECT *, (epoch_ms(ts) - lag(epoch_ms(ts)) OVER (PARTITION BY event_type ORDER BY ts, event_id)) / 1e3 AS gap FROM events),
+    """WITH e AS (SELECT *, ((epoch_us(ts) // 1000) - lag((epoch_us(ts) // 1000)) OVER (PARTITION BY event_type ORDER BY ts, event_id)) / 1e3 AS gap FROM events),
       w AS (SELECT event_id, value, gap, count(value) OVER p AS n, avg(value) OVER p AS m, stddev_pop(value) OVER p AS s, count(gap) OVER p AS gn, avg(gap) OVER p AS gm, stddev_pop(gap) OVER p AS gs FROM e
         WINDOW p AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
       z AS (SELECT event_id, 0.6::DOUBLE * CASE WHEN n >= 20 AND s > 1e-12 THEN (value - m) / s ELSE 0 END + 0.4::DOUBLE * CASE WHEN gn >= 20 AND gs > 1e-12 THEN coalesce((gap - gm) / gs, 0) ELSE 0 END AS z FROM w)

@@ -119,11 +119,11 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 FACTS_SQL = """
 fact AS (
   SELECT event_id AS fact_id, user_id AS subject, event_type AS predicate, (props ->> '$.k')::BIGINT AS object,
-    epoch_ms(ts) AS valid_from,
-    coalesce(lead(epoch_ms(ts)) OVER w, 9223372036854775807) AS valid_to,
-    epoch_ms(ts) + (event_id % 5) * 86400000 AS tx_time, (event_id % 100) / 100::DOUBLE AS confidence,
+    (epoch_us(ts) // 1000) AS valid_from,
+    coalesce(lead((epoch_us(ts) // 1000)) OVER w, 9223372036854775807) AS valid_to,
+    (epoch_us(ts) // 1000) + (event_id % 5) * 86400000 AS tx_time, (event_id % 100) / 100::DOUBLE AS confidence,
     CASE WHEN event_id % 37 = 0 THEN lag(event_id) OVER w END AS retracts, event_id % 8 = 0 AS inferred
-  FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY epoch_ms(ts), event_id))
+  FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY (epoch_us(ts) // 1000), event_id))
 """
 
 
@@ -136,5 +136,5 @@ def wal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 WAL_SQL = """
 wal AS (SELECT event_id AS sequence, CASE event_type WHEN 'purchase' THEN 'REMEMBER' WHEN 'error' THEN 'FORGET' ELSE 'REINFORCE' END AS kind,
-  user_id AS memory_id, epoch_ms(ts) AS ts_ms, value AS payload FROM events)
+  user_id AS memory_id, (epoch_us(ts) // 1000) AS ts_ms, value AS payload FROM events)
 """
