@@ -1,0 +1,54 @@
+"""Registered queries run, with an oracle where there is one."""
+
+from __future__ import annotations
+
+import glob
+import math
+import os
+
+import pytest
+
+from lodestar import catalog
+
+FOLDER = "/root/testdata/sf0.001"
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+NAMES = sorted(catalog.queries()) if os.path.isdir(FOLDER) else []
+
+
+def plain(value):
+    if isinstance(value, float):
+        return "nan" if math.isnan(value) else round(value, 5)
+    if isinstance(value, (list, tuple)):
+        return tuple(map(plain, value))
+    return value
+
+
+@pytest.fixture(scope="module")
+def duck():
+    import duckdb
+
+    con = duckdb.connect()
+    for name in TABLES:
+        path = f"{FOLDER}/{name}.parquet"
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet({glob.glob(path + '/*.parquet') or [path]!r})")
+    return con
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_query(spark, duck, name):
+    found = catalog.queries()[name](spark, FOLDER)
+    rows = found.collect()
+    sql = catalog.oracle_sql().get(name)
+    if sql is None:
+        assert rows
+        return
+    relation = duck.sql(sql)
+    columns = list(relation.columns)
+    assert sorted(columns) == sorted(found.columns)
+    want = [tuple(map(plain, r)) for r in relation.fetchall()]
+    got = [tuple(plain(r[c]) for c in columns) for r in rows]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_names_and_oracles_agree():
+    assert set(catalog.oracle_sql()) <= set(catalog.queries())
