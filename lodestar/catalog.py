@@ -16,6 +16,7 @@ _MODULES: tuple[str, ...] = (
     "graphs",
     "records",
     "functions_",
+    "recalls",
 )
 
 

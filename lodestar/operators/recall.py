@@ -279,3 +279,56 @@ def integrated_information(groups: DataFrame, regularization: float = 1e-3) -> D
         return pd.DataFrame({"group_id": [frame["group_id"].iloc[0]], "phi": [float(phi)], "n": [len(x)]})
 
     return groups.groupBy("group_id").applyInPandas(run, "group_id long, phi double, n int")
+
+
+def predictive_boost(scored: DataFrame, tags: DataFrame, edges: DataFrame, factor: float = 0.3, context: int = 3) -> DataFrame:
+    """Scores times 1 + w * factor, w the heaviest learnt edge from a tag of a query's
+    first results to a tag of the row.
+
+    scored: query_id, id, score, rank; tags: id, tags; edges: src, dst, weight.
+    """
+    tagged = scored.join(tags.select("id", "tags"), "id")
+    before = tagged.where(F.col("rank") <= context).select("query_id", F.explode("tags").alias("src")).distinct()
+    after = tagged.select("query_id", "id", F.explode("tags").alias("dst"))
+    found = before.join(edges, "src").join(after, ["query_id", "dst"]).groupBy("query_id", "id").agg(F.max("weight").alias("w"))
+    rows = scored.join(found, ["query_id", "id"], "left")
+    return rows.withColumn("score", F.col("score") * (1.0 + F.coalesce("w", F.lit(0.0)) * factor)).drop("w")
+
+
+def associative_mask(recent: DataFrame, pairs: DataFrame, bits: DataFrame, fade: float = 0.85, last: int = 20, each: int = 5, most: int = 10) -> DataFrame:
+    """One row: the tags most associated with recently recalled ones, as a mask.
+
+    recent: tag, age (recalls ago); pairs: tag, other, n, place; bits: tag, bit.
+    """
+    weight = recent.where(F.col("age") < last).groupBy("tag").agg(F.max(F.pow(F.lit(fade), F.col("age"))).alias("w"))
+    best = weight.join(pairs.where(F.col("place") <= each), "tag").groupBy(F.col("other").alias("tag")).agg(F.max(F.col("w") * F.col("n")).alias("s"))
+    chosen = best.orderBy(F.desc("s"), "tag").limit(most)
+    return chosen.join(bits, "tag").agg(F.coalesce(F.expr("bit_or(bit)"), F.lit(0).cast("long")).alias("mask"), F.sort_array(F.collect_list("tag")).alias("tags"))
+
+
+def importance_of(rows: DataFrame, novelty: Column, hints: tuple[Column, Column, Column] | None, topic: Column, self_: Column, agent: Column, z: Column) -> DataFrame:
+    """importance, pinned: novelty or hints, times the boosts; a flashbulb overrides."""
+    base = s.surprise_importance(novelty) if hints is None else s.icnu(hints[0], hints[1], novelty, hints[2])
+    value = F.least(F.greatest(base * topic * self_ * agent, F.lit(0.05)), F.lit(10.0))
+    bulb = s.flashbulb(z, value)
+    return rows.withColumn("importance", bulb["importance"]).withColumn("pinned", bulb["pinned"])
+
+
+def free_energy_rerank(scored: DataFrame, alpha: float = 0.5, beta: float = 0.3, gamma: float = 0.2) -> DataFrame:
+    """alpha * similarity + beta * sigmoid(free-energy gain) + gamma * affective likeness.
+
+    scored: similarity, gain and affect columns beside query_id, id.
+    """
+    value = alpha * F.col("similarity") + beta / (1.0 + F.exp(-F.col("gain"))) + gamma * F.col("affect")
+    return scored.withColumn("score", value)
+
+
+def workspace(scored: DataFrame, places: int = 7) -> DataFrame:
+    """What of each query's results is held at once: the best few."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= places)
+
+
+def replay_scores(rows: DataFrame) -> DataFrame:
+    """Replayed rows have no similarity: every one counts half."""
+    return rows.withColumn("score", F.lit(0.5))

@@ -321,3 +321,43 @@ def test_connectors_name_what_they_need(spark):
         files.connected(spark, "slack", channel="c")
     files.plug_in("slack", lambda s, o: s.createDataFrame([(o["channel"],)], "c string"))
     assert files.connected(spark, "slack", channel="c").first()["c"] == "c"
+
+
+# ---- the engine -----------------------------------------------------------------------
+
+
+def test_pathway_policies(spark):
+    from lodestar.operators.pathway import Pathway
+
+    rows = spark.range(5)
+    path = Pathway().relay("a", lambda df: df.where("id > 1")).gated("b", lambda df: False, lambda df: df.limit(0)).relay("c", lambda df: df.select("nope"), policy="DEGRADE").divergent("d", [lambda df: df, lambda df: df], lambda parts: parts[0].unionByName(parts[1]))
+    assert path.run(rows).count() == 6
+    assert path.trace == ["a: done", "b: skipped", "c: degraded (AnalysisException)", "d: done"]
+    with pytest.raises(Exception, match="nope"):
+        Pathway().relay("c", lambda df: df.select("nope")).run(rows)
+
+
+def test_engine(spark, tmp_path):
+    from lodestar.engine import MemoryEngine
+
+    engine = MemoryEngine(spark, str(tmp_path / "engine"), files.hashed_embedder(32), now_ms=lambda: 10**12)
+    rows = [(1, "red apples grow on trees", ["fruit"]), (2, "blue skies over the sea", ["sky"]), (3, "green apples are sour", ["fruit", "urgent"]), (3, "zzz apples again", ["x"])]
+    engine.remember(spark.createDataFrame(rows, "id long, text string, tags array<string>"))
+    engine.remember(spark.createDataFrame([(1, "other text", ["x"])], "id long, text string, tags array<string>"))
+    assert engine.status() == {"EPISODIC": 3} and engine.inspect(1)["text"].startswith("red apples") and engine.inspect(9) is None
+    assert [r["id"] for r in engine.recall("red apples", k=2).orderBy("rank").collect()][0] == 1
+    assert {r["id"] for r in engine.browse("fruit").collect()} == {1, 3}
+    engine.suppress(1)
+    assert engine.why_not(1, "red apples") == "SUPPRESSED" and engine.why_not(7, "x") == "NOT_FOUND" and engine.why_not(2, "blue skies") == "FOUND"
+    engine.unsuppress(1)
+    engine.forget(2)
+    assert engine.why_not(2, "blue") == "TOMBSTONED" and engine.status() == {"EPISODIC": 2}
+    engine.reinforce(3, valence=100)
+    assert engine.inspect(3)["agent_recalls"] == 1 and engine.inspect(3)["valence"] == 30
+    engine.learn(engine.recall("apples", k=2))
+    assert engine.inspect(1)["auto_recalls"] == 1
+    engine.vacuum()
+    assert engine.inspect(2) is None and [x["id"] for x in engine.exported_lines()] == [1, 3]
+    engine.reflect()
+    assert engine.introspect("apples").first()["n"] == 2
+    assert engine.context_pack("apples").count() == 2
