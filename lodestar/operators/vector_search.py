@@ -311,9 +311,17 @@ def near_pairs(rows: DataFrame, radius: float, centres: np.ndarray) -> DataFrame
     at = rows.select("id", "vector").mapInPandas(placed, "id long, vector array<double>, cell int, gap double, others array<int>")
     base = at.select("cell", "id", "vector")
     visit = at.select(F.explode("others").alias("cell"), F.col("id").alias("other"), F.col("vector").alias("o"))
-    blocks = 8
-    base = base.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).groupBy("cell", "b").agg(F.collect_list(F.struct("id", "vector")).alias("rows"))
-    visit = visit.withColumn("v", F.pmod(F.xxhash64("other"), F.lit(blocks)).cast("int")).groupBy("cell", "v").agg(F.collect_list(F.struct("other", "o")).alias("asks"))
+    # As many blocks in a cell as its rows and visitors need: there are few cells (a
+    # parameter), so their counts are a short list.
+    held = {r["cell"]: r["n"] for r in base.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    seen = {r["cell"]: r["n"] for r in visit.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+
+    def block(key: str, counts: dict[int, int]) -> Column:
+        numbers = F.array(*[F.lit(max(1, -(-counts.get(c, 0) // BLOCK))) for c in range(len(centres))])
+        return F.pmod(F.xxhash64(key), F.element_at(numbers, F.col("cell") + 1)).cast("int")
+
+    base = base.withColumn("b", block("id", held)).groupBy("cell", "b").agg(F.collect_list(F.struct("id", "vector")).alias("rows"))
+    visit = visit.withColumn("v", block("other", seen)).groupBy("cell", "v").agg(F.collect_list(F.struct("other", "o")).alias("asks"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -334,7 +342,3 @@ def principal(rows: DataFrame, k: int = 3) -> DataFrame:
 
     data = rows.select("id", array_to_vector("vector").alias("f"))
     return PCA(k=k, inputCol="f", outputCol="p").fit(data).transform(data).select("id", vector_to_array("p").alias("projected"))
-
-
-def as_query(column: Column) -> Column:
-    return column.cast("array<double>")

@@ -96,10 +96,10 @@ _add("lateral_recall", lateral, _recall_sql("greatest(0, 1 - 0.25::DOUBLE * pow(
 def late_text(spark, sf_dir):
     """The texts of what was recalled: joined to the best only."""
     best = r.recall(embedded(spark, sf_dir), asked(spark, sf_dir), r.Recall(k=3), NOW_MS)
-    return best.join(memories(spark, sf_dir).select("id", "text", "tags"), "id").select("query_id", "id", "rank", F.left("text", F.lit(40)).alias("head"), "tags")
+    return best.join(memories(spark, sf_dir).select("id", "text", "tags"), "id").select("query_id", "id", "rank", F.md5("text").alias("digest"), "tags")
 
 
-_add("late_materialization", late_text, _recall_sql("1 / (1 + l2) * (1 + 0.4::DOUBLE * (importance / 10) * decay * boost) * 1.3::DOUBLE", _OPEN, 3).replace("SELECT query_id, id, score, rank::INT AS rank FROM (SELECT", "SELECT query_id, w.id, rank::INT AS rank, left(mem.text, 40) AS head, mem.tags FROM (SELECT").replace("FROM y) WHERE", "FROM y) w JOIN mem ON w.id = mem.id WHERE"))
+_add("late_materialization", late_text, _recall_sql("1 / (1 + l2) * (1 + 0.4::DOUBLE * (importance / 10) * decay * boost) * 1.3::DOUBLE", _OPEN, 3).replace("SELECT query_id, id, score, rank::INT AS rank FROM (SELECT", "SELECT query_id, w.id, rank::INT AS rank, md5(mem.text) AS digest, mem.tags FROM (SELECT").replace("FROM y) WHERE", "FROM y) w JOIN mem ON w.id = mem.id WHERE"))
 
 
 def results(spark, sf_dir, k: int = 10):
