@@ -44,6 +44,6 @@ def test_stages_of_empty(spark, empty, folder):
 def test_registered():
     names = __spark_entry__.queries()
     assert {f"op{i}" for i in range(1, 11)} == {n.split("_")[0] for n in names if n.startswith("op")}
-    assert names["pipeline"] is corpus_pipeline.run
+    assert names["pipeline"].__wrapped__ is corpus_pipeline.run
     assert set(__spark_entry__.oracle_sql()) <= set(names)
     assert make_text(1)
