@@ -227,7 +227,12 @@ _add(
     f"""WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), d AS (SELECT x.id AS "new", y.id AS old, list_distance(x.v, y.v) AS g FROM e x, e y WHERE x.id % 20 = 0 AND y.id % 20 <> 0 AND list_distance(x.v, y.v) <= {_R})
       SELECT "new", old, round(g, 5) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY "new" ORDER BY g, old) AS n FROM d) WHERE n = 1""",
 )
-_add("reflect", lambda spark, sf_dir: k.reflected(memories(spark, sf_dir), NOW_MS, 30 * DAY).select("id", F.round("importance", 6).alias("importance")))
+_add(
+    "reflect",
+    lambda spark, sf_dir: k.reflected(memories(spark, sf_dir), NOW_MS, 30 * DAY).select("id", F.round("importance", 6).alias("importance")),
+    f"""WITH {_AGED}, d AS (SELECT id, age, CASE WHEN age > {15 * DAY} THEN importance * 0.9::DOUBLE ELSE importance END AS i FROM bu WHERE NOT tombstoned AND NOT (importance * {DECAY_SQL.format(b='b')} < 0.05 AND NOT pinned))
+      SELECT id, round(i, 6) AS importance FROM d WHERE age <= {30 * DAY} AND i >= 0.5""",
+)
 
 # ---- metrics -------------------------------------------------------------------------
 

@@ -234,7 +234,12 @@ def valences(spark, sf_dir):
     return rows.select("user_id", s.valence_fold(F.lit(0), F.col("o")).cast("int").alias("valence"), F.size("o").alias("n"))
 
 
-_add("valence_fold", valences)
+_add(
+    "valence_fold",
+    valences,
+    """WITH o AS (SELECT user_id, list(CASE event_type WHEN 'purchase' THEN 100 WHEN 'error' THEN -100 ELSE 10 END ORDER BY ts, event_id)::DOUBLE[] AS o FROM events GROUP BY user_id)
+      SELECT user_id, list_reduce(list_prepend(0::DOUBLE, o), lambda v, x: least(greatest(floor(v * 0.7::DOUBLE + x * 0.3::DOUBLE + 0.5::DOUBLE), -128), 127))::INT AS valence, len(o)::INT AS n FROM o""",
+)
 _add(
     "reinforce_with_hints",
     lambda spark, sf_dir: memories(spark, sf_dir).select("id", F.round(s.reinforced_with_hints(F.col("importance"), s.icnu(_u(7, 10), _u(3, 7), _u(11, 13), _u(5, 9)), F.col("agent_recalls")), 6).alias("hinted"), F.round(s.reinforced_with_hints(F.col("importance"), None, F.col("agent_recalls")), 9).alias("degree")),
@@ -253,7 +258,14 @@ def profile_bandit(spark, sf_dir):
     return r.bandit(rows, "context", ("ts", "event_id"))
 
 
-_add("profile_bandit", profile_bandit)
+_add(
+    "profile_bandit",
+    profile_bandit,
+    """WITH o AS (SELECT event_type AS context, ['BALANCED', 'EXPLORING', 'CRITICAL'][(user_id % 3 + 1)::INT] AS profile, list((value > 50)::INT ORDER BY ts, event_id)::DOUBLE[] AS r FROM events GROUP BY ALL),
+      v AS (SELECT context, profile, len(r) AS n, list_reduce(list_prepend(0.5::DOUBLE, r), lambda m, x: m * (1 - 0.15::DOUBLE) + x * 0.15::DOUBLE) AS value FROM o),
+      k AS (SELECT *, sum(n) OVER (PARTITION BY context) AS signals, row_number() OVER (PARTITION BY context ORDER BY value DESC, profile) AS place FROM v)
+      SELECT context, CASE WHEN signals >= 10 THEN profile ELSE 'BALANCED' END AS profile, round(value, 6) AS value, signals::BIGINT AS signals FROM k WHERE place = 1""",
+)
 _add("provenance_confidence", lambda spark, sf_dir: memories(spark, sf_dir).groupBy("provenance").agg(F.round(F.avg(s.confidence_of(F.col("provenance"))), 6).alias("confidence"), F.count("*").alias("n")), f"WITH {MEMORIES_SQL} SELECT provenance, (CASE provenance WHEN 'OBSERVED' THEN 0.9 WHEN 'USER_STATED' THEN 1 WHEN 'REFLECTED' THEN 0.7 WHEN 'INFERRED' THEN 0.5 WHEN 'PROCEDURAL' THEN 1 ELSE 0.6 END)::DOUBLE AS confidence, count(*) AS n FROM mem GROUP BY provenance")
 _add("hopfield_recall", lambda spark, sf_dir: r.hopfield(base(spark, sf_dir), asked(spark, sf_dir)).select("query_id", F.transform("state", lambda x: F.round(x, 5)).alias("state")))
 _add("integrated_information", lambda spark, sf_dir: r.integrated_information(base(spark, sf_dir).select(F.floor(F.col("id") / 8).alias("group_id"), "id", "vector")).select("group_id", F.round("phi", 4).alias("phi"), "n"))
