@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -23,20 +23,27 @@ def events(spark: SparkSession, sf_dir: str, files: int = 1) -> DataFrame:
 
 
 def _timed(rows: DataFrame, late: str) -> DataFrame:
-    """Watermarks need a time with a zone; the column's digits stay as they are in UTC."""
-    return rows.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late) if rows.isStreaming else rows.withColumn("at", F.col("ts").cast("timestamp"))
+    """Watermarks need instants: the time's digits as one in UTC, whatever the session's zone."""
+    micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
+    timed = rows.withColumn("at", F.timestamp_micros(micros))
+    return timed.withWatermark("at", late) if rows.isStreaming else timed
+
+
+def _start() -> Column:
+    """The beginning of the window w, without a zone again."""
+    return F.expr("timestampadd(MICROSECOND, unix_micros(w.start), timestamp_ntz'1970-01-01 00:00:00')").alias("start")
 
 
 def tumbling(rows: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Counts and sums of each kind of event in fixed windows."""
     found = _timed(rows, late).groupBy(F.window("at", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    return found.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
+    return found.select(_start(), "event_type", "n", "total")
 
 
 def sessions(rows: DataFrame, gap: str = "5 minutes", late: str = "1 hour") -> DataFrame:
     """A user's sessions: a gap ends one."""
     found = _timed(rows, late).groupBy(F.session_window("at", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
-    return found.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
+    return found.select("user_id", _start(), "n")
 
 
 def deduplicated(rows: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
