@@ -27,7 +27,7 @@ from lodestar.llm.common import table, text_of
 from lodestar.llm.tokenizers_io import BYTE_BPE, byte_alphabet, library, path_of, vocabulary
 
 #: Fragments that a worker's cache holds; it is emptied beyond. Bounds memory only.
-CACHE_FRAGMENTS = 400_000
+CACHE_FRAGMENTS = 120_000
 #: A longer fragment is encoded but not kept in the cache.
 CACHED_BYTES = 64
 #: Last bytes (in UTF-8) of the white space beyond ASCII: U+0085, U+00A0, U+1680,

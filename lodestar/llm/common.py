@@ -81,12 +81,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dropped(spark: SparkSession, path: str) -> None:
-    """Delete a path below the shared folder through Hadoop's file system."""
-    java = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    java.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(java, True)
-
-
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """Mark a table for broadcast if its counted size is below the bound."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

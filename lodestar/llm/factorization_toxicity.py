@@ -39,7 +39,7 @@ FACTORS = 8
 Z = 3.0
 MIN_ROWS = 3
 BEGINNINGS = (4, 5, 6, 8)
-CACHE_WORDS = 300_000
+CACHE_WORDS = 120_000
 #: The score of every text if no label is known.
 PRIOR = 0.0
 

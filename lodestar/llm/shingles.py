@@ -9,7 +9,7 @@ import xxhash
 
 #: Words of a shingle.
 WORDS = 5
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 _WORD = re.compile("[^ \t\n\x0b\x0c\r]+")
 _ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 #: Odd 64-bit constants of a multiply-and-shift mixer, and one for each word's place.
