@@ -145,8 +145,8 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", folds: in
             n, total, square = n + len(x), total + x.sum(axis=0), square + (x * x).sum(axis=0)
         yield pd.DataFrame({"n": [n], "a": [total.tobytes()], "b": [square.tobytes()]})
 
-    # A bounded table in a fixed number of parts, dealt by the id: reruns agree.
-    dealt = rows.repartition(PARTS, "doc_id").sortWithinPartitions("doc_id", "label")
+    # A bounded table in a bounded number of parts: so many sums come to the driver.
+    dealt = rows.coalesce(PARTS)
     sums = dealt.mapInPandas(moments, "n long, a binary, b binary").collect()
     n = sum(r["n"] for r in sums)
     if not n:
@@ -155,6 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", folds: in
     scale = np.sqrt(np.maximum(np.sum([np.frombuffer(r["b"]) for r in sums], axis=0) / n - mean**2, 0))
     model = unfitted(mean, np.where(scale > 1e-9, scale, 1.0))
     size = len(model.weights)
+    upper = np.triu_indices(size)  # the matrix is symmetric
 
     def equations(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = np.zeros((size, size)), np.zeros(size)
@@ -163,13 +164,14 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", folds: in
                 z = model.features(np.stack(frame["x"].to_list()))
                 a += z.T @ z
                 b += z.T @ frame["label"].to_numpy()
-        yield pd.DataFrame({"a": [a.astype(np.float64).tobytes()], "b": [b.tobytes()]})
+        yield pd.DataFrame({"a": [a[upper].tobytes()], "b": [b.tobytes()]})
 
     calibrates = F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(CALIBRATION)) == 0
     a, b = np.zeros((size, size)), np.zeros(size)
     for r in dealt.where(~calibrates).mapInPandas(equations, "a binary, b binary").collect():
-        a += np.frombuffer(r["a"]).reshape(size, size)
+        a[upper] += np.frombuffer(r["a"])
         b += np.frombuffer(r["b"])
+    a = np.triu(a) + np.triu(a, 1).T
     weights = np.linalg.solve(a + RIDGE * max(1.0, n / 1000) * np.eye(size), b)
     fitted = Model(model.mean, model.scale, model.projection, model.phase, weights)
 
