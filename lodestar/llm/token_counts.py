@@ -10,10 +10,14 @@ added tokens hold no white space. Left of the place the left chunk's tokens are
 those of the whole text, right of it the right chunk's. If the overlap has no such
 place where both encodings have a boundary, the overlap is widened (twice as long
 each time) up to the whole rest of the text, which needs no splice.
+
+A text of a chunk or less is cut at all its stable places: the segments between them
+recur, so a worker encodes each once (by the library, too) and adds up their counts.
 """
 
 from __future__ import annotations
 
+import functools
 from bisect import bisect_left
 
 import pandas as pd
@@ -25,13 +29,48 @@ from lodestar.llm.common import table, text_of
 from lodestar.llm.tokenizers_io import BYTE_BPE, library, path_of
 
 #: Characters of a chunk, and of the first overlap.
-CHUNK = 8192
-OVERLAP = 256
+CHUNK = 32_768
+OVERLAP = 512
 LIMIT = 1024
 #: White space as the pre-tokenizer's pattern has it.
 STABLE = regex.compile(r"[^\s\x1c-\x1f](?=[ \t\n\r\x0b\x0c])")
 
 
+#: White space and what follows it up to the next: what lies between stable places.
+SEGMENT = regex.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
+#: White space that a segment may end with, so that its end would not be stable.
+ODD = regex.compile(r"[^\S \t\n\r\x0b\x0c]|[\x1c-\x1f]")
+CACHE_SEGMENTS = 300_000
+CACHED_CHARS = 48
+
+
+class Segments:
+    """Token counts of short texts from those of their segments."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        self.known: dict[str, int] = {}
+
+    def count(self, text: str) -> int:
+        if ODD.search(text):
+            return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        segments = SEGMENT.findall(text)
+        got = list(map(self.known.get, segments))
+        if None in got:
+            new = list({x for x, n in zip(segments, got, strict=True) if n is None})
+            found = {x: len(e) for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+            got = [found[x] if n is None else n for x, n in zip(segments, got, strict=True)]
+            if len(self.known) > CACHE_SEGMENTS:
+                self.known.clear()
+            self.known.update((x, n) for x, n in found.items() if len(x) <= CACHED_CHARS)
+        return sum(got)
+
+
+@functools.lru_cache(maxsize=2)
+def segments_of(path: str) -> Segments:
+    return Segments(library(path))
+
+
 def stable_places(text: str, start: int, stop: int) -> list[int]:
     """Places in [start, stop) between other characters and white space, last first."""
     return [m.end() for m in STABLE.finditer(text, max(0, start - 1), stop + 1)][::-1]
@@ -119,17 +158,8 @@ def counts(docs: DataFrame, path: str = BYTE_BPE, limit: int = LIMIT, chunk: int
     def counted(column: pd.Series) -> pd.DataFrame:
         tokenizer = library(place)
         spliced = Spliced(tokenizer, chunk, overlap)
-        texts = column.tolist()
-        numbers = [0] * len(texts)
-        short = [i for i, text in enumerate(texts) if len(text) <= chunk]
-        for k in range(0, len(short), 256):
-            part = short[k : k + 256]
-            for i, found in zip(part, tokenizer.encode_batch_fast([texts[i] for i in part], add_special_tokens=False), strict=True):
-                numbers[i] = len(found)
-        for i, text in enumerate(texts):
-            if len(text) > chunk:
-                numbers[i] = len(spliced.ids(text))
-        return pd.DataFrame({"n_tokens": numbers})
+        segments = segments_of(place)
+        return pd.DataFrame({"n_tokens": [segments.count(x) if len(x) <= chunk else len(spliced.ids(x)) for x in column]})
 
     text = text_of(docs, text_column)
     rows = docs.select(docs[id_column].cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), counted(text).alias("found"))

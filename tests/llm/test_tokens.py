@@ -47,6 +47,15 @@ def test_splices_are_the_library():
         assert spliced.ids(text) == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_segments_are_the_library():
+    tokenizer = library(path_of(BYTE_BPE))
+    segments = token_counts.Segments(tokenizer)
+    for text in texts(3000, 6, 60):
+        assert segments.count(text) == len(tokenizer.encode(text, add_special_tokens=False).ids), text
+        plain = "".join(c for c in text if c.isascii() and c not in "\x1c")
+        assert segments.count(plain) == len(tokenizer.encode(plain, add_special_tokens=False).ids), plain
+
+
 def test_word_ids_are_the_library():
     tokenizer = library(path_of(WORD_BPE))
     encoder = wavelet_shards.WordEncoder(path_of(WORD_BPE))
