@@ -26,6 +26,7 @@ import functools
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,15 +37,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import shared_path, small, table, text_of
-from lodestar.llm.tokenizers_io import WORD_BPE, library, path_of
+from lodestar.llm.tokenizers_io import WORD_BPE, byte_alphabet, library, path_of
 
 MAGIC = b"LWM1"
 BLOCK_BYTES = 1 << 15
 RAW = 1 << 31
-#: A shard is closed when it has so many tokens.
-SHARD_TOKENS = 4_000_000
+#: A shard is closed when it has so many tokens: packing then stays in a core's cache.
+SHARD_TOKENS = 1_000_000
 END_ID = 2
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 CACHED_CHARS = 48
 
 _HEAD = struct.Struct("<4sBQQ")
@@ -64,8 +65,9 @@ def pack(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int], bits: i
     bodies: list[bytes] = []
     values = ids
     for level in range(bits - 1, -1, -1):
-        mask = ((values >> level) & 1).astype(bool)
-        low, high = values[~mask], values[mask]
+        mask = (values & values.dtype.type(1 << level)) != 0
+        # Places and take() are faster than a mask as an index.
+        low, high = values.take(np.flatnonzero(~mask)), values.take(np.flatnonzero(mask))
         plane = np.packbits(mask, bitorder="little")
         blocks = [plane[i : i + BLOCK_BYTES] for i in range(0, len(plane), BLOCK_BYTES)]
         heads.append(_PLANE.pack(len(low), len(blocks)))
@@ -203,8 +205,8 @@ class WaveletMatrix:
             packed = np.concatenate([self._open(level, k) for k in range(len(blocks))]) if blocks else np.zeros(0, np.uint8)
             mask = np.unpackbits(packed, count=self.n, bitorder="little").astype(bool)
             before = np.empty_like(values)
-            before[~mask] = values[:zeros]
-            before[mask] = values[zeros:] | values.dtype.type(1 << (self.bits - 1 - level))
+            before[np.flatnonzero(~mask)] = values[:zeros]
+            before[np.flatnonzero(mask)] = values[zeros:] | values.dtype.type(1 << (self.bits - 1 - level))
             values = before
         return values
 
@@ -213,11 +215,36 @@ _ODD = re.compile("[\x1c-\x1f]")
 _WORDS = re.compile("[^ \t\n\r\x0b\x0c]+")
 
 
+#: Words of ASCII and Latin letters that no composition and no context-dependent
+#: lower case concerns; others, and such with an added token's start, go to the library whole.
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u024f]+")
+_PLAIN_TEXT = re.compile("[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u024f]*")
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[^\\W\\d_]+|\\d|(?:[^\\w]|_)+")
+
+
+class Pieces(dict):
+    """Lower-case piece -> its ids, by the library's model; emptied when large."""
+
+    def __init__(self, model, kind: str):
+        self.model, self.kind = model, kind
+        self.shown = {b: c for c, b in byte_alphabet().items()}
+
+    def __missing__(self, piece: str) -> bytes:
+        spelt = piece if piece.isascii() else "".join([self.shown[b] for b in piece.encode()])
+        value = array("H" if self.kind == "<u2" else "I", [x.id for x in self.model.tokenize(spelt)]).tobytes()
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        self[piece] = value
+        return value
+
+
 class WordEncoder:
     """Ids of texts by the library, word by word with a cache.
 
     This tokenizer's file drops white space, composes characters (never over white
-    space) and splits pieces within words, so a text's ids are its words' ids.
+    space) and splits pieces within words, so a text's ids are its words' ids. A new
+    word is mostly a known piece with other punctuation or capitals: its pieces are
+    cached as well.
     """
 
     def __init__(self, path: str):
@@ -226,29 +253,37 @@ class WordEncoder:
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.bits = max(1, (size - 1).bit_length())
         self.kind = "<u2" if self.bits <= 16 else "<u4"
+        self.pieces = Pieces(self.library.model, self.kind)
 
     def words(self, text: str) -> list[str]:
+        if (text.isascii() or _PLAIN_TEXT.fullmatch(text)) and "<|" not in text:
+            text = text.lower()  # as the library does: fewer words to know
         # U+001C to U+001F separate words for str.split() but not for the library.
         return _WORDS.findall(text) if _ODD.search(text) else text.split()
 
+    def learn(self, word: str) -> bytes:
+        if _PLAIN.fullmatch(word) and "<|" not in word:
+            return b"".join([self.pieces[p] for p in _PIECES.findall(word.lower())])
+        return np.array(self.library.encode(word, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        rows = [self.words(text) for text in texts]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        unknown = list({w for row in rows for w in row}.difference(self.cache))
-        found = {}
-        for k in range(0, len(unknown), 8192):
-            part = unknown[k : k + 8192]
-            for word, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                found[word] = np.array(e.ids, dtype=self.kind).tobytes()
-        known = self.cache
-        result = []
-        for row in rows:
+        known, result = self.cache, []
+        for text in texts:
+            row = self.words(text)
             got = list(map(known.get, row))
             if None in got:
-                got = [found[w] if x is None else x for w, x in zip(row, got, strict=True)]
+                for i, value in enumerate(got):
+                    if value is None:
+                        word = row[i]
+                        value = known.get(word)
+                        if value is None:
+                            value = self.learn(word)
+                            if len(word) <= CACHED_CHARS:
+                                known[word] = value
+                        got[i] = value
             result.append(b"".join(got))
-        known.update((w, x) for w, x in found.items() if len(w) <= CACHED_CHARS)
         return result
 
 
