@@ -45,7 +45,7 @@ RAW = 1 << 31
 #: A shard is closed when it has so many tokens: packing then stays in a core's cache.
 SHARD_TOKENS = 1_000_000
 END_ID = 2
-CACHE_WORDS = 300_000
+CACHE_WORDS, CACHE_PIECES = 500_000, 250_000
 CACHED_CHARS = 48
 
 _HEAD = struct.Struct("<4sBQQ")
@@ -232,7 +232,7 @@ class Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         spelt = piece if piece.isascii() else "".join([self.shown[b] for b in piece.encode()])
         value = array("H" if self.kind == "<u2" else "I", [x.id for x in self.model.tokenize(spelt)]).tobytes()
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= CACHE_PIECES:
             self.clear()
         self[piece] = value
         return value
@@ -255,15 +255,16 @@ class WordEncoder:
         self.kind = "<u2" if self.bits <= 16 else "<u4"
         self.pieces = Pieces(self.library.model, self.kind)
 
-    def words(self, text: str) -> list[str]:
-        if (text.isascii() or _PLAIN_TEXT.fullmatch(text)) and "<|" not in text:
-            text = text.lower()  # as the library does: fewer words to know
+    def words(self, text: str) -> tuple[list[str], bool]:
+        """The words, and whether all are plain and in lower case already."""
+        if (text.isascii() or _PLAIN_TEXT.fullmatch(text)) and "<|" not in text and not _ODD.search(text):
+            return text.lower().split(), True  # in lower case as by the library: fewer words to know
         # U+001C to U+001F separate words for str.split() but not for the library.
-        return _WORDS.findall(text) if _ODD.search(text) else text.split()
+        return _WORDS.findall(text) if _ODD.search(text) else text.split(), False
 
-    def learn(self, word: str) -> bytes:
-        if _PLAIN.fullmatch(word) and "<|" not in word:
-            return b"".join([self.pieces[p] for p in _PIECES.findall(word.lower())])
+    def learn(self, word: str, plain: bool = False) -> bytes:
+        if plain or (_PLAIN.fullmatch(word) and "<|" not in word):
+            return b"".join([self.pieces[p] for p in _PIECES.findall(word if plain else word.lower())])
         return np.array(self.library.encode(word, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -271,18 +272,16 @@ class WordEncoder:
             self.cache.clear()
         known, result = self.cache, []
         for text in texts:
-            row = self.words(text)
+            row, plain = self.words(text)
             got = list(map(known.get, row))
-            if None in got:
-                for i, value in enumerate(got):
-                    if value is None:
-                        word = row[i]
-                        value = known.get(word)
-                        if value is None:
-                            value = self.learn(word)
-                            if len(word) <= CACHED_CHARS:
-                                known[word] = value
-                        got[i] = value
+            for i in [i for i, value in enumerate(got) if value is None]:
+                word = row[i]
+                value = known.get(word)
+                if value is None:
+                    value = self.learn(word, plain)
+                    if len(word) <= CACHED_CHARS:
+                        known[word] = value
+                got[i] = value
             result.append(b"".join(got))
         return result
 
