@@ -8,9 +8,11 @@ whose words less than ``MIN_LEFT`` is left is depleted and rejected.
 
 Copies count once. Otherwise every line of a much copied text would be above the
 limits and the whole group would go before near-dedup could keep one of it. What
-is counted for a line is therefore its distinct companions: the smallest other
-line hash of the document, which copies and near copies share and unrelated
-documents with the same boilerplate don't.
+is counted for a line is therefore the near-copy classes of the documents that hold
+it: texts whose likeness (Jaccard of the five-word shingles, estimated from the
+least hash of each of 128 ranges) to the first text of a common bucket is 0.8 or
+more are one. Classes are never more than texts, so they are only looked for among
+the documents that hold a line which reaches the limits by distinct texts.
 
 Shuffles: one row for each distinct line of a document, summed before and after
 (so a line that a third of all rows hold is no hot task). The removed lines of a
@@ -44,6 +46,9 @@ class Rules:
 
 RULES = Rules()
 
+#: Words of a shingle, and the likeness from which texts are near copies: as in op10.
+SHINGLE, LIKENESS = 5, 0.8
+
 
 def n_covered(grams: Column, window: int) -> Column:
     """Words inside windows whose hash occurs twice or more.
@@ -100,12 +105,54 @@ def frequent_lines(docs: DataFrame, rules: Rules = RULES, text_column: str = "te
     rows = docs.select(host_key(docs[host_column]).alias("host"), text_of(docs, text_column).alias("text"))
     texts = rows.select("host", F.xxhash64("text").alias("t"), F.md5("text").alias("m")).distinct().groupBy("host").agg(F.count("*").alias("n_docs"))
     hashes = let(line_rows(F.col("text")), lambda x: F.sort_array(F.array_distinct(F.transform(x, lambda e: e["h"]))))
-    # For each line its companion: the smallest other hash, -1 if there is none.
-    paired = let(hashes, lambda s: F.transform(s, lambda h, i: F.struct(h.alias("h"), F.when(i > 0, F.get(s, F.lit(0))).otherwise(F.coalesce(F.get(s, F.lit(1)), F.lit(-1))).alias("c"))))
-    lines = rows.select("host", F.explode(paired).alias("e")).select("host", "e.h", "e.c")
-    counted = lines.distinct().groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= rules.min_docs)
-    above = counted.join(texts, "host").where(F.col("n") >= F.col("n_docs") * F.lit(rules.min_share))
-    return above.groupBy("host").agg(F.collect_list("h").alias("lines"))
+    lines = rows.select("host", F.xxhash64("text").alias("t"), F.explode(hashes).alias("h")).distinct()
+    counted = lines.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= rules.min_docs)
+    limit = F.greatest(F.lit(float(rules.min_docs)), F.col("n_docs") * F.lit(rules.min_share))
+    reached = checkpointed(counted.join(texts, "host").withColumn("limit", limit).where(F.col("n") >= F.col("limit")).select("host", "h", "limit"))
+    return above_by_classes(rows, hashes, reached, reached.count()).groupBy("host").agg(F.collect_list("h").alias("lines"))
+
+
+def least_hashes(text: Column) -> Column:
+    """Of the hashes of the five-word shingles, the least of each of 128 ranges."""
+
+    def of_hashes(h: Column) -> Column:
+        grams = F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, SHINGLE)]))
+        return F.slice(grams, F.lit(1), F.greatest(F.size(h) - (SHINGLE - 1), F.lit(1)))
+
+    grams = let(F.transform(words_of(F.lower(text)), lambda w: F.xxhash64(w)), of_hashes)
+    return let(F.sort_array(F.array_distinct(grams)), lambda s: F.filter(s, lambda x, i: F.coalesce(F.shiftright(x, 57) != F.shiftright(F.get(s, i - 1), 57), F.lit(True))))
+
+
+def near_copy_heads(texts: DataFrame) -> DataFrame:
+    """(host, t, head) of the rows (host, t, least): the first text that each is a near copy of, or itself.
+
+    Each text meets the first text of each of its 32 buckets only, so the rows grow
+    with the texts and not with the square of a group.
+    """
+    buckets = F.transform(F.sequence(F.lit(-16), F.lit(15)), lambda b: F.struct(b.alias("b"), F.filter("least", lambda x: F.shiftright(x, 59) == b).alias("x")))
+    keys = F.transform(F.filter(buckets, lambda e: F.size(e["x"]) > 0), lambda e: F.xxhash64(e["b"], e["x"]))
+    held = texts.select("host", "t", F.explode(keys).alias("key"))
+    first = held.groupBy("host", "key").agg(F.min("t").alias("head"))
+    pairs = held.join(first, ["host", "key"]).where("head < t").select("host", "t", "head").distinct()
+    pairs = pairs.join(texts.select("host", "t", F.col("least").alias("x")), ["host", "t"])
+    pairs = pairs.join(texts.select("host", F.col("t").alias("head"), F.col("least").alias("y")), ["host", "head"])
+    ranges = F.size(F.array_union(F.transform("x", lambda e: F.shiftright(e, 57)), F.transform("y", lambda e: F.shiftright(e, 57))))
+    near = pairs.where(F.size(F.array_intersect("x", "y")) >= F.lit(LIKENESS) * ranges).groupBy("host", "t").agg(F.min("head").alias("head"))
+    # A head may be a near copy of an earlier head.
+    up = near.select("host", F.col("t").alias("head"), F.col("head").alias("up"))
+    near = near.join(up, ["host", "head"], "left").select("host", "t", F.coalesce("up", "head").alias("head"))
+    return texts.select("host", "t").join(near, ["host", "t"], "left").select("host", "t", F.coalesce("head", "t").alias("head"))
+
+
+def above_by_classes(rows: DataFrame, hashes: Column, reached: DataFrame, n: int) -> DataFrame:
+    """(host, h) of the lines that are in enough near-copy classes."""
+    asked = small(reached.groupBy("host").agg(F.collect_list("h").alias("asked")), n, 16)
+    held = rows.join(asked, "host").withColumn("held", F.array_intersect(hashes, F.col("asked"))).where(F.size("held") > 0)
+    held = held.select("host", F.xxhash64("text").alias("t"), "held", least_hashes(F.col("text")).alias("least"))
+    held = checkpointed(held.groupBy("host", "t").agg(F.first("held").alias("held"), F.first("least").alias("least")))
+    classes = held.select("host", "t", F.explode("held").alias("h")).join(near_copy_heads(held.select("host", "t", "least")), ["host", "t"])
+    counted = classes.select("host", "h", "head").distinct().groupBy("host", "h").agg(F.count("*").alias("n"))
+    return counted.join(reached, ["host", "h"]).where(F.col("n") >= F.col("limit")).select("host", "h")
 
 
 def with_rules(docs: DataFrame, rules: Rules = RULES, text_column: str = "text", host_column: str = "source", out: str = "rules") -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
 from lodestar.llm import mixing, quality_rules
-from tests.llm.conftest import SCHEMA, make_text
+from tests.llm.conftest import SCHEMA, make_text, make_words
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -54,6 +55,16 @@ def test_lines_of_many_documents_go_and_copies_count_once(spark):
     assert ids == {i for i in range(40) if i % 2} | set(range(100, 160)) | set(range(200, 260)) | set(range(300, 305))
 
 
+def test_documents_of_shared_lines_are_depleted(spark):
+    chooser = random.Random(4)
+    pool = [" ".join(make_words(900 + i, 8)) for i in range(20)]
+    rows = [(i, "\n".join(chooser.sample(pool, 6)), None, "a", None, None, None, None) for i in range(2_000)]
+    rows += [(5_000 + i, make_text(5_000 + i), None, "a", None, None, None, None) for i in range(100)]
+    rows += [(6_000 + i, make_text(6) + f"\nnr {i}", None, "a", None, None, None, None) for i in range(100)]  # near copies stay
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert {r["doc_id"] for r in quality_rules.filtered(docs).collect()} == set(range(5_000, 5_100)) | set(range(6_000, 6_100))
+
+
 def test_filtered_of_empty(empty):
     assert quality_rules.filtered(empty).collect() == []
 
