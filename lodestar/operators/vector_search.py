@@ -20,6 +20,8 @@ from lodestar.functions import vectors as v
 
 #: Vectors of a block of rows, and of a block of queries.
 BLOCK, QUERIES = 4096, 1024
+#: Rows that a task holds before it merges the best of its blocks.
+HELD = 1_000_000
 METRICS = ("cosine", "dot", "l2")
 
 
@@ -45,6 +47,12 @@ def scores(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
     raise ValueError(f"unknown metric {metric}")
 
 
+def best_of(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The best k rows (query_id, id, score) of each query, ties by id."""
+    found = found.iloc[np.lexsort((found["id"], -found["score"], found["query_id"]))]
+    return found[found.groupby("query_id").cumcount() < k]
+
+
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", digits: int = 6, cells: str | None = None) -> DataFrame:
     """query_id, id, score, rank: the best k rows of every query, ties by id.
 
@@ -69,6 +77,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosin
     right = right.groupBy("qb", *cell).agg(F.collect_list(F.struct("query_id", "query")).alias("queries"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
         for frame in frames:
             for some, asked in zip(frame["rows"], frame["queries"], strict=True):
                 ids = np.array([r["id"] for r in some])
@@ -78,7 +87,17 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosin
                 found = found + 0.0  # no negative zero
                 best = min(k, len(ids))
                 order = np.lexsort((np.broadcast_to(ids, found.shape), -found), axis=1)[:, :best]
-                yield pd.DataFrame({"query_id": np.repeat(names, best), "id": ids[order].ravel(), "score": np.take_along_axis(found, order, axis=1).ravel()})
+                held.append(pd.DataFrame({"query_id": np.repeat(names, best), "id": ids[order].ravel(), "score": np.take_along_axis(found, order, axis=1).ravel()}))
+                n += len(held[-1])
+                if n > HELD:
+                    merged = best_of(pd.concat(held), k)
+                    if len(merged) > HELD // 2:  # too many queries to hold
+                        yield merged
+                        held, n = [], 0
+                    else:
+                        held, n = [merged], len(merged)
+        if held:
+            yield best_of(pd.concat(held), k)
 
     best = left.join(right, ["qb", *cell]).select("rows", "queries").mapInPandas(run, "query_id long, id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")

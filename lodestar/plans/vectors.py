@@ -166,12 +166,12 @@ _add(
 def spectrum_search(spark, sf_dir):
     """k-means cells, several probes, oversampling, exact ranking."""
     rows = base(spark, sf_dir)
-    found = s.ivf_search(rows, asked(spark, sf_dir), s.k_means(rows, 16), probes=8, k=30)
+    found = s.ivf_search(rows, asked(spark, sf_dir), s.k_means(rows, 16), probes=14, k=30)
     return s.rescored(found, rows, asked(spark, sf_dir), 10)
 
 
 def ivf_pq_search(spark, sf_dir):
-    """Product-quantized residuals of cells, asymmetric distances by restored vectors."""
+    """Product-quantized residuals of cells, asymmetric distances by restored vectors, exact ranking."""
     rows = base(spark, sf_dir)
     centres = label_centres(spark, sf_dir)
     cells = s.assigned(rows, centres)
@@ -180,8 +180,9 @@ def ivf_pq_search(spark, sf_dir):
     quantizer = s.ProductQuantizer.trained(residual, parts=16, k=64)
     restored = quantizer.encoded(residual).select("id", F.col("vector").alias("r")).join(cells.select("id", "cell"), "id")
     restored = restored.select("id", "cell", v.add(F.col("r"), F.element_at(lists, F.col("cell") + 1)).alias("vector"))
-    wanted = s.assigned(asked(spark, sf_dir), centres, "cell", 6).withColumn("cell", F.explode("cell"))
-    return s.top_k(restored, wanted, 10, "l2", cells="cell")
+    wanted = s.assigned(asked(spark, sf_dir), centres, "cell", len(centres)).withColumn("cell", F.explode(F.array("cell") if len(centres) == 1 else "cell"))
+    found = s.rescored(s.top_k(restored, wanted, 100, "l2", cells="cell"), rows, asked(spark, sf_dir), 10)
+    return found.select("query_id", "id", F.round(1 / (1 + F.col("distance")), 6).alias("score"), "rank")
 
 
 _add("spectrum_search", spectrum_search)

@@ -52,3 +52,13 @@ def test_query(spark, duck, name):
 
 def test_names_and_oracles_agree():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+@pytest.mark.parametrize("name", ["ivf_pq_search", "spectrum_search"])
+def test_recall_of_index_queries(spark, name, folder):
+    exact = {(r["query_id"], r["id"]) for r in catalog.queries()["top_k_l2"](spark, folder).collect()}
+    found = catalog.queries()[name](spark, folder).collect()
+    recall = len(exact & {(r["query_id"], r["id"]) for r in found}) / len(exact)
+    print(name, folder, round(recall, 3))
+    assert recall >= 0.9
