@@ -90,9 +90,24 @@ def n_dup_lines(text: Column) -> Column:
 def line_rows(text: Column) -> Column:
     """The lines with a word: (60 bits of the normalised line's md5, its words)."""
     # A line feed stays what it is; other white space becomes one blank.
-    flat = F.regexp_replace(F.lower(text), r"[\x20\x09\x0B-\x0D]+", " ")
-    lines = F.filter(F.transform(F.split(flat, "\n", -1), lambda x: F.btrim(x)), lambda x: x != "")
-    return F.transform(lines, lambda x: F.struct(F.conv(F.substring(F.md5(x), 1, 15), 16, 10).cast("long").alias("h"), (F.length(x) - F.length(F.translate(x, " ", "")) + 1).cast("long").alias("w")))
+    lines = F.filter(F.transform(F.split(normal(text), "\n", -1), lambda x: F.btrim(x)), lambda x: x != "")
+    return F.transform(lines, lambda x: F.struct(line_hash(x).alias("h"), (F.length(x) - F.length(F.translate(x, " ", "")) + 1).cast("long").alias("w")))
+
+
+def normal(text: Column) -> Column:
+    """In lower case, white space other than line feeds as one blank."""
+    return F.regexp_replace(F.lower(text), r"[\x20\x09\x0B-\x0D]+", " ")
+
+
+def line_hash(line: Column) -> Column:
+    """60 bits of the md5 of a normalised line."""
+    return F.conv(F.substring(F.md5(line), 1, 15), 16, 10).cast("long")
+
+
+def without_lines(text: Column, hashes: Column) -> Column:
+    """The text without the lines of these hashes; the others stay as they are."""
+    kept = F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains(hashes, line_hash(F.btrim(normal(x)))))
+    return F.when(hashes.isNull(), text).otherwise(F.array_join(kept, "\n"))
 
 
 def host_key(host: Column) -> Column:
@@ -155,9 +170,12 @@ def above_by_classes(rows: DataFrame, hashes: Column, reached: DataFrame, n: int
     return counted.join(reached, ["host", "h"]).where(F.col("n") >= F.col("limit")).select("host", "h")
 
 
-def with_rules(docs: DataFrame, rules: Rules = RULES, text_column: str = "text", host_column: str = "source", out: str = "rules") -> DataFrame:
+def with_rules(docs: DataFrame, rules: Rules = RULES, text_column: str = "text", host_column: str = "source", out: str = "rules", cleaned: str | None = None) -> DataFrame:
     """The documents with a struct column of the counts and verdicts.
 
+    With ``cleaned`` also a column of that name: the text without the lines above the
+    limits; the other lines stay as they are, a text without such lines is unchanged.
+
     Fields: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     removed_words (long), base_failed, kept (boolean). A null text counts as empty:
     it has no words and fails the base rules. A null host is a host of its own.
@@ -192,13 +210,20 @@ def with_rules(docs: DataFrame, rules: Rules = RULES, text_column: str = "text",
         )
 
     counts = let(let(words_of(text), counted), lambda c: F.struct(c["n_words"].alias("n_words"), c["n_repeat_words"].alias("n_repeat_words"), removed_words.alias("removed")))
-    return joined.withColumn(out, let(counts, verdict)).drop(key, lines)
+    found = joined.withColumn(out, let(counts, verdict))
+    if cleaned:
+        found = found.withColumn(cleaned, without_lines(joined[text_column].cast("string"), joined[lines]))
+    return found.drop(key, lines)
 
 
 def filtered(docs: DataFrame, rules: Rules = RULES) -> DataFrame:
-    """The documents that the rules keep, with their own columns."""
-    out = internal(docs, "__rules")
-    return with_rules(docs, rules, out=out).where(F.col(out)["kept"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that the rules keep, their text without the lines above the limits.
+
+    The other columns are the documents' own (a length as it was read, too).
+    """
+    out, text = internal(docs, "__rules"), internal(docs, "__text")
+    kept = with_rules(docs, rules, out=out, cleaned=text).where(F.col(out)["kept"])
+    return kept.select(*[F.col(text).alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,6 +65,18 @@ def test_documents_of_shared_lines_are_depleted(spark):
     assert {r["doc_id"] for r in quality_rules.filtered(docs).collect()} == set(range(5_000, 5_100)) | set(range(6_000, 6_100))
 
 
+def test_kept_documents_lose_the_common_lines(spark):
+    def own(i):
+        return make_text(7_000 + i) + f"\n\n  Own   Line {i} "
+
+    rows = [(i, f"Home |  About us\n{own(i)}\n home | about US", None, "a", None, None, None, None) for i in range(40)]
+    rows += [(100 + i, f"Home | About us\n{own(100 + i)}", None, None, None, None, None, None) for i in range(5)]  # few on that host
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = quality_rules.filtered(docs)
+    assert kept.schema == docs.schema
+    assert {r["doc_id"]: r["text"] for r in kept.collect()} == {i: own(i) for i in range(40)} | {100 + i: rows[40 + i][1] for i in range(5)}
+
+
 def test_filtered_of_empty(empty):
     assert quality_rules.filtered(empty).collect() == []
 
