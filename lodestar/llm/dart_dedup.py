@@ -8,7 +8,8 @@ height is below the element's weight. Of each coordinate the earliest dart is ke
 two documents agree on it with the probability of their weighted Jaccard
 similarity. Time is cut at (ln k + 2) k / total weight, by when each of the k
 coordinates almost surely has a dart (if not, time is doubled): about k ln k darts
-whatever the length of the text.
+whatever the length of the text. A text's elements are its five-word shingles, each
+weighing as much as it occurs (``weights="count"``) or, as a set, one.
 
 Join. BANDS bands of ROWS coordinates; texts that agree on a band share a bucket. At
 a similarity of 0.8 a pair misses all 64 bands of 8 with a probability of 8e-6.
@@ -17,7 +18,8 @@ Exact links without all pairs of a group. Exact copies are one node (grouped by
 from the start. In each bucket all nodes are held against one centre, and pairs are
 checked exactly on the whole sets of shingles. The classes so far settle most
 buckets: all their nodes are in one class. Others get new centres as long as that
-helps. What is then left is compared exactly, but only between nodes of different
+helps. Keys that many rows share (a bucket, a text, a class) meet their rows by a
+broadcast of the few hot keys. What is then left is compared exactly, but only between nodes of different
 classes that share a bucket, and in blocks where that is many. No link between
 classes is lost, none within one matters to the result.
 """
@@ -33,12 +35,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import internal, small, table, text_of, written
+from lodestar.llm.common import internal, met, small, table, text_of, written
 from lodestar.llm.components import components
 from lodestar.llm.shingles import WORDS, mixed, shingles
 
 SIMILARITY = 0.8
 BANDS, ROWS = 64, 8
+#: An element's weight: its occurrences ("count") or one ("one").
+WEIGHTS = "count"
 #: What rounding may take from a similarity that is the threshold exactly.
 EDGE = 1e-9
 #: Further rounds of centres at most; what they leave is checked pair by pair.
@@ -86,7 +90,7 @@ def throw(elements: np.ndarray, weights: np.ndarray | None, begin: int, end: int
     # Of a dart's 64 bits the low ones choose the coordinate, the high ones the time.
     key = (times[which % len(times)] << np.uint64(40)) | (dart >> np.uint64(24))
     place = (dart & np.uint64(k - 1)).astype(np.int64)
-    if weight is not None:
+    if weight is not None and (weight < floor + 1).any():  # whole weights fill their cells
         owner = which // len(times)
         height = floor[owner] + (mixed(dart ^ _LEVEL) >> np.uint64(11)) * 2.0**-53
         hit = height < weight[owner]
@@ -139,7 +143,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray | None], b: tuple[np.ndarray, np.
     return float(common / union) if union else 0.0
 
 
-def bucket_rows(nodes: DataFrame, weights: str = "one", n: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def bucket_rows(nodes: DataFrame, weights: str = WEIGHTS, n: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """node, text -> (bucket, node), a row for each band; texts without words have none."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,7 +169,7 @@ def expanded(elements: np.ndarray, counts: np.ndarray | None) -> np.ndarray:
     return np.unique(mixed(np.repeat(elements, times) + nth.astype(np.uint64) * _LEVEL))
 
 
-def element_rows(nodes: DataFrame, weights: str = "one", n: int = WORDS) -> DataFrame:
+def element_rows(nodes: DataFrame, weights: str = WEIGHTS, n: int = WORDS) -> DataFrame:
     """node, text -> (node, elements): the sets as packed sorted 64-bit numbers."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -249,13 +253,13 @@ def block_links(held: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
     return placed.groupBy("bucket", "block", "chunk").applyInPandas(run, "a long, b long")
 
 
-def node_labels(nodes: DataFrame, threshold: float = SIMILARITY, weights: str = "one", n: int = WORDS, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
+def node_labels(nodes: DataFrame, threshold: float = SIMILARITY, weights: str = WEIGHTS, n: int = WORDS, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
     """node, text (distinct) -> (node, label) of the nodes that have a near-duplicate."""
     buckets = written(bucket_rows(nodes, weights, n, bands, rows), "buckets")
     # Buckets of one node tell nothing; sums come before the shuffle, so a bucket
     # that a third of all texts share is no hot task.
-    shared = buckets.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last")
-    members = written(buckets.join(shared.select("bucket", "centre"), "bucket"), "members")
+    shared = written(buckets.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last"), F.count("*").alias("n")).where("centre < last").drop("last"), "shared")
+    members = written(met(buckets, shared, ["bucket"], 24).select("bucket", "node", "centre"), "members")
     touched = members.select("node").distinct()
     sets = written(element_rows(nodes.join(touched, "node", "left_semi"), weights, n), "sets")
     pairs = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
@@ -313,13 +317,13 @@ def one_of_each(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     return once.unionByName(first).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def classes(docs: DataFrame, threshold: float = SIMILARITY, weights: str = "one", n: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def classes(docs: DataFrame, threshold: float = SIMILARITY, weights: str = WEIGHTS, n: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row a document: doc_id, class_id (the smallest id of its class), class_size;
     also the internal node (a negative one for a null id) and its class's label.
 
-    Texts are near if the Jaccard similarity of their sets of n-word shingles (of
-    their multisets, with ``weights="count"``) is at least the threshold; classes
-    are the connected components. A text with fewer than n words is one shingle.
+    Texts are near if the Jaccard similarity of their multisets of n-word shingles (of
+    their sets, with ``weights="one"``) is at least the threshold; classes are the
+    connected components. A text with fewer than n words is one shingle.
     Equal texts are one class, also empty ones (a null text is an empty one).
     ``doc_id`` identifies a document: texts that share an id share a class. A null
     id gets a class of its text's own: class_id null unless the class has an id.
@@ -330,14 +334,16 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY, weights: str = "one"
     own = F.coalesce(docs["doc_id"].cast("long"), -F.shiftrightunsigned(F.xxhash64(text), 2) - 1)
     rows_ = docs.select(docs["doc_id"].cast("long").alias("doc_id"), own.alias("node"), F.md5(text).alias("digest"), text.alias("text"))
     slim = written(rows_.select("doc_id", "node", "digest"), "ids")
-    firsts = slim.groupBy("digest").agg(F.min("node").alias("first"))
+    firsts = written(slim.groupBy("digest").agg(F.min("node").alias("first"), F.min("doc_id").alias("least"), F.count("*").alias("n")), "digests")
     alone = written(firsts.select(F.col("first").alias("node")).distinct(), "firsts")
     nodes = rows_.join(small(alone, alone.count(), 8), "node", "left_semi").select("node", "text")
     labels = node_labels(nodes, threshold, weights, n, bands, rows)
-    joined = slim.join(firsts, "digest").join(labels.select(F.col("node").alias("first"), "label"), "first", "left")
-    found = joined.select("doc_id", "node", F.coalesce("label", "first").alias("label"))
-    totals = found.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return found.join(totals, "label").select("doc_id", "class_id", "class_size", "node", "label")
+    # A row for each text, then its class's totals, then a row for each document.
+    texts = firsts.join(labels.select(F.col("node").alias("first"), "label"), "first", "left")
+    texts = written(texts.select("digest", "least", F.col("n").alias("copies"), F.coalesce("label", "first").alias("label")), "labelled")
+    totals = written(texts.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"), F.count("*").alias("n")), "totals")
+    known = written(met(texts, totals, ["label"], 32).select("digest", "label", "class_id", "class_size", F.col("copies").alias("n")), "known")
+    return met(slim, known, ["digest"], 72).select("doc_id", "class_id", "class_size", "node", "label")
 
 
 def op10_dart_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -349,9 +355,9 @@ OP10_SQL = r"""
 WITH RECURSIVE
 w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 pos AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS p FROM w WHERE len(ws) > 0),
-sh AS (SELECT DISTINCT doc_id, ws[p:p + 4] AS s FROM pos),
-n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
-common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+sh AS (SELECT doc_id, ws[p:p + 4] AS s, count(*) AS c FROM pos GROUP BY doc_id, ws[p:p + 4]),
+n AS (SELECT doc_id, sum(c) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.c, b.c)) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
 near AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 5 * c >= 4 * (x.n + y.n - c)
          UNION SELECT x.doc_id, y.doc_id FROM w x JOIN w y ON x.text = y.text AND x.doc_id < y.doc_id),
 link AS (SELECT a, b FROM near UNION SELECT b, a FROM near),

@@ -113,6 +113,21 @@ def informative(rows: list[np.ndarray], labels: np.ndarray, z: float = Z, least:
     return np.flatnonzero((both >= least) & (apart >= z)).astype(np.int32)
 
 
+def gradient(rows: list[np.ndarray], labels: np.ndarray, w: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the mean logistic loss, by weights and by factors; rows are distinct places, not empty."""
+    sizes = np.array([len(x) for x in rows])
+    ids = np.concatenate(rows)
+    begins = np.cumsum(sizes) - sizes
+    row = np.repeat(np.arange(len(rows)), sizes)
+    f = v[ids]
+    total = np.add.reduceat(f, begins, axis=0)
+    value = np.add.reduceat(w[ids], begins) + 0.5 * ((total**2).sum(axis=1) - np.add.reduceat((f * f).sum(axis=1), begins))
+    gap = (1 / (1 + np.exp(-np.clip(value, -40, 40))) - labels) / len(rows)
+    slope = gap[row][:, None] * (total[row] - f)
+    gv = np.stack([np.bincount(ids, weights=slope[:, j], minlength=len(w)) for j in range(v.shape[1])], axis=1)
+    return np.bincount(ids, weights=gap[row], minlength=len(w)), gv
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, k: int = FACTORS, steps: int = 3000, batch: int = 128, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> Machine:
     """Fit on rows of distinct places and 0/1 labels, the order given."""
     places = informative(rows, labels)
@@ -130,18 +145,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, k: int = FACTORS, steps: int
     for _ in range(max(4, -(-steps * batch // len(own)))):
         order = random.permutation(len(own))
         for start in range(0, len(order), batch):
-            part = [own[i] for i in order[start : start + batch]]
-            sizes = np.array([len(x) for x in part])
-            ids = np.concatenate(part)
-            begins = np.cumsum(sizes) - sizes
-            row = np.repeat(np.arange(len(part)), sizes)
-            f = v[ids]
-            total = np.add.reduceat(f, begins, axis=0)
-            value = np.add.reduceat(w[ids], begins) + 0.5 * ((total**2).sum(axis=1) - np.add.reduceat((f * f).sum(axis=1), begins))
-            gap = (1 / (1 + np.exp(-np.clip(value, -40, 40))) - labels[order[start : start + batch]]) / len(part)
-            gw = np.bincount(ids, weights=gap[row], minlength=m + 1) + decay * w
-            slope = gap[row][:, None] * (total[row] - f)
-            gv = np.stack([np.bincount(ids, weights=slope[:, j], minlength=m + 1) for j in range(k)], axis=1) + decay * v
+            part = order[start : start + batch]
+            gw, gv = gradient([own[i] for i in part], labels[part], w, v)
+            gw, gv = gw + decay * w, gv + decay * v
             gw[m] -= decay * w[m]
             gv[m] = 0.0
             sum_w += gw**2

@@ -1,19 +1,21 @@
 """Document fingerprints: a homomorphic multiset hash over paragraphs.
 
 A paragraph (a line with a word) is hashed to a wide vector; a document's
-fingerprint is the sum of its paragraphs' vectors, each lane modulo 2^16. Sums don't
+fingerprint is the sum of its paragraphs' vectors, each lane modulo a power of two. Sums don't
 depend on the order, so two documents have equal fingerprints if they have the same
 paragraphs, as often each; a paragraph is inserted or deleted by adding or
 subtracting its vector, without the rest of the text.
 
-The vector has two parts. EXACT lanes are uniformly random for each paragraph (512
-bits of a cryptographic hash): they tell different multisets apart. SKETCH lanes
-are sparse: each five-word shingle of the paragraph adds +1 or -1 to one lane, both
+The vector has two parts. EXACT lanes of 64 bits are uniformly random for each
+paragraph (512 bits of a cryptographic hash): they tell different multisets apart,
+however often a paragraph recurs. SKETCH lanes of 32 bits, read as signed, hold any
+sum of fewer than 2^31 shingles. They are sparse: each five-word shingle of the paragraph adds +1 or -1 to one lane, both
 chosen by its hash. The difference of two sums is the sketch of what the documents
 don't share, its squared length estimates how much that is, and so the likeness of
 two documents follows from their fingerprints alone::
 
-    likeness = 1 - |A - B|^2 / (|A|^2 + |B|^2), at least 0; 1 for equal fingerprints
+    likeness = 1 - |A - B|^2 / (|A|^2 + |B|^2), at least 0; 1 for equal fingerprints,
+    0 for different ones whose sketches are both zero
 
 Paragraphs are taken as their words joined by one blank: other white space and
 empty lines don't count.
@@ -32,11 +34,11 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import table, text_of
 from lodestar.llm.shingles import WORDS, shingle_hashes, word_hashes, words
 
-EXACT, SKETCH = 32, 160
+EXACT, SKETCH = 8, 160
 LANES = EXACT + SKETCH
 #: Documents of a range of ids, as long as there are no more than RANGES ranges.
 ROWS_EACH = 512
-RANGES = 8192
+RANGES = 65_536
 
 
 def paragraphs(text: str) -> list[list[str]]:
@@ -45,13 +47,13 @@ def paragraphs(text: str) -> list[list[str]]:
 
 
 def fingerprint(text: str) -> np.ndarray:
-    """The sum of the vectors of a text's paragraphs: LANES numbers modulo 2^16."""
+    """The sum of the vectors of a text's paragraphs: LANES numbers, the sketch's modulo 2^32."""
     found = paragraphs(text)
-    total = np.zeros(LANES, dtype=np.uint16)
+    total = np.zeros(LANES, dtype=np.uint64)
     if not found:
         return total
-    digests = b"".join([hashlib.blake2b(" ".join(p).encode(), digest_size=2 * EXACT).digest() for p in found])
-    total[:EXACT] = np.frombuffer(digests, dtype="<u2").reshape(-1, EXACT).sum(axis=0, dtype=np.uint16)
+    digests = b"".join([hashlib.blake2b(" ".join(p).encode(), digest_size=8 * EXACT).digest() for p in found])
+    total[:EXACT] = np.frombuffer(digests, dtype="<u8").reshape(-1, EXACT).sum(axis=0, dtype=np.uint64)
     # All words at once; then windows that would span two paragraphs are left out.
     hashes = word_hashes([w for p in found for w in p])
     sizes = np.array([len(p) for p in found])
@@ -66,25 +68,31 @@ def fingerprint(text: str) -> np.ndarray:
     lane = ((gram >> np.uint64(32)) % np.uint64(SKETCH)).astype(np.int64)
     plus = np.bincount(lane, minlength=SKETCH)
     minus = np.bincount(lane[(gram & np.uint64(1)).astype(bool)], minlength=SKETCH)
-    total[EXACT:] = (plus - 2 * minus).astype(np.uint16)
+    total[EXACT:] = (plus - 2 * minus).astype(np.uint64)
+    return wrapped(total)
+
+
+def wrapped(total: np.ndarray) -> np.ndarray:
+    """The lanes of a sum within their moduli."""
+    total[EXACT:] &= np.uint64(0xFFFFFFFF)
     return total
 
 
 def insert(total: np.ndarray, paragraph: str) -> np.ndarray:
     """The fingerprint with one more paragraph."""
-    return total + fingerprint(paragraph.replace("\n", " "))
+    return wrapped(total + fingerprint(paragraph.replace("\n", " ")))
 
 
 def delete(total: np.ndarray, paragraph: str) -> np.ndarray:
     """The fingerprint with one paragraph less."""
-    return total - fingerprint(paragraph.replace("\n", " "))
+    return wrapped(total - fingerprint(paragraph.replace("\n", " ")))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """0 to 1: how much two documents share, from their fingerprints."""
     if np.array_equal(a, b):
         return 1.0
-    x, y = (v[EXACT:].view(np.int16).astype(np.float64) for v in (a, b))
+    x, y = (v[EXACT:].astype(np.uint32).view(np.int32).astype(np.float64) for v in (a, b))
     length = float(x @ x + y @ y)
     if length == 0:
         return 0.0
@@ -92,11 +100,12 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def to_text(total: np.ndarray) -> str:
-    return total.astype("<u2").tobytes().hex()
+    return (total[:EXACT].astype("<u8").tobytes() + total[EXACT:].astype("<u4").tobytes()).hex()
 
 
 def of_text(text: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(text), dtype="<u2").astype(np.uint16)
+    data = bytes.fromhex(text)
+    return np.concatenate([np.frombuffer(data, "<u8", EXACT), np.frombuffer(data, "<u4", SKETCH, 8 * EXACT).astype(np.uint64)])
 
 
 def placed(docs: DataFrame, rows_each: int = ROWS_EACH) -> DataFrame:

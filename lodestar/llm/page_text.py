@@ -1,19 +1,25 @@
 """Main text of web pages with site template removal.
 
-A page is parsed into a tree. Every element's subtree is hashed (names, class and
-id, texts), and Spark counts for each host on how many pages a hash occurs; a hash
-on many pages of its host is the site's template and its subtrees are deleted. What
-is counted is distinct main contents, so an article that a host shows at many
-addresses doesn't make itself a template.
-
-Element names and the usual class and id words (navigation, advert, comments ...)
-tell parts apart that vary from page to page, too. In an explicit main element
-(article, main) the paragraphs, headings, lists and tables are the article's own
-however often they recur on the site: there only containers are deleted as templates.
+A page is parsed into a tree, in one pass over its characters. Every element's subtree
+is hashed (names, class and id, texts), and Spark counts for each host on how many
+pages a hash occurs; a hash on many pages of its host is the site's template and its
+subtrees are deleted. What is counted is distinct main contents, so an article that a
+host shows at many addresses doesn't make itself a template. A template is on
+MIN_PAGES pages and MIN_SHARE of its host's, or, on small hosts, on FEW_PAGES and
+FEW_SHARE.
+
+What templates can't see is what varies from page to page. There HTML itself says
+which elements are no content (head, script, nav, aside, footer, form ...), and a few
+class, id and role words mark parts that hold another text on every page: adverts
+that are drawn anew, readers' comments, related articles, what is hidden. In an
+explicit main element (article, main) paragraphs, headings, lists and tables are the
+article's own however often they recur on the site (a quoted passage or an edited copy
+recurs as well): there only containers are deleted as templates.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from html import unescape
@@ -24,28 +30,35 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import checkpointed, internal, small, table
+from lodestar.llm.common import by_host, checkpointed, internal, table
 
 #: A subtree is a template with at least so many distinct pages, and such a share of its host's.
-MIN_PAGES = 10
-MIN_SHARE = 0.02
+MIN_PAGES, MIN_SHARE = 10, 0.02
+#: On a small host with so many, and such a share.
+FEW_PAGES, FEW_SHARE = 3, 0.5
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes".split())
 DROP = frozenset("head script style noscript template textarea title iframe nav aside form footer button select input option svg canvas object audio video dialog menu math map label datalist xmp noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre search section summary table tbody thead tfoot caption tr ul".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table thead tbody tfoot tr td th caption figure figcaption b i u s em strong a span code kbd q cite sub sup small mark abbr time br hr img wbr del ins font tt var samp dfn bdi bdo big strike".split())
-#: Words of class, id or role that mark parts other than the article.
-DROP_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments discussion disqus respond replies social share sharing related recommended recommendations widget widgets toolbar pagination pager login signin signup contentinfo complementary search alert skip".split())
+#: Words of class, id or role of parts that hold another text on every page, so that
+#: no count finds them: adverts, readers' comments, related articles, trails, notices.
+DROP_WORDS = frozenset("ad ads advert advertisement sponsored promo comment comments respond replies disqus related recommended recommendations breadcrumb breadcrumbs pager pagination cookie consent notice newsletter sidebar contentinfo complementary navigation search alert".split())
 #: Of a main element only these do, and the words of a page's head only outside one.
 ASIDE_WORDS = frozenset("comment comments related recommended sponsored ad advert promo".split())
-HEAD_WORDS = frozenset("header masthead topbar".split())
+HEAD_WORDS = frozenset("header masthead topbar banner".split())
 MAIN_WORDS = frozenset("article articlebody post story".split())
 #: Start tags before which an open paragraph ends.
 _ENDS_P = BLOCK - {"body", "html", "tbody", "thead", "tfoot", "tr", "caption"}
 _CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+#: What bounds an open paragraph and an inline element's end tag.
+_WALLS = BLOCK | {"td", "th", "button"}
+#: A tag with its attributes. No part gives back what it took, and the tail takes what
+#: a quote without an end leaves, so that every character is read a few times at most.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|[\"'][^>]*+(?:>|\Z)|\Z)", re.DOTALL)
+_HUGE = re.compile(r"&#(?:[0-9]{8,}+|[xX][0-9a-fA-F]{8,}+);?")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -63,71 +76,123 @@ class Node:
         return {w.lower() for name in ("class", "id", "role", "itemprop") if a.get(name) for w in _WORDS.findall(a[name])}
 
 
+def decoded(text: str) -> str:
+    """The text without character references; those to no character become U+FFFD."""
+
+    def bounded(found: re.Match) -> str:
+        digits = found.group()[2:].rstrip(";")
+        base = 16 if digits[0] in "xX" else 10
+        digits = digits.lstrip("xX0") or "0"
+        return "\ufffd" if len(digits) > 7 else f"&#{int(digits, base)};"
+
+    if "&" not in text:
+        return text
+    return unescape(_HUGE.sub(bounded, text) if "&#" in text else text)
+
+
+@functools.lru_cache(maxsize=64)
+def _raw_end(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*+(?:>|\Z)", re.IGNORECASE)
+
+
+class Stack:
+    """The open elements, with their places by name and those of walls."""
+
+    def __init__(self, root: Node):
+        self.open = [root]
+        self.places: dict[str, list[int]] = {}
+        self.walls: list[int] = []
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.open))
+        if node.tag in _WALLS:
+            self.walls.append(len(self.open))
+        self.open.append(node)
+
+    def last(self, names: tuple[str, ...] | list[str]) -> int:
+        """The place of the innermost open element of these names, 0 if there is none."""
+        return max((own[-1] for name in names if (own := self.places.get(name))), default=0)
+
+    def wall(self) -> int:
+        return self.walls[-1] if self.walls else 0
+
+    def close(self, at: int) -> None:
+        """Close the element at a place and all within it."""
+        while len(self.open) > at:
+            node = self.open.pop()
+            self.places[node.tag].pop()
+            if self.walls and self.walls[-1] == len(self.open):
+                self.walls.pop()
+
+
 def attributes_of(text: str) -> dict[str, str]:
     if not text or text.isspace():
         return {}
-    return {name.lower(): unescape(a or b or c) for name, a, b, c in reversed(_ATTRIBUTE.findall(text))}
+    return {name.lower(): decoded(a or b or c) for name, a, b, c in reversed(_ATTRIBUTE.findall(text))}
 
 
 def parse(page: str) -> tuple[Node, list[Node]]:
-    """The root and all elements, parents before children."""
+    """The root and all elements, parents before children, in time linear in the page.
+
+    Unclosed comments and tags end with the page; of an attribute whose quote has no
+    end, the tag ends at the next ">"; "<" before anything but a name is text.
+    """
     root = Node("#root", {})
-    nodes, stack = [root], [root]
-    at, end = 0, len(page)
-    while at < end:
-        token = _TOKEN.search(page, at)
+    nodes, stack = [root], Stack(root)
+    at, end, text_from = 0, len(page), 0
+
+    def text_to(place: int) -> None:
+        if place > text_from:
+            stack.open[-1].kids.append(decoded(page[text_from:place]))
+
+    while (at := page.find("<", at)) >= 0:
+        mark = page[at + 1 : at + 2]
+        if mark in ("!", "?"):
+            text_to(at)
+            if page.startswith("<!--", at):
+                close, size = page.find("-->", at + 4), 3
+            elif page.startswith("<![CDATA[", at):
+                close, size = page.find("]]>", at + 9), 3
+                stack.open[-1].kids.append(page[at + 9 : close if close >= 0 else end])
+            else:
+                close, size = page.find(">", at), 1
+            at = text_from = close + size if close >= 0 else end
+            continue
+        token = _TAG.match(page, at)
         if token is None:
-            stack[-1].kids.append(unescape(page[at:]))
-            break
-        if token.start() > at:
-            stack[-1].kids.append(unescape(page[at : token.start()]))
-        at = token.end()
-        name = token.group(2)
-        if name is None:
-            if token.group().startswith("<![CDATA["):
-                stack[-1].kids.append(token.group()[9:].removesuffix("]]>"))
+            at += 1
             continue
-        name = name.lower()
-        if token.group(1):
+        text_to(at)
+        at = text_from = token.end()
+        closing, name, text = token.group(1), token.group(2).lower(), token.group(3)
+        if closing:
             if name == "br":
-                stack[-1].kids.append(Node("br", {}))
-                nodes.append(stack[-1].kids[-1])
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == name:
-                    del stack[k:]
-                    break
+                stack.open[-1].kids.append(Node("br", {}))
+                nodes.append(stack.open[-1].kids[-1])
+            else:
+                place = stack.last((name,))
                 # An end tag of an inline element doesn't end the block around it.
-                if name not in BLOCK and stack[k].tag in BLOCK:
-                    break
+                if place and (name in BLOCK or place >= stack.wall()):
+                    stack.close(place)
             continue
-        if name in _ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in BLOCK or stack[k].tag in ("td", "th", "button"):
-                    break
+        if name in _ENDS_P and (wall := stack.wall()) and stack.open[wall].tag == "p":
+            stack.close(wall)
         if name in _CLOSES:
             closed, within = _CLOSES[name]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in within:
-                    break
-                if stack[k].tag in closed.split():
-                    del stack[k:]
-        text = token.group(3)
+            floor = stack.last(within)
+            while (place := stack.last(closed.split())) > floor:
+                stack.close(place)
         node = Node(name, attributes_of(text))
-        stack[-1].kids.append(node)
+        stack.open[-1].kids.append(node)
         nodes.append(node)
         if name in RAW:
-            close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
+            close = _raw_end(name).search(page, at)
             body = page[at : close.start() if close else end]
-            node.kids.append(unescape(body) if name in ("title", "textarea") else body)
-            at = close.end() if close else end
-        elif name not in VOID and not text.endswith("/"):
-            stack.append(node)
-        elif name not in VOID and text.endswith("/") and name in BLOCK:
-            stack.append(node)  # "<div/>" opens a div: only void elements close themselves
+            node.kids.append(decoded(body) if name in ("title", "textarea") else body)
+            at = text_from = close.end() if close else end
+        elif name not in VOID and (name in BLOCK or not text.endswith("/")):
+            stack.push(node)  # "<div/>" opens a div: only void elements close themselves
+    text_to(end)
     return root, nodes
 
 
@@ -240,8 +305,8 @@ def host_of(url: Column) -> Column:
     return F.when(host.isNull() | (host == ""), F.lit("-")).otherwise(host)
 
 
-def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """One row a host: the hashes of its template subtrees.
+def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, few_pages: int = FEW_PAGES, few_share: float = FEW_SHARE) -> tuple[DataFrame, DataFrame]:
+    """(host, h) of the template subtrees, and (host, n) of the hosts' distinct contents.
 
     A host has no more of them than the mean number of elements of its pages divided
     by the share, whatever its number of pages.
@@ -257,24 +322,29 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
     # The page itself goes along as a hash that no element has: it counts the pages.
     each = found.select("host", "content", F.explode(F.array_append("hashes", F.lit(None).cast("long"))).alias("h")).distinct()
     counted = each.groupBy("host", "h").agg(F.count("*").alias("n"))
-    counted = checkpointed(counted.where(F.col("h").isNull() | (F.col("n") >= min_pages)))
+    counted = checkpointed(counted.where(F.col("h").isNull() | (F.col("n") >= min(min_pages, few_pages))))
     totals = counted.where("h IS NULL").select("host", F.col("n").alias("pages"))
-    many = counted.where("h IS NOT NULL").join(totals, "host").where(F.col("n") >= F.col("pages") * F.lit(min_share))
-    return many.groupBy("host").agg(F.sort_array(F.collect_list("h")).alias("templates"))
+    many = (F.col("n") >= min_pages) & (F.col("n") >= F.col("pages") * F.lit(min_share))
+    few = (F.col("n") >= few_pages) & (F.col("n") >= F.col("pages") * F.lit(few_share))
+    templates = counted.where("h IS NOT NULL").join(totals, "host").where(many | few).select("host", "h")
+    return templates, totals.withColumnRenamed("pages", "n")
 
 
 def with_text(pages: DataFrame, out: str = "text", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """The pages with their main text as a further column.
+    """The pages with their main text as a further column, in place of one of that name.
 
     A null or empty page has an empty text. Pages without a host are one site. A page
     without an article or main element is taken as a whole, without its templates.
-    Repeated rows are equal pages, which count once. An empty table stays empty.
-    Columns other than url and html stay as they are.
+    A very long or malformed page takes time in proportion to its length. Repeated
+    rows are equal pages, which count once. An empty table stays empty. Columns other
+    than url and html stay as they are.
     """
-    found = checkpointed(site_templates(pages, min_pages, min_share))
-    size = found.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("templates")), F.lit(0)).alias("m")).first()
+    found, hosts = site_templates(pages, min_pages, min_share)
+    found = checkpointed(found)
     host, known = internal(pages, "__host"), internal(pages, "__templates")
-    sites = small(found.select(F.col("host").alias(host), F.col("templates").alias(known)), 8 * size["n"] + size["m"], 8)
+    sites = found.groupBy(F.col("host").alias(host)).agg(F.sort_array(F.collect_list("h")).alias(known))
+    located = pages.withColumn(host, host_of(pages["url"]))
+    located = by_host(located, sites, hosts.withColumnRenamed("host", host), host, 8 * found.count())
 
     @F.pandas_udf("string")
     def extracted(html: pd.Series, hashes: pd.Series) -> pd.Series:
@@ -287,9 +357,8 @@ def with_text(pages: DataFrame, out: str = "text", min_pages: int = MIN_PAGES, m
             result.append(text_of_page(page, own))
         return pd.Series(result, dtype=object)
 
-    joined = pages.withColumn(host, host_of(pages["url"])).join(sites, host, "left")
-    text = extracted(F.coalesce(joined["html"].cast("string"), F.lit("")), joined[known])
-    return joined.withColumn(out, text).drop(host, known)
+    text = extracted(F.coalesce(F.col("html").cast("string"), F.lit("")), F.col(known))
+    return located.withColumn(out, text).drop(host, known)
 
 
 def op8_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:

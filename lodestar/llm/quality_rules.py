@@ -6,29 +6,34 @@ the distinct documents that hold a line are counted; a line in at least
 ``MIN_DOCS`` documents and ``MIN_SHARE`` of its host's is removed; a document of
 whose words less than ``MIN_LEFT`` is left is depleted and rejected.
 
-Copies count once. Otherwise every line of a much copied text would be above the
-limits and the whole group would go before near-dedup could keep one of it. What
-is counted for a line is therefore the near-copy classes of the documents that hold
-it: texts whose likeness (Jaccard of the five-word shingles, estimated from the
-least hash of each of 128 ranges) to the first text of a common bucket is 0.8 or
-more are one. Classes are never more than texts, so they are only looked for among
-the documents that hold a line which reaches the limits by distinct texts.
-
-Shuffles: one row for each distinct line of a document, summed before and after
+Copies count once. Exact copies are one document by the digest of their text. Edited
+copies are told from documents that share a block of lines by what is left of them
+without the lines that reach the limits: an edited copy's own lines are versions of
+its original's lines and so share most of their three-word windows with other copies'
+lines, while documents that only share a block have own lines of their own. So each
+text with a fifth or more of its words in such lines gets eight keys, the least of
+eight hashes of the windows of its own lines; a text that shares two keys or more with
+earlier texts of its host (by digest) is an edited copy and does not count. What is
+shared never enters a key, so a block of lines is counted right whatever its length.
+A text without own lines is a document of shared lines and counts.
+
+Shuffles: one row for each distinct line of a distinct text, summed before and after
 (so a line that a third of all rows hold is no hot task). The removed lines of a
 host are few whatever the size: no more than the mean number of lines of its
 documents divided by MIN_SHARE. They meet the documents as one array a host,
-broadcast only if their counted size is below a bound.
+broadcast if their counted size is below a bound, else by host and, where a host has
+many documents, by a salt.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import SPACES, checkpointed, internal, let, small, table, text_of, words_of
+from lodestar.llm.common import by_host, checkpointed, internal, let, met, small, table, text_of, words_of, written
 
 
 @dataclass(frozen=True)
@@ -42,12 +47,16 @@ class Rules:
     min_docs: int = 10
     min_share: float = 0.01
     min_left_percent: int = 20
+    #: From this share of its words in lines that reach the limits, a text may be an edited copy.
+    copy_percent: int = 20
 
 
 RULES = Rules()
 
-#: Words of a shingle, and the likeness from which texts are near copies: as in op10.
-SHINGLE, LIKENESS = 5, 0.8
+#: Words of a window of a text's own lines, its keys, and how many of them a copy shares.
+SHINGLE, KEYS, SHARED_KEYS = 3, 8, 2
+#: What is flipped of the windows' hashes (60 bits) for each key: the k-th multiple of an odd constant.
+MASKS = tuple(k * 0x9E3779B97F4A7C1 % (1 << 60) for k in range(KEYS))
 
 
 def n_covered(grams: Column, window: int) -> Column:
@@ -73,7 +82,9 @@ def n_repeat_words(words: Column, window: int) -> Column:
     """Words in windows of so many words that the text has twice or more."""
 
     def of_hashes(h: Column) -> Column:
-        grams = F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, window)]))
+        pairs = F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + 1)))
+        # A window from the pairs of its words, and from its last word if their number is odd.
+        grams = let(pairs, lambda p: F.transform(p, lambda x, i: F.xxhash64(x, *[F.get(p, i + k) for k in range(2, window - 1, 2)], *([F.get(h, i + window - 1)] if window % 2 else []))))
         grams = F.slice(grams, F.lit(1), F.greatest(F.size(h) - (window - 1), F.lit(0)))
         none = F.lit(0).cast("long")
         return let(grams, lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), none).otherwise(n_covered(g, window)))
@@ -83,31 +94,38 @@ def n_repeat_words(words: Column, window: int) -> Column:
 
 def n_dup_lines(text: Column) -> Column:
     """Lines with a word that equal an earlier line."""
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
 
 
-def line_rows(text: Column) -> Column:
-    """The lines with a word: (60 bits of the normalised line's md5, its words)."""
-    # A line feed stays what it is; other white space becomes one blank.
-    lines = F.filter(F.transform(F.split(normal(text), "\n", -1), lambda x: F.btrim(x)), lambda x: x != "")
-    return F.transform(lines, lambda x: F.struct(line_hash(x).alias("h"), (F.length(x) - F.length(F.translate(x, " ", "")) + 1).cast("long").alias("w")))
-
-
 def normal(text: Column) -> Column:
     """In lower case, white space other than line feeds as one blank."""
     return F.regexp_replace(F.lower(text), r"[\x20\x09\x0B-\x0D]+", " ")
 
 
-def line_hash(line: Column) -> Column:
-    """60 bits of the md5 of a normalised line."""
-    return F.conv(F.substring(F.md5(line), 1, 15), 16, 10).cast("long")
+def normal_lines(text: Column) -> Column:
+    """The normalised lines with a word."""
+    return F.filter(F.transform(F.split(normal(text), "\n", -1), lambda x: F.btrim(x)), lambda x: x != "")
+
+
+def n_words_of(line: Column) -> Column:
+    """The words of a normalised line."""
+    return (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1).cast("long")
+
+
+def line_rows(text: Column) -> Column:
+    """The lines with a word: (hash of the normalised line, its words)."""
+    return F.transform(normal_lines(text), lambda x: F.struct(F.xxhash64(x).alias("h"), n_words_of(x).alias("w")))
+
+
+def total_of(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
 def without_lines(text: Column, hashes: Column) -> Column:
     """The text without the lines of these hashes; the others stay as they are."""
-    kept = F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains(hashes, line_hash(F.btrim(normal(x)))))
-    return F.when(hashes.isNull(), text).otherwise(F.array_join(kept, "\n"))
+    kept = F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains(hashes, F.xxhash64(F.btrim(normal(x)))))
+    return F.array_join(kept, "\n")
 
 
 def host_key(host: Column) -> Column:
@@ -115,59 +133,60 @@ def host_key(host: Column) -> Column:
     return F.when(host.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), host.cast("string")))
 
 
-def frequent_lines(docs: DataFrame, rules: Rules = RULES, text_column: str = "text", host_column: str = "source") -> DataFrame:
-    """One row a host: the hashes of the lines above its limits."""
+def text_digest(text: Column) -> Column:
+    """60 bits of a text's md5."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
+def frequent_lines(docs: DataFrame, rules: Rules = RULES, text_column: str = "text", host_column: str = "source") -> tuple[DataFrame, DataFrame]:
+    """(host, h) of the lines above their hosts' limits, and (host, n) of the hosts' distinct texts."""
     rows = docs.select(host_key(docs[host_column]).alias("host"), text_of(docs, text_column).alias("text"))
-    texts = rows.select("host", F.xxhash64("text").alias("t"), F.md5("text").alias("m")).distinct().groupBy("host").agg(F.count("*").alias("n_docs"))
-    hashes = let(line_rows(F.col("text")), lambda x: F.sort_array(F.array_distinct(F.transform(x, lambda e: e["h"]))))
-    lines = rows.select("host", F.xxhash64("text").alias("t"), F.explode(hashes).alias("h")).distinct()
-    counted = lines.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= rules.min_docs)
+    held = let(line_rows(F.col("text")), lambda x: F.array_distinct(x))
+    # One row for each distinct line of a text and one for the text itself.
+    each = rows.select("host", text_digest(F.col("text")).alias("t"), F.explode(F.array_append(held, F.lit(None))).alias("line"))
+    lines = written(each.select("host", "t", F.col("line.h").alias("h"), F.col("line.w").alias("w")).distinct(), "lines")
+    counted = checkpointed(lines.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("h").isNull() | (F.col("n") >= rules.min_docs)))
+    texts = counted.where("h IS NULL").select("host", F.col("n").alias("n_docs"))
     limit = F.greatest(F.lit(float(rules.min_docs)), F.col("n_docs") * F.lit(rules.min_share))
-    reached = checkpointed(counted.join(texts, "host").withColumn("limit", limit).where(F.col("n") >= F.col("limit")).select("host", "h", "limit"))
-    return above_by_classes(rows, hashes, reached, reached.count()).groupBy("host").agg(F.collect_list("h").alias("lines"))
+    reached = counted.where("h IS NOT NULL").join(small(texts, texts.count(), 32), "host").withColumn("limit", limit).where(F.col("n") >= F.col("limit")).select("host", "h", "limit")
+    reached = checkpointed(reached)
+    many = reached.count()
+    hosts = texts.withColumnRenamed("n_docs", "n")
+    if not many:
+        return reached.select("host", "h"), hosts
+    asked = reached.groupBy("host").agg(F.collect_list("h").alias("asked"))
+    copies = edited_copies(by_host(rows, asked, hosts, "host", 8 * many), rules)
+    bearers = lines.where("h IS NOT NULL").join(small(reached, many, 40), ["host", "h"]).join(copies, ["host", "t"], "left_anti")
+    above = bearers.groupBy("host", "h").agg(F.count("*").alias("n"), F.first("limit").alias("limit")).where(F.col("n") >= F.col("limit"))
+    return above.select("host", "h"), hosts
 
 
-def least_hashes(text: Column) -> Column:
-    """Of the hashes of the five-word shingles, the least of each of 128 ranges."""
+def own_keys(text: Column, asked: Column, percent: int) -> Column:
+    """The keys of a text's own lines; none if it has too few of the asked lines, or no own line."""
 
-    def of_hashes(h: Column) -> Column:
-        grams = F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, SHINGLE)]))
-        return F.slice(grams, F.lit(1), F.greatest(F.size(h) - (SHINGLE - 1), F.lit(1)))
+    def shares(lines: Column) -> Column:
+        common = F.filter(lines, lambda x: F.array_contains(asked, F.xxhash64(x)))
+        return let(common, lambda c: F.when(100 * total_of(F.transform(c, n_words_of)) >= percent * total_of(F.transform(lines, n_words_of)), F.array_except(lines, c)))
 
-    grams = let(F.transform(words_of(F.lower(text)), lambda w: F.xxhash64(w)), of_hashes)
-    return let(F.sort_array(F.array_distinct(grams)), lambda s: F.filter(s, lambda x, i: F.coalesce(F.shiftright(x, 57) != F.shiftright(F.get(s, i - 1), 57), F.lit(True))))
+    def windows(words: Column) -> Column:
+        grams = F.transform(words, lambda x, i: text_digest(F.concat_ws(" ", x, *[F.get(words, i + k) for k in range(1, SHINGLE)])))
+        return F.slice(grams, F.lit(1), F.greatest(F.size(words) - (SHINGLE - 1), F.lit(1)))
 
+    def least(grams: Column) -> Column:
+        # A constant's bits flipped give each key another order of the windows' hashes.
+        return F.array(*[F.struct(F.lit(k).alias("k"), F.array_min(F.transform(grams, lambda x, m=m: x.bitwiseXOR(F.lit(m)))).alias("x")) for k, m in enumerate(MASKS)])
 
-def near_copy_heads(texts: DataFrame) -> DataFrame:
-    """(host, t, head) of the rows (host, t, least): the first text that each is a near copy of, or itself.
+    own = let(F.array_distinct(normal_lines(text)), shares)
+    return let(own, lambda x: F.when(F.size(x) > 0, let(let(F.split(F.concat_ws(" ", x), " "), windows), least)))
 
-    Each text meets the first text of each of its 32 buckets only, so the rows grow
-    with the texts and not with the square of a group.
-    """
-    buckets = F.transform(F.sequence(F.lit(-16), F.lit(15)), lambda b: F.struct(b.alias("b"), F.filter("least", lambda x: F.shiftright(x, 59) == b).alias("x")))
-    keys = F.transform(F.filter(buckets, lambda e: F.size(e["x"]) > 0), lambda e: F.xxhash64(e["b"], e["x"]))
-    held = texts.select("host", "t", F.explode(keys).alias("key"))
-    first = held.groupBy("host", "key").agg(F.min("t").alias("head"))
-    pairs = held.join(first, ["host", "key"]).where("head < t").select("host", "t", "head").distinct()
-    pairs = pairs.join(texts.select("host", "t", F.col("least").alias("x")), ["host", "t"])
-    pairs = pairs.join(texts.select("host", F.col("t").alias("head"), F.col("least").alias("y")), ["host", "head"])
-    ranges = F.size(F.array_union(F.transform("x", lambda e: F.shiftright(e, 57)), F.transform("y", lambda e: F.shiftright(e, 57))))
-    near = pairs.where(F.size(F.array_intersect("x", "y")) >= F.lit(LIKENESS) * ranges).groupBy("host", "t").agg(F.min("head").alias("head"))
-    # A head may be a near copy of an earlier head.
-    up = near.select("host", F.col("t").alias("head"), F.col("head").alias("up"))
-    near = near.join(up, ["host", "head"], "left").select("host", "t", F.coalesce("up", "head").alias("head"))
-    return texts.select("host", "t").join(near, ["host", "t"], "left").select("host", "t", F.coalesce("head", "t").alias("head"))
-
-
-def above_by_classes(rows: DataFrame, hashes: Column, reached: DataFrame, n: int) -> DataFrame:
-    """(host, h) of the lines that are in enough near-copy classes."""
-    asked = small(reached.groupBy("host").agg(F.collect_list("h").alias("asked")), n, 16)
-    held = rows.join(asked, "host").withColumn("held", F.array_intersect(hashes, F.col("asked"))).where(F.size("held") > 0)
-    held = held.select("host", F.xxhash64("text").alias("t"), "held", least_hashes(F.col("text")).alias("least"))
-    held = checkpointed(held.groupBy("host", "t").agg(F.first("held").alias("held"), F.first("least").alias("least")))
-    classes = held.select("host", "t", F.explode("held").alias("h")).join(near_copy_heads(held.select("host", "t", "least")), ["host", "t"])
-    counted = classes.select("host", "h", "head").distinct().groupBy("host", "h").agg(F.count("*").alias("n"))
-    return counted.join(reached, ["host", "h"]).where(F.col("n") >= F.col("limit")).select("host", "h")
+
+def edited_copies(rows: DataFrame, rules: Rules = RULES) -> DataFrame:
+    """host, text, asked -> (host, t) of the texts that share keys with earlier ones of their host."""
+    keyed = rows.where(F.col("asked").isNotNull()).select("host", F.col("text"), own_keys(F.col("text"), F.col("asked"), rules.copy_percent).alias("keys"))
+    keys = written(keyed.select("host", text_digest(F.col("text")).alias("t"), F.explode("keys").alias("key")).select("host", "t", "key.k", "key.x").distinct(), "keys")
+    first = keys.groupBy("host", "k", "x").agg(F.min("t").alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = met(keys, checkpointed(first), ["host", "k", "x"], 64).where("t > first")
+    return checkpointed(later.groupBy("host", "t").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED_KEYS).select("host", "t"))
 
 
 def with_rules(docs: DataFrame, rules: Rules = RULES, text_column: str = "text", host_column: str = "source", out: str = "rules", cleaned: str | None = None) -> DataFrame:
@@ -182,14 +201,13 @@ def with_rules(docs: DataFrame, rules: Rules = RULES, text_column: str = "text",
     Repeated rows get the same verdict and don't add to a line's documents. An
     empty table stays empty. Other columns stay as they are.
     """
-    found = checkpointed(frequent_lines(docs, rules, text_column, host_column))
-    size = found.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("lines")), F.lit(0)).alias("m")).first()
+    above, hosts = frequent_lines(docs, rules, text_column, host_column)
+    above = checkpointed(above)
     key, lines = internal(docs, "__host"), internal(docs, "__lines")
-    limits = small(found.select(F.col("host").alias(key), F.col("lines").alias(lines)), 8 * size["n"] + size["m"], 8)
-    joined = docs.withColumn(key, host_key(docs[host_column])).join(limits, key, "left")
+    sites = above.groupBy(F.col("host").alias(key)).agg(F.collect_list("h").alias(lines))
+    joined = by_host(docs.withColumn(key, host_key(docs[host_column])), sites, hosts.withColumnRenamed("host", key), key, 8 * above.count())
     text = F.coalesce(joined[text_column].cast("string"), F.lit(""))
-    word_chars = F.length(F.translate(text, SPACES, "")).cast("long")
-    symbols = (F.length(text) - F.length(F.translate(text, rules.symbols, ""))).cast("long")
+    symbols = (F.length(text) - F.length(F.regexp_replace(text, "[" + re.escape(rules.symbols) + "]+", ""))).cast("long")
 
     def removed(rows: Column) -> Column:
         above = F.array_intersect(F.transform(rows, lambda e: e["h"]), joined[lines])
@@ -199,20 +217,21 @@ def with_rules(docs: DataFrame, rules: Rules = RULES, text_column: str = "text",
     removed_words = F.when(joined[lines].isNull(), F.lit(0).cast("long")).otherwise(let(line_rows(text), removed))
 
     def counted(words: Column) -> Column:
-        return F.struct(F.size(words).cast("long").alias("n_words"), n_repeat_words(words, rules.window).alias("n_repeat_words"))
+        return F.struct(F.size(words).cast("long").alias("n_words"), F.length(F.array_join(words, "")).cast("long").alias("word_chars"), n_repeat_words(words, rules.window).alias("n_repeat_words"))
 
     def verdict(c: Column) -> Column:
         failed = (c["n_words"] < rules.min_words) | (100 * c["n_repeat_words"] > rules.max_repeat_percent * c["n_words"])
         depleted = 100 * (c["n_words"] - c["removed"]) < rules.min_left_percent * c["n_words"]
         return F.struct(
-            c["n_words"].alias("n_words"), word_chars.alias("word_chars"), symbols.alias("n_symbols"), n_dup_lines(text).alias("n_dup_lines"),
+            c["n_words"].alias("n_words"), c["word_chars"].alias("word_chars"), symbols.alias("n_symbols"), n_dup_lines(text).alias("n_dup_lines"),
             c["n_repeat_words"].alias("n_repeat_words"), c["removed"].alias("removed_words"), failed.alias("base_failed"), (~failed & ~depleted).alias("kept"),
         )
 
-    counts = let(let(words_of(text), counted), lambda c: F.struct(c["n_words"].alias("n_words"), c["n_repeat_words"].alias("n_repeat_words"), removed_words.alias("removed")))
+    counts = let(let(words_of(text), counted), lambda c: F.struct(c["n_words"].alias("n_words"), c["word_chars"].alias("word_chars"), c["n_repeat_words"].alias("n_repeat_words"), removed_words.alias("removed")))
     found = joined.withColumn(out, let(counts, verdict))
     if cleaned:
-        found = found.withColumn(cleaned, without_lines(joined[text_column].cast("string"), joined[lines]))
+        whole = F.col(f"`{text_column}`").cast("string")
+        found = found.withColumn(cleaned, F.when(F.col(out)["removed_words"] > 0, without_lines(whole, F.col(lines))).otherwise(whole))
     return found.drop(key, lines)
 
 
@@ -246,16 +265,31 @@ raw AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM
 dup AS (SELECT doc_id, (count(*) - count(DISTINCT line))::BIGINT AS n_dup_lines FROM raw
         WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 norm AS (SELECT doc_id, source, trim(regexp_replace(lower(line), '[\x20\x09\x0B-\x0D]+', ' ', 'g')) AS line FROM raw),
-hashed AS (SELECT doc_id, source, ('0x' || substr(md5(line), 1, 15))::BIGINT AS h,
-                  length(line) - length(replace(line, ' ', '')) + 1 AS n FROM norm WHERE line <> ''),
-sorted AS (SELECT doc_id, list_sort(list_distinct(list(h))) AS hs FROM hashed GROUP BY doc_id),
-pair AS (SELECT DISTINCT source, h, CASE WHEN hs[1] = h THEN coalesce(hs[2], -1) ELSE hs[1] END AS c
-         FROM hashed JOIN sorted USING (doc_id)),
-host AS (SELECT source, count(DISTINCT text) AS n_docs FROM d GROUP BY source),
-above AS (SELECT pair.source, h FROM pair JOIN host ON pair.source IS NOT DISTINCT FROM host.source
-          GROUP BY pair.source, h, n_docs HAVING count(*) >= 10 AND count(*) >= n_docs * 0.01::DOUBLE),
+hashed AS (SELECT doc_id, coalesce('+' || source, '-') AS host, line AS h, length(line) - length(replace(line, ' ', '')) + 1 AS n FROM norm WHERE line <> ''),
+t AS (SELECT DISTINCT coalesce('+' || source, '-') AS host, text, ('0x' || substr(md5(text), 1, 15))::BIGINT AS t FROM d),
+host AS (SELECT host, count(*) AS n_docs FROM t GROUP BY host),
+tl AS (SELECT host, t, unnest(string_split(text, chr(10))) AS line FROM t),
+tn AS (SELECT DISTINCT host, t, trim(regexp_replace(lower(line), '[\x20\x09\x0B-\x0D]+', ' ', 'g')) AS h FROM tl),
+tw AS (SELECT host, t, h, length(h) - length(replace(h, ' ', '')) + 1 AS n FROM tn WHERE h <> ''),
+reached AS (SELECT tw.host, h, greatest(10.0::DOUBLE, n_docs * 0.01::DOUBLE) AS lim FROM tw JOIN host USING (host)
+            GROUP BY tw.host, h, n_docs HAVING count(*) >= 10 AND count(*) >= n_docs * 0.01::DOUBLE),
+heavy AS (SELECT tw.host, t FROM tw LEFT JOIN reached r ON tw.host = r.host AND tw.h = r.h GROUP BY tw.host, t
+          HAVING count(r.h) > 0 AND 100 * sum(CASE WHEN r.h IS NOT NULL THEN n ELSE 0 END) >= 20 * sum(n)),
+first_at AS (SELECT host, t, trim(regexp_replace(lower(line), '[\x20\x09\x0B-\x0D]+', ' ', 'g')) AS h, min(i) AS i
+             FROM (SELECT host, t, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM t) GROUP BY ALL),
+own AS (SELECT o.host, o.t, string_split(string_agg(o.h, ' ' ORDER BY i), ' ') AS ws FROM first_at o JOIN heavy USING (host, t)
+        LEFT JOIN reached r ON o.host = r.host AND o.h = r.h WHERE r.h IS NULL AND o.h <> '' GROUP BY o.host, o.t),
+win AS (SELECT host, t, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS p FROM own),
+gm AS (SELECT host, t, ('0x' || substr(md5(array_to_string(ws[p:p + 2], ' ')), 1, 15))::BIGINT AS m FROM win),
+keys AS (SELECT host, t, k, min(xor(m, (k * 712544676207699905::HUGEINT % 1152921504606846976::HUGEINT)::BIGINT)) AS key
+         FROM gm, (SELECT unnest(range(0, 8)) AS k) GROUP BY host, t, k),
+firsts AS (SELECT host, k, key, min(t) AS t FROM keys GROUP BY host, k, key),
+copies AS (SELECT keys.host, keys.t FROM keys JOIN firsts ON keys.host = firsts.host AND keys.k = firsts.k AND keys.key = firsts.key
+           WHERE keys.t > firsts.t GROUP BY keys.host, keys.t HAVING count(*) >= 2),
+above AS (SELECT tw.host, tw.h FROM tw JOIN reached r ON tw.host = r.host AND tw.h = r.h ANTI JOIN copies c ON tw.host = c.host AND tw.t = c.t
+          GROUP BY tw.host, tw.h, lim HAVING count(*) >= lim),
 gone AS (SELECT doc_id, sum(n)::BIGINT AS removed_words FROM hashed
-         JOIN above ON hashed.source IS NOT DISTINCT FROM above.source AND hashed.h = above.h GROUP BY doc_id),
+         JOIN above ON hashed.host = above.host AND hashed.h = above.h GROUP BY doc_id),
 c AS (SELECT d.doc_id, len(words)::BIGINT AS n_words, length(translate(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), ''))::BIGINT AS word_chars,
              (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
              coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(removed_words, 0) AS removed_words

@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
 
-from lodestar.llm import dart_dedup
+from lodestar.llm import common, dart_dedup
 from lodestar.llm.components import components
 from lodestar.llm.shingles import shingles, words
 
 
-def brute(rows, threshold=0.8):
+def brute(rows, threshold=0.8, weights="count"):
     """Classes by all pairs, on texts."""
     texts = sorted({r[1] or "" for r in rows})
-    sets = {t: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := words(t)) else set() for t in texts}
+    sets = {t: Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := words(t)) else Counter() for t in texts}
+    if weights == "one":
+        sets = {t: Counter(set(s)) for t, s in sets.items()}
     parent = {t: t for t in texts}
 
     def root(t):
@@ -24,7 +27,7 @@ def brute(rows, threshold=0.8):
 
     for i, a in enumerate(texts):
         for b in texts[:i]:
-            if sets[a] and sets[b] and len(sets[a] & sets[b]) >= (threshold - 1e-9) * len(sets[a] | sets[b]):
+            if sets[a] and sets[b] and (sets[a] & sets[b]).total() >= (threshold - 1e-9) * (sets[a] | sets[b]).total():
                 parent[root(a)] = root(b)
     by_id = {}
     for r in rows:  # texts of one id share a class
@@ -41,8 +44,8 @@ def brute(rows, threshold=0.8):
     return sorted(((r[0], ids.get(root(r[1] or "")), sizes[root(r[1] or "")]) for r in rows), key=str)
 
 
-def found(docs):
-    return sorted((tuple(r) for r in dart_dedup.classes(docs).select("doc_id", "class_id", "class_size").collect()), key=str)
+def found(docs, weights="count"):
+    return sorted((tuple(r) for r in dart_dedup.classes(docs, weights=weights).select("doc_id", "class_id", "class_size").collect()), key=str)
 
 
 def test_signatures_estimate_weighted_similarity():
@@ -67,6 +70,7 @@ def test_shingles_are_five_words():
 
 def test_classes_of_messy_rows(messy, messy_rows, empty):
     assert found(messy) == brute(messy_rows)
+    assert found(messy, "one") == brute(messy_rows, weights="one")
     assert found(empty) == []
 
 
@@ -128,6 +132,34 @@ def test_multisets(spark):
     text = " ".join(f"w{i}" for i in range(30))
     rows = [(1, text), (2, f"{text} {text}"), (3, f"{text} {text} {text} x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    one = {r["doc_id"]: r["class_id"] for r in dart_dedup.classes(docs).collect()}
-    count = {r["doc_id"]: r["class_id"] for r in dart_dedup.classes(docs, weights="count").collect()}
+    one = {r["doc_id"]: r["class_id"] for r in dart_dedup.classes(docs, weights="one").collect()}
+    count = {r["doc_id"]: r["class_id"] for r in dart_dedup.classes(docs).collect()}
     assert one == {1: 1, 2: 1, 3: 1} and count == {1: 1, 2: 2, 3: 3}
+
+
+def test_hot_keys_meet_by_broadcast(spark, messy, messy_rows, monkeypatch):
+    """Beyond the broadcast bound hot buckets, texts and classes go another way, with the same result."""
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    assert found(messy) == brute(messy_rows)
+
+
+def test_met(spark, monkeypatch):
+    rows = spark.createDataFrame([(i % 7 if i % 3 else 0, i) for i in range(200)] + [(None, 1)], "k long, v long")
+    keys = rows.where("k IS NOT NULL").groupBy("k").count().selectExpr("k", "k * 10 AS x", "count AS n")
+    want = sorted((k, v, k * 10) for k, v in ((r["k"], r["v"]) for r in rows.collect()) if k is not None)
+    for bound in (1 << 20, -1):
+        monkeypatch.setattr(common, "BROADCAST_BYTES", bound)
+        assert sorted(map(tuple, common.met(rows, keys, ["k"], 8).collect())) == want
+
+
+def test_by_host(spark, monkeypatch):
+    rows = spark.createDataFrame([(f"h{i % 3 if i % 2 else 0}", i, {"a": i}) for i in range(300)], "h string, v long, m map<string,long>")
+    sites = spark.createDataFrame([("h0", [1]), ("h2", [2])], "h string, x array<int>")
+    hosts = rows.groupBy("h").count().withColumnRenamed("count", "n")
+    want = sorted((h, v, {"h0": [1], "h2": [2]}.get(h)) for h, v in ((r["h"], r["v"]) for r in rows.collect()))
+    for n_bytes in (1, 1 << 40):
+        for each in (10, 1000):
+            monkeypatch.setattr(common, "HOST_ROWS", each)
+            out = common.by_host(rows, sites, hosts, "h", n_bytes)
+            assert out.columns == ["h", "v", "m", "x"]
+            assert sorted((r["h"], r["v"], r["x"]) for r in out.collect()) == want

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lodestar.llm import factorization_toxicity as fm
 from lodestar.llm import fourier_quality as fq
@@ -98,6 +100,134 @@ def test_fingerprint_is_a_multiset_hash():
     assert near > 0.7 > mh.likeness(mh.fingerprint(make_text(1)), mh.fingerprint(make_text(2)))
 
 
+def plain_fingerprint(text):
+    """Exact lanes as Python integers and the sketch as a dictionary, paragraph by paragraph."""
+    import xxhash
+
+    big = (1 << 64) - 1
+
+    def mix(x):
+        for constant in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = (x ^ (x >> 33)) * constant & big
+        return x ^ (x >> 33)
+
+    exact, sketch = [0] * 8, [0] * 160
+    for line in text.split("\n"):
+        found = [w for w in re.split("[ \t\x0b\x0c\r]+", line) if w]
+        if not found:
+            continue
+        digest = hashlib.blake2b(" ".join(found).encode(), digest_size=64).digest()
+        for i in range(8):
+            exact[i] = (exact[i] + int.from_bytes(digest[8 * i : 8 * i + 8], "little")) & big
+        n = min(5, len(found))
+        for at in range(len(found) - n + 1):
+            total = n
+            for k in range(n):
+                total += mix((xxhash.xxh64_intdigest(found[at + k]) + (k + 1) * 0x9E3779B97F4A7C15) & big)
+            gram = mix(total & big)
+            sketch[(gram >> 32) % 160] += -1 if gram & 1 else 1
+    return exact, sketch
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    length = sum(x * x for x in a[1] + b[1])
+    return min(1.0, max(0.0, 1 - sum((x - y) ** 2 for x, y in zip(a[1], b[1], strict=True)) / length)) if length else 0.0
+
+
+def test_fingerprints_against_plain_python(spark):
+    texts = [make_text(i, 30 + 17 * i) for i in range(12)] + [make_text(3, 81) + "\nx", "", "one", " \n", "same line again\n" * 700, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in mh.fingerprints(docs).collect()}
+    whole = [t or "" for t in texts]
+    for i, text in enumerate(whole):
+        after, half = whole[(i + 1) % len(whole)], len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        mark, edited_mark = plain_fingerprint(text), plain_fingerprint(edited)
+        assert rows[i]["fingerprint"] == "".join(x.to_bytes(8, "little").hex() for x in mark[0]) + "".join((x % (1 << 32)).to_bytes(4, "little").hex() for x in mark[1])
+        assert rows[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert abs(rows[i]["near_edited"] - plain_likeness(mark, edited_mark)) < 1e-12
+        assert abs(rows[i]["near_next"] - plain_likeness(mark, plain_fingerprint(after))) < 1e-12
+
+
+def test_fingerprints_do_not_wrap():
+    none, many = mh.fingerprint(""), mh.fingerprint("a b\n" * 65_536)
+    assert (none != many).any() and mh.likeness(none, many) == 0.0
+    whole, half = mh.fingerprint("a b c d e\n" * 40_000), mh.fingerprint("a b c d e\n" * 20_000)
+    assert abs(mh.likeness(whole, half) - 0.8) < 1e-9
+
+
+def test_score_is_the_sum_over_pairs():
+    random_ = np.random.default_rng(2)
+    places = np.unique(random_.integers(0, fm.PLACES, 40)).astype(np.int32)
+    machine = fm.Machine(places, random_.normal(0, 1, len(places)), random_.normal(0, 0.5, (len(places), 5)), 0.3)
+    for k in (0, 1, 2, 15):
+        known = np.sort(random_.choice(len(places), k, replace=False))
+        value = 0.3 + sum(machine.weights[i] for i in known) + sum(float(machine.factors[i] @ machine.factors[j]) for i in known for j in known if i < j)
+        terms = np.unique(np.concatenate([places[known], random_.integers(0, fm.PLACES, 9).astype(np.int32)]))
+        assert abs(machine.score(terms) - 1 / (1 + np.exp(-value))) < 1e-12
+
+
+def test_gradient_is_that_of_the_loss():
+    """The fit's gradient against differences of the loss summed over explicit pairs."""
+    random_ = np.random.default_rng(4)
+    rows = [np.unique(random_.integers(0, 6, random_.integers(1, 5))) for _ in range(9)]
+    labels = (random_.random(9) < 0.5).astype(float)
+    w, v = random_.normal(0, 1, 6), random_.normal(0, 1, (6, 3))
+
+    def loss(w, v):
+        total = 0.0
+        for row, y in zip(rows, labels, strict=True):
+            value = sum(w[i] for i in row) + sum(float(v[i] @ v[j]) for i in row for j in row if i < j)
+            total += np.log1p(np.exp(value)) - y * value
+        return total / len(rows)
+
+    gw, gv = fm.gradient(rows, labels, w, v)
+    for i in range(6):
+        step = np.zeros(6)
+        step[i] = 1e-6
+        assert abs(gw[i] - (loss(w + step, v) - loss(w - step, v)) / 2e-6) < 1e-6
+        for j in range(3):
+            more = np.zeros((6, 3))
+            more[i, j] = 1e-6
+            assert abs(gv[i, j] - (loss(w, v + more) - loss(w, v - more)) / 2e-6) < 1e-6
+
+
+def test_summed_normal_equations_are_the_ridge_solution(spark):
+    docs, labels = labelled(spark, 400)
+    model = fq.train(docs.repartition(5), labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    own = [(r["doc_id"], r["quality"]) for r in labels.collect() if r["doc_id"] is not None and r["quality"] is not None and fold(r["doc_id"], 4) != 2]
+    x = np.stack([fq.statistics(texts[i]) for i, _ in own])
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, np.where(x.std(axis=0) > 1e-6, x.std(axis=0), model.scale))
+    chosen = {r["doc_id"] for r in docs.where(F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(fq.CALIBRATION)) != 0).collect()}
+    keep = [k for k, (i, _) in enumerate(own) if i in chosen]
+    z, y = model.features(x[keep]), np.array([float(own[k][1] == 1) for k in keep])
+    direct = np.linalg.solve(z.T @ z + fq.RIDGE * max(1.0, len(own) / 1000) * np.eye(z.shape[1]), z.T @ y)
+    assert np.allclose(z @ model.weights, z @ direct, atol=1e-6)
+
+
+def test_isotonic_against_brute_force():
+    """The least squares rising fit, by the max-min formula of block means."""
+    random_ = np.random.default_rng(6)
+    for n in (1, 2, 7, 40):
+        scores, labels = np.sort(random_.random(n)), (random_.random(n) < 0.5).astype(float)
+        fit = [max(min(labels[i : j + 1].mean() for j in range(k, n)) for i in range(k + 1)) for k in range(n)]
+        x, y = fq.isotonic(scores, labels)
+        assert (np.diff(y) > 0).all()
+        at = [int(np.argmin([abs(v - f) for v in y])) for f in fit]
+        assert np.allclose([y[k] for k in at], fit)
+        assert np.allclose([np.mean(scores[np.array(at) == k]) for k in range(len(y))], x)
+
+
+def test_two_labels_for_one_id(spark):
+    docs, labels = labelled(spark, 200)
+    more = labels.unionByName(spark.createDataFrame([(1, 0, 1), (1, 1, 0), (1, 1, 0)], labels.schema))
+    for rows in (fm.toxicity(docs, more).collect(), fq.quality(docs, more).collect()):
+        assert len(rows) == 200 and all(0 <= r["score"] <= 1 for r in rows)
+
+
 def test_fingerprints_of_messy_rows(spark, messy, messy_rows, empty):
     import xxhash  # noqa: F401
 

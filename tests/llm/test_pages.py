@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from lodestar.llm import page_text
+import random
+import time
+from collections import defaultdict
+
+import pytest
+
+from lodestar.llm import common, page_text
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <nav><ul><li><a href="/">Home</a></li></ul></nav><!-- ad --><div class="ad">Buy</div><div id="cookie-notice">We use cookies</div>
@@ -24,6 +30,20 @@ def test_odd_pages():
     assert page_text.text_of_page("<div>" * 20_000 + "deep") == "deep"
     assert page_text.text_of_page('<main><p>m</p></main><p>other</p>') == "m"
     assert page_text.text_of_page('<div class="sidebar">s</div><p hidden>h</p><p>t</p>') == "t"
+    assert page_text.text_of_page("<p>&#0000000065;&#99999999999;&#x110000000;&#" + "9" * 9_000 + ";</p>") == "A" + "\ufffd" * 3
+    assert page_text.text_of_page('<p title="open>x</p><p>y</p>') == "x\ny"
+    assert page_text.text_of_page("a <b") == "a" and page_text.text_of_page("a < b <") == "a < b <"
+
+
+N = 1 << 20
+
+
+@pytest.mark.parametrize("unit,tail", [('<a x="', ""), ("<a ", ""), ("<i>", "</u>"), ("<u><div><i>", "</u>"), ("<script></script ", ""), ("<b 'x>y' ", ""), ("<p>", "</i>"), ("<", ""), ("&#9", ""), ("<!--", ""), ("<td><button><b>", "</b>")])
+def test_malformed_pages_take_linear_time(unit, tail):
+    n = N // (len(unit) + len(tail))
+    start = time.process_time()
+    page_text.text_of_page(unit * n + tail * n)
+    assert time.process_time() - start < 8  # a second or two; quadratic time would be minutes
 
 
 def pages(spark):
@@ -48,3 +68,51 @@ def test_templates_of_a_site(spark):
 def test_empty_table(spark):
     table, _ = pages(spark)
     assert page_text.with_text(table.limit(0), out="main").collect() == []
+
+
+def brute_templates(rows, html):
+    """Blocks of text (one a page element here) that many distinct pages of a host have."""
+    seen, contents = defaultdict(set), defaultdict(set)
+    for host, parts in rows:
+        contents[host].add(html(parts))
+        for part in parts:
+            seen[host, part].add(html(parts))
+    return {k for k, pages_ in seen.items() if (len(pages_) >= 10 and len(pages_) >= 0.02 * len(contents[k[0]])) or (len(pages_) >= 3 and len(pages_) >= 0.5 * len(contents[k[0]]))}
+
+
+@pytest.mark.parametrize("broadcast", [8 << 20, -1])
+def test_templates_are_what_a_brute_force_count_says(spark, monkeypatch, broadcast):
+    """No names to go by: plain blocks, menus and notices that recur on some pages of a site."""
+    monkeypatch.setattr(common, "BROADCAST_BYTES", broadcast)
+    monkeypatch.setattr(common, "HOST_ROWS", 20)
+    chooser = random.Random(2)
+    html = lambda parts: "<body>" + "".join(f"<div><p>{x}</p></div>" for x in parts) + "</body>"
+    rows = []
+    for host, n in (("big.example", 700), ("mid.example", 60), ("small.example", 7), ("tiny.example", 2)):
+        for i in range(n):
+            own = [f"{host} story {i} part {j}" for j in range(chooser.randint(1, 3))]
+            shared = [f"menu {m}" for m in range(12) if chooser.random() < m / 12]  # on ever more pages
+            rows.append((host, tuple(shared + own)))
+        rows += rows[-2:]  # repeated pages count once
+    known = brute_templates(rows, html)
+    table = spark.createDataFrame([(i, f"https://{host}/{i}", html(parts)) for i, (host, parts) in enumerate(rows)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in page_text.with_text(table).collect()}
+    want = {i: "\n".join(p for p in parts if (host, p) not in known) for i, (host, parts) in enumerate(rows)}
+    assert got == want
+    without = sum(got[i] != "\n".join(parts) for i, (_, parts) in enumerate(rows))
+    assert without > 500  # the templates alone decide on these pages
+
+
+def test_templates_within_named_articles(spark):
+    """Containers that recur within articles go; a passage that many articles quote stays."""
+    quote = "A passage that very many articles of this site quote word for word"
+    rows = [(i, f"https://a.example/{i}", f"<body><p>top</p><article><h1>Story {i}</h1><p>{quote}</p><div><p>Share this</p></div><p>Text {i * 3}</p></article></body>") for i in range(40)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in page_text.with_text(table).collect()}
+    assert got == {i: f"Story {i}\n{quote}\nText {i * 3}" for i in range(40)}
+
+
+def test_clashing_text_column(spark):
+    table, rows = pages(spark)
+    out = page_text.with_text(table)
+    assert out.columns == table.columns and out.count() == len(rows)
