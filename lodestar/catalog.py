@@ -17,6 +17,7 @@ _MODULES: tuple[str, ...] = (
     "records",
     "functions_",
     "recalls",
+    "directory",
 )
 
 

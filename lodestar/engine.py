@@ -1,8 +1,9 @@
 """A memory engine over Parquet: remember, recall, forget, consolidate.
 
-State is event-sourced: every write adds a version of the table of memories in the
-engine's folder, so that readers of an older version are never disturbed and a write
-that fails leaves nothing behind. Recalls only read; ``learn`` writes their effect.
+State is event-sourced: every write appends the rows that it changes to a journal in
+the engine's folder, and ``vacuum`` and ``reflect`` fold it into a snapshot. A write that
+fails leaves nothing behind, and an engine opened on the folder again goes on from the
+newest state. Recalls only read; ``learn`` writes their effect.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import bits, scoring
 from lodestar.operators import changes, consolidation, gates, lexical, recall
+from lodestar.sources.journal import Journal
 
 SCHEMA = (
     "id long, text string, memory_type string, provenance string, tags array<string>, tag_mask long, ts_ms long, importance double, valence int, arousal int, "
@@ -36,21 +38,19 @@ class MemoryEngine:
 
         self.spark, self.folder, self.embed = spark, folder, embed
         self.now_ms = now_ms or (lambda: int(time.time() * 1000))
-        self.version = 0
+        self.journal = Journal(spark, folder, SCHEMA)
         self._suppressed: set[int] = set()
 
     # ---- state ----
 
+    @property
+    def version(self) -> int:
+        """The number of the newest write, 0 for none."""
+        return self.journal.version()
+
     def memories(self) -> DataFrame:
         """All memories, forgotten ones marked."""
-        if self.version == 0:
-            return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.folder}/v{self.version}")
-
-    def _write(self, rows: DataFrame) -> None:
-        columns = [f.name for f in self.memories().schema]
-        rows.select(*columns).write.parquet(f"{self.folder}/v{self.version + 1}")
-        self.version += 1
+        return self.journal.rows()
 
     # ---- writing ----
 
@@ -67,19 +67,15 @@ class MemoryEngine:
         new = new.withColumn("tag_mask", bits.tag_filter(F.col("tags")))
         if "vector" not in new.columns:
             new = new.withColumn("vector", self.embed(F.col("text")).cast("array<double>"))
-        columns = self.memories().columns
-        self._write(self.memories().unionByName(new.select(*columns)))
+        self.journal.put(new)
 
     def forget(self, *ids: int) -> None:
         """Mark memories as forgotten."""
-        self._write(self.memories().withColumn("tombstoned", F.col("tombstoned") | F.col("id").isin(*ids)))
+        self._update(ids, tombstoned=F.lit(True))
 
     def _update(self, ids: tuple[int, ...], **values: Column) -> None:
-        rows = self.memories()
-        chosen = F.col("id").isin(*ids)
-        for name, value in values.items():
-            rows = rows.withColumn(name, F.when(chosen, value).otherwise(F.col(name)))
-        self._write(rows)
+        """Append the chosen memories with new values, each from the old ones."""
+        self.journal.put(self.memories().where(F.col("id").isin(*ids)).withColumns(values))
 
     def reinforce(self, memory: int, valence: int = 0) -> None:
         """One more recall: the valence follows, the strength grows."""
@@ -103,14 +99,15 @@ class MemoryEngine:
 
     def vacuum(self) -> None:
         """Drop what is forgotten."""
-        self._write(changes.vacuumed(self.memories()))
+        self.journal.replace(changes.vacuumed(self.memories()))
 
     def reflect(self, retention_ms: int = 365 * 86_400_000) -> None:
         """Prune, fade, retain."""
-        self._write(consolidation.reflected(self.memories(), self.now_ms(), retention_ms))
+        self.journal.replace(consolidation.reflected(self.memories(), self.now_ms(), retention_ms))
 
     def decay(self, older_ms: int, factor: float) -> None:
-        self._write(consolidation.bulk_decayed(self.memories(), self.now_ms(), older_ms, factor))
+        older = self.memories().where(F.lit(self.now_ms()) - F.col("ts_ms") > older_ms)
+        self.journal.put(consolidation.bulk_decayed(older, self.now_ms(), older_ms, factor))
 
     # ---- reading ----
 
@@ -148,8 +145,8 @@ class MemoryEngine:
     def learn(self, results: DataFrame) -> None:
         """What a recall leaves behind: one automatic recall for each result."""
         hits = results.groupBy("id").agg(F.count("*").alias("_n"))
-        rows = self.memories().join(hits, "id", "left")
-        self._write(rows.withColumn("auto_recalls", (F.col("auto_recalls") + F.coalesce("_n", F.lit(0))).cast("int")).withColumn("strength", F.least(F.col("strength") + F.coalesce("_n", F.lit(0)) * 0.05, F.lit(5.0))))
+        rows = self.memories().join(hits, "id")
+        self.journal.put(rows.withColumn("auto_recalls", (F.col("auto_recalls") + F.col("_n")).cast("int")).withColumn("strength", F.least(F.col("strength") + F.col("_n") * 0.05, F.lit(5.0))))
 
     def why_not(self, memory: int, text: str, k: int = 20) -> str:
         """Why a memory isn't among the best."""

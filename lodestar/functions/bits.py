@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -108,17 +111,40 @@ def bundle(vectors: list[np.ndarray]) -> np.ndarray:
     return np.where(total == len(vectors), vectors[0], total > len(vectors)).astype(np.uint8)
 
 
+@functools.lru_cache(maxsize=4096)
+def gram_vector(gram: str) -> np.ndarray:
+    """The symbols of a gram, their places bound by rotation."""
+    value = np.zeros(DIMENSIONS, np.uint8)
+    for k, char in enumerate(gram):
+        value = bind(value, permute(symbol(char), len(gram) - 1 - k))
+    return value
+
+
 def text_vector(text: str, n: int = 3) -> np.ndarray:
-    """The bundle of a text's character n-grams, their places bound by rotation."""
-    grams = [text[i : i + n] for i in range(max(1, len(text) - n + 1))] if text else [""]
-    known = {c: symbol(c) for c in set(text)}
-    vectors = []
-    for gram in grams:
-        value = np.zeros(DIMENSIONS, np.uint8)
-        for k, char in enumerate(gram):
-            value = bind(value, permute(known[char], len(gram) - 1 - k))
-        vectors.append(value)
-    return bundle(vectors)
+    """The bundle of a text's character n-grams; equal grams are counted, not repeated."""
+    grams = Counter(text[i : i + n] for i in range(max(1, len(text) - n + 1))) if text else Counter([""])
+    total = np.zeros(DIMENSIONS, np.int64)
+    for gram, times in grams.items():
+        total += gram_vector(gram) * np.int64(2 * times)
+    number = grams.total()
+    return np.where(total == number, gram_vector(next(iter(grams))), total > number).astype(np.uint8)
+
+
+#: Of time-sorted ids: 2020-01-01T00:00:00Z in milliseconds, bits of the node and of the sequence.
+ID_EPOCH_MS, NODE_BITS, SEQUENCE_BITS = 1_577_836_800_000, 10, 12
+
+
+def time_sorted_id(ts_ms: Column, node: Column, sequence: Column) -> Column:
+    """A 64-bit id that sorts by time: milliseconds, node, sequence within them."""
+    high = F.shiftleft((ts_ms - ID_EPOCH_MS).cast("long"), NODE_BITS + SEQUENCE_BITS)
+    return high.bitwiseOR(F.shiftleft(F.pmod(node, F.lit(1 << NODE_BITS)).cast("long"), SEQUENCE_BITS)).bitwiseOR(F.pmod(sequence, F.lit(1 << SEQUENCE_BITS)).cast("long"))
+
+
+def name_uuid(name: Column) -> Column:
+    """A UUID that follows from a name (version 3), so that a retried write gets the same one."""
+    h = F.md5(name)
+    variant = F.substring(F.lit("89ab"), F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1, F.lit(1))
+    return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-3"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
 
 
 def hypervector_similarity(rows: DataFrame) -> DataFrame:

@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import scoring as s
+from lodestar.operators.graph import min_labels
 from lodestar.operators.recall import with_decay
 from lodestar.operators.vector_search import assigned, near_pairs
+from lodestar.sources.lineage import checkpointed
 
 
 def pruned(rows: DataFrame, now_ms: int, least: float = 0.05) -> DataFrame:
@@ -19,7 +21,8 @@ def pruned(rows: DataFrame, now_ms: int, least: float = 0.05) -> DataFrame:
 
 
 def sessions_joined(turns: DataFrame, by: str, order: tuple[str, ...], text: str, most: int = 500) -> DataFrame:
-    """Each session's turns in order as one text, cut to its first characters."""
+    """Each session's turns in order as one text. A consolidated session is a summary of
+    ``most`` characters by definition: its turns and their text are cut to that."""
     rows = turns.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(*order, F.left(F.coalesce(text, F.lit("")), F.lit(most)).alias("t")))).alias("r"), F.count("*").alias("turns"))
     return rows.select(by, "turns", F.left(F.concat_ws(" ", F.transform("r", lambda e: e["t"])), F.lit(most)).alias("text"))
 
@@ -47,11 +50,11 @@ def interfered(rows: DataFrame, radius: float, centres: np.ndarray, factor: floa
 
 
 def merged_duplicates(rows: DataFrame, radius: float, centres: np.ndarray) -> DataFrame:
-    """kept, n, importance, tag_mask: each near-duplicate pair's older id keeps the
-    largest importance, all tags and the newest time."""
-    pairs = near_pairs(rows, radius, centres).select(F.col("a").alias("kept"), F.col("b").alias("id"))
-    slim = rows.select("id", "importance", "tag_mask", "ts_ms")
-    members = pairs.unionByName(pairs.select("kept", F.col("kept").alias("id")).distinct()).join(slim, "id")
+    """kept, n, importance, tag_mask, ts_ms: of each group of near-duplicates (linked by
+    pairs within the radius) the oldest id keeps the largest importance, all tags and
+    the newest time. Groups are disjoint: no row is merged and keeps."""
+    pairs = near_pairs(rows, radius, centres).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    members = min_labels(pairs, checkpointed).select(F.col("label").alias("kept"), F.col("node").alias("id")).join(rows.select("id", "importance", "tag_mask", "ts_ms"), "id")
     return members.groupBy("kept").agg(F.count("*").alias("n"), F.max("importance").alias("importance"), F.expr("bit_or(tag_mask)").alias("tag_mask"), F.max("ts_ms").alias("ts_ms"))
 
 

@@ -4,48 +4,93 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as t
+from lodestar.sources.journal import Journal
+from lodestar.sources.lineage import checkpointed
 
 
-def postings(docs: DataFrame, analyzer: Callable[[Column], Column] = t.tokens, keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, text -> term, id, tf, dl (and the kept columns): one row a term of a document.
+def analysed(docs: DataFrame, analyzer: Callable[[Column], Column] = t.tokens, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, text -> id, dl, terms array<struct<term, tf>> (and the kept columns).
 
     Counted within the row, so nothing is shuffled: equal terms of a sorted array lie
     side by side.
     """
-    terms = docs.select("id", *keep, F.sort_array(analyzer(F.coalesce("text", F.lit("")))).alias("terms"))
-    runs = F.filter(F.transform("terms", lambda x, i: F.struct(x.alias("term"), i.alias("at"), (F.get(F.col("terms"), i - 1) == x).alias("again"))), lambda e: ~F.coalesce(e["again"], F.lit(False)))
-    rows = terms.select("id", *keep, F.size("terms").alias("dl"), runs.alias("runs"))
-    ends = F.transform("runs", lambda e, i: F.struct(e["term"].alias("term"), (F.coalesce(F.get(F.col("runs"), i + 1)["at"], F.col("dl")) - e["at"]).alias("tf")))
-    return rows.select("id", *keep, "dl", F.explode(ends).alias("e")).select("e.term", "id", *keep, F.col("e.tf").cast("long").alias("tf"), "dl")
+
+    def counted(terms: Column) -> Column:
+        runs = F.filter(F.transform(terms, lambda x, i: F.struct(x.alias("term"), i.alias("at"), (F.get(terms, i - 1) == x).alias("again"))), lambda e: ~F.coalesce(e["again"], F.lit(False)))
+        ends = t.let(runs, lambda r: F.transform(r, lambda e, i: F.struct(e["term"].alias("term"), (F.coalesce(F.get(r, i + 1)["at"], F.size(terms)) - e["at"]).cast("long").alias("tf"))))
+        return F.struct(F.size(terms).alias("dl"), ends.alias("terms"))
+
+    rows = docs.select("id", *keep, t.let(F.sort_array(analyzer(F.coalesce("text", F.lit("")))), counted).alias("a"))
+    return rows.select("id", *keep, "a.dl", "a.terms")
+
+
+def postings(docs: DataFrame, analyzer: Callable[[Column], Column] = t.tokens, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, text -> term, id, tf, dl (and the kept columns): one row a term of a document."""
+    return analysed(docs, analyzer, keep).select("id", *keep, "dl", F.explode("terms").alias("e")).select("e.term", "id", *keep, "e.tf", "dl")
+
+
+#: Distinct terms of all queries together, up to which they are broadcast (some 100 bytes each).
+BROADCAST_TERMS = 80_000
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, k1: float = 1.2, b: float = 0.75, analyzer: Callable[[Column], Column] = t.tokens, partition: str | None = None, digits: int = 6) -> DataFrame:
     """query_id, id, score, rank. docs: id, text; queries: query_id, text.
 
     A query's repeated terms count again. ``partition`` names a column of the documents
-    with statistics of its own for each value. Sums: one pass for the lengths, one for
-    the document frequencies of the queries' terms; the scores are partial sums before
-    their shuffle. Common terms' postings meet the queries' terms where they lie.
+    with statistics of its own for each value. The documents are analysed once.
+    """
+    return bm25_of(analysed(docs, analyzer, (partition,) if partition else ()), queries, k, k1, b, analyzer, partition, digits)
+
+
+def bm25_of(rows: DataFrame, queries: DataFrame, k: int | None = 10, k1: float = 1.2, b: float = 0.75, analyzer: Callable[[Column], Column] = t.tokens, partition: str | None = None, digits: int = 6) -> DataFrame:
+    """BM25 over analysed documents (see ``analysed``), which are read once.
+
+    That pass keeps the postings of the queries' terms, and one row without a term for
+    each document, from which its statistics come; the terms are broadcast if they are
+    counted to be few. Scores are partial sums before their shuffle.
     """
     keep = (partition,) if partition else ()
-    rows = postings(docs, analyzer, keep)
-    lengths = docs.select(*keep, F.size(analyzer(F.coalesce("text", F.lit("")))).alias("dl"))
-    stats = lengths.groupBy(*keep).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    asked = postings(queries.select(F.col("query_id").alias("id"), "text"), analyzer).select("term", F.col("id").alias("query_id"), F.col("tf").alias("times"))
-    hits = rows.join(asked.select("term").distinct(), "term", "left_semi")
+    asked = checkpointed(postings(queries.select(F.col("query_id").alias("id"), "text"), analyzer).select("term", F.col("id").alias("query_id"), F.col("tf").alias("times")))
+    terms = asked.select("term").distinct()
+    sent = (lambda df: F.broadcast(df)) if terms.count() <= BROADCAST_TERMS else (lambda df: df)
+    each = rows.select("id", *keep, "dl", F.explode(F.array_append("terms", F.lit(None))).alias("e")).select("e.term", "id", *keep, "e.tf", "dl")
+    hits = checkpointed(each.join(sent(terms.withColumn("_asked", F.lit(True))), "term", "left").where("_asked OR term IS NULL").drop("_asked"))
+    stats = hits.where("term IS NULL").groupBy(*keep).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    hits = hits.where("term IS NOT NULL")
     df = hits.groupBy("term", *keep).agg(F.count("*").alias("df"))
     weighed = df.join(stats, list(keep)) if keep else df.crossJoin(F.broadcast(stats))  # one row: no product
-    weighed = weighed.withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0))
-    scored = hits.join(weighed, ["term", *keep]).join(asked, "term")
+    weighed = weighed.withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)).join(asked, "term")
+    scored = hits.join(weighed if keep else sent(weighed), ["term", *keep])
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     found = scored.groupBy("query_id", "id").agg(F.round(F.sum(part), digits).alias("score"))
     return ranked(found, k)
 
 
+class KeywordIndex:
+    """Analysed documents in a journal: upsert, remove, search without analysing again."""
+
+    def __init__(self, spark: SparkSession, folder: str, analyzer: Callable[[Column], Column] = t.tokens):
+        self.spark, self.analyzer = spark, analyzer
+        self.journal = Journal(spark, folder, "id long, dl int, terms array<struct<term:string,tf:long>>")
+
+    def upsert(self, docs: DataFrame) -> None:
+        """Add documents (id, text), or replace those of the same id."""
+        self.journal.put(analysed(docs, self.analyzer))
+
+    def remove(self, ids: DataFrame) -> None:
+        self.journal.drop(ids)
+
+    def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
+        return bm25_of(self.journal.rows(), queries, k, analyzer=self.analyzer)
+
+    def compact(self) -> None:
+        self.journal.compact()
+
+
 def ranked(scored: DataFrame, k: int | None, by: str = "score", key: str = "id") -> DataFrame:
     """The best k of each query, ties by id."""
     order = Window.partitionBy("query_id").orderBy(F.desc(by), key)

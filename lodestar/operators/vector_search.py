@@ -1,10 +1,11 @@
 """Exact and approximate nearest neighbours, quantizers and clusters over DataFrames.
 
 Vectors come as (id, vector array<double>). A stated set of queries meets all rows in
-blocks: both sides are packed into blocks of numbers, a block of rows goes to each
-block of queries, and each pair of blocks is one matrix product that keeps the best k
-for each query; windows then merge the blocks' best. No pair of a query and a row
-becomes a row of a table.
+blocks, and each pair of blocks is one matrix product that keeps the best k for each
+query; windows then merge the blocks' best. Queries whose counted bytes are below
+QUERY_BYTES go to every task, so that no row's vector is shuffled. More queries are
+dealt in blocks: each block of rows meets each block of queries by the numbers of
+both. No pair of a query and a row becomes a row of a table.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from lodestar.functions import vectors as v
 
 #: Vectors of a block of rows, and of a block of queries.
 BLOCK, QUERIES = 4096, 1024
+#: The largest query side, in bytes of its vectors, that every task gets.
+QUERY_BYTES = 16 << 20
 #: Rows that a task holds before it merges the best of its blocks.
 HELD = 1_000_000
 METRICS = ("cosine", "dot", "l2")
@@ -65,41 +68,72 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosin
     cell = [cells] if cells else []
     rows = rows.where(F.col("id").isNotNull() & F.col("vector").isNotNull()).select("id", "vector", *cell)
     queries = queries.where(F.col("query_id").isNotNull() & F.col("vector").isNotNull()).select("query_id", F.col("vector").alias("query"), *cell)
-    n_queries = queries.count()
-    n_rows = rows.count()
-    query_blocks = max(1, -(-n_queries // QUERIES))
-    row_blocks = max(1, -(-n_rows // BLOCK))
-    # A row's block goes to every block of queries, by an equal key: no cross join.
-    left = rows.withColumn("rb", F.pmod(F.xxhash64("id"), F.lit(row_blocks)).cast("int"))
-    left = left.groupBy("rb", *cell).agg(F.collect_list(F.struct("id", "vector")).alias("rows"))
-    left = left.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    right = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int"))
-    right = right.groupBy("qb", *cell).agg(F.collect_list(F.struct("query_id", "query")).alias("queries"))
+    size = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum(8 * F.size("query") + 16), F.lit(0)).alias("bytes")).first()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def product(ids: np.ndarray, own: np.ndarray, names: np.ndarray, asked: np.ndarray) -> pd.DataFrame:
+        found = np.round(scores(asked, own, metric), digits) + 0.0  # no negative zero
+        best = min(k, len(ids))
+        order = np.lexsort((np.broadcast_to(ids, found.shape), -found), axis=1)[:, :best]
+        return pd.DataFrame({"query_id": np.repeat(names, best), "id": ids[order].ravel(), "score": np.take_along_axis(found, order, axis=1).ravel()})
+
+    def merged(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The best of a task's blocks, merged whenever many are held."""
         held, n = [], 0
-        for frame in frames:
-            for some, asked in zip(frame["rows"], frame["queries"], strict=True):
-                ids = np.array([r["id"] for r in some])
-                own = np.array([r["vector"] for r in some], dtype=float)
-                names = [q["query_id"] for q in asked]
-                found = np.round(scores(np.array([q["query"] for q in asked], dtype=float), own, metric), digits)
-                found = found + 0.0  # no negative zero
-                best = min(k, len(ids))
-                order = np.lexsort((np.broadcast_to(ids, found.shape), -found), axis=1)[:, :best]
-                held.append(pd.DataFrame({"query_id": np.repeat(names, best), "id": ids[order].ravel(), "score": np.take_along_axis(found, order, axis=1).ravel()}))
-                n += len(held[-1])
-                if n > HELD:
-                    merged = best_of(pd.concat(held), k)
-                    if len(merged) > HELD // 2:  # too many queries to hold
-                        yield merged
-                        held, n = [], 0
-                    else:
-                        held, n = [merged], len(merged)
+        for part in parts:
+            held.append(part)
+            n += len(part)
+            if n > HELD:
+                best = best_of(pd.concat(held), k)
+                if len(best) > HELD // 2:  # too many queries to hold
+                    yield best
+                    held, n = [], 0
+                else:
+                    held, n = [best], len(best)
         if held:
             yield best_of(pd.concat(held), k)
 
-    best = left.join(right, ["qb", *cell]).select("rows", "queries").mapInPandas(run, "query_id long, id long, score double")
+    kind = "query_id long, id long, score double"
+    if size["bytes"] <= QUERY_BYTES:
+        sent = queries.toPandas()  # as many bytes as were counted
+        groups = dict(list(sent.groupby(cells))) if cells else {None: sent}
+        known = {key: (group["query_id"].to_numpy(np.int64), np.array(group["query"].to_list(), dtype=float)) for key, group in groups.items() if len(group)}
+        shared = queries.sparkSession.sparkContext.broadcast(known)
+
+        def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            def parts() -> Iterator[pd.DataFrame]:
+                for frame in frames:
+                    for key, group in frame.groupby(cells) if cells else ((None, frame),):
+                        if key not in shared.value:
+                            continue
+                        for at in range(0, len(group), BLOCK):
+                            some = group.iloc[at : at + BLOCK]
+                            own = np.array(some["vector"].to_list(), dtype=float)
+                            names, asked = shared.value[key]
+                            for q in range(0, len(names), QUERIES):
+                                yield product(some["id"].to_numpy(np.int64), own, names[q : q + QUERIES], asked[q : q + QUERIES])
+
+            return merged(parts())
+
+        best = rows.mapInPandas(search, kind)
+    else:
+        query_blocks, row_blocks = max(1, -(-size["n"] // QUERIES)), max(1, -(-rows.count() // BLOCK))
+        left = rows.withColumn("rb", F.pmod(F.xxhash64("id"), F.lit(row_blocks)).cast("int"))
+        left = left.groupBy("rb", *cell).agg(F.collect_list(F.struct("id", "vector")).alias("rows"))
+        left = left.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+        right = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int"))
+        right = right.groupBy("qb", *cell).agg(F.collect_list(F.struct("query_id", "query")).alias("queries"))
+        right = right.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            def parts() -> Iterator[pd.DataFrame]:
+                for frame in frames:
+                    for some, asked in zip(frame["rows"], frame["queries"], strict=True):
+                        own, wanted = (np.array([r[c] for r in block], dtype=float) for block, c in ((some, "vector"), (asked, "query")))
+                        yield product(np.array([r["id"] for r in some]), own, np.array([q["query_id"] for q in asked]), wanted)
+
+            return merged(parts())
+
+        best = left.join(right, ["rb", "qb", *cell]).select("rows", "queries").mapInPandas(run, kind)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -315,7 +349,10 @@ def near_pairs(rows: DataFrame, radius: float, centres: np.ndarray) -> DataFrame
 
     Blocking without loss: a row sits in its own cell and visits each other cell whose
     centre is so near that a row within the radius may sit there (the triangle
-    inequality with the cell's own radius). Pairs meet in cells, in blocks of numbers.
+    inequality with the cell's own radius). Pairs meet in cells, in blocks of numbers:
+    each block of a cell's rows meets each block of its visitors by the numbers of
+    both, so no cell is one task. Ids are unique, so each pair is found once. A radius
+    that most pairs are within gives most pairs, by its nature.
     """
 
     def placed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -335,12 +372,17 @@ def near_pairs(rows: DataFrame, radius: float, centres: np.ndarray) -> DataFrame
     held = {r["cell"]: r["n"] for r in base.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     seen = {r["cell"]: r["n"] for r in visit.groupBy("cell").agg(F.count("*").alias("n")).collect()}
 
+    def blocks(counts: dict[int, int]) -> Column:
+        return F.element_at(F.array(*[F.lit(max(1, -(-counts.get(c, 0) // BLOCK))) for c in range(len(centres))]), F.col("cell") + 1)
+
     def block(key: str, counts: dict[int, int]) -> Column:
-        numbers = F.array(*[F.lit(max(1, -(-counts.get(c, 0) // BLOCK))) for c in range(len(centres))])
-        return F.pmod(F.xxhash64(key), F.element_at(numbers, F.col("cell") + 1)).cast("int")
+        return F.pmod(F.xxhash64(key), blocks(counts)).cast("int")
 
     base = base.withColumn("b", block("id", held)).groupBy("cell", "b").agg(F.collect_list(F.struct("id", "vector")).alias("rows"))
     visit = visit.withColumn("v", block("other", seen)).groupBy("cell", "v").agg(F.collect_list(F.struct("other", "o")).alias("asks"))
+    # Each block goes to all blocks of the other side in its cell.
+    base = base.withColumn("v", F.explode(F.sequence(F.lit(0), blocks(seen) - 1)))
+    visit = visit.withColumn("b", F.explode(F.sequence(F.lit(0), blocks(held) - 1)))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -351,7 +393,7 @@ def near_pairs(rows: DataFrame, radius: float, centres: np.ndarray) -> DataFrame
                 i, j = np.nonzero((d <= radius) & (ids[:, None] < others[None, :]))
                 yield pd.DataFrame({"a": ids[i], "b": others[j], "distance": d[i, j]})
 
-    return base.join(visit, "cell").select("rows", "asks").mapInPandas(run, "a long, b long, distance double").dropDuplicates(["a", "b"])
+    return base.join(visit, ["cell", "b", "v"]).select("rows", "asks").mapInPandas(run, "a long, b long, distance double")
 
 
 def principal(rows: DataFrame, k: int = 3) -> DataFrame:

@@ -72,7 +72,7 @@ _add(
 )
 _add(
     "hdc_similarity",
-    lambda spark, sf_dir: bits.hypervector_similarity(read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("text"))),
+    lambda spark, sf_dir: bits.hypervector_similarity(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")),
 )
 
 # ---- streams -------------------------------------------------------------------------
@@ -93,7 +93,12 @@ _add(
     lambda spark, sf_dir: streams.drained(spark, streams.deduplicated(streams.events(spark, sf_dir), ["event_id"]), "append"),
     "SELECT event_id, user_id, event_type FROM events",
 )
-_add("stream_habituation", lambda spark, sf_dir: streams.drained(spark, streams.habituation(streams.events(spark, sf_dir)), "update"), "SELECT user_id, count(*) AS n, round(1 / (1 + (count(*) - 1) * 0.2::DOUBLE), 6) AS penalty FROM events GROUP BY user_id")
+_add("stream_habituation", lambda spark, sf_dir: streams.drained(spark, streams.habituation(streams.events(spark, sf_dir)), "update", ("user_id",)), "SELECT user_id, count(*) AS n, round(1 / (1 + (count(*) - 1) * 0.2::DOUBLE), 6) AS penalty FROM events GROUP BY user_id")
+_add(
+    "stream_welford",
+    lambda spark, sf_dir: streams.drained(spark, streams.welford(streams.events(spark, sf_dir)), "update", ("event_type",)).select("event_type", "n", F.round("mean", 4).alias("mean"), F.round("deviation", 4).alias("deviation")),
+    "SELECT event_type, count(value) AS n, round(avg(value), 4) AS mean, round(CASE WHEN count(value) >= 20 THEN stddev_pop(value) ELSE 0 END, 4) AS deviation FROM events GROUP BY event_type",
+)
 _add("stream_upsert", lambda spark, sf_dir: streams.last_by_batches(spark, sf_dir), "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id")
 _add("session_windows_batch", lambda spark, sf_dir: streams.sessions(read(spark, sf_dir, "events"), "5 minutes"), """WITH g AS (SELECT user_id, ts, event_id, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 5 MINUTE AS cut FROM events),
       s AS (SELECT *, sum(coalesce(cut, false)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""")

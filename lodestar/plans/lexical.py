@@ -124,7 +124,16 @@ def splade_fusion(spark, sf_dir):
     return fused([lexical.hybrid(docs(spark, sf_dir), doc_vectors(spark, sf_dir), asked(spark, sf_dir), query_vectors(spark, sf_dir), 50), sparse(spark, sf_dir)], 10)
 
 
-_add("sparse_fusion", splade_fusion)
+_add(
+    "sparse_fusion",
+    splade_fusion,
+    f"""WITH {_LEGS.replace('<= 50', '<= 100')}, h AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM r),
+      sd AS (SELECT id, term, count(*)::DOUBLE AS w FROM (SELECT doc_id AS id, unnest({_W}) AS term FROM documents) GROUP BY ALL),
+      sq AS (SELECT id AS query_id, term, count(*)::DOUBLE AS q FROM (SELECT item_id AS id, unnest({_W}) AS term FROM benchmark WHERE item_id % 20 = 0) GROUP BY ALL),
+      sb AS (SELECT query_id, id, round(sum(w * q), 6) AS score FROM sd JOIN sq USING (term) GROUP BY ALL), sr AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sb),
+      fu AS (SELECT * FROM h WHERE rank <= 50 UNION ALL SELECT * FROM sr WHERE rank <= 10), fs AS (SELECT query_id, id, round(sum(1 / (60 + rank)::DOUBLE), 9) AS score FROM fu GROUP BY ALL)
+      SELECT query_id, id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fs) WHERE rank <= 10""",
+)
 
 
 def late_interaction(spark, sf_dir):

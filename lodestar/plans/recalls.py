@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import bits, scoring, vectors as v
@@ -43,7 +44,7 @@ _add(
 
 def associative(spark, sf_dir):
     """The mask of tags associated with what the last memories were about."""
-    recent = memories(spark, sf_dir).orderBy(F.desc("ts_ms"), "id").limit(20).select("tags", (F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy(F.desc("ts_ms"), "id")) - 1).alias("age"))
+    recent = memories(spark, sf_dir).orderBy(F.desc("ts_ms"), "id").limit(20).select("tags", (F.row_number().over(Window.orderBy(F.desc("ts_ms"), "id")) - 1).alias("age"))
     recent = recent.select(F.explode("tags").alias("tag"), "age")
     pairs = graph.associated(graph.co_activation(memories(spark, sf_dir)))
     own = memories(spark, sf_dir).select(F.explode("tags").alias("tag")).distinct()

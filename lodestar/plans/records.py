@@ -179,7 +179,8 @@ _add(
 _add(
     "semantic_dedup",
     lambda spark, sf_dir: k.merged_duplicates(embedded(spark, sf_dir), 0.3, label_centres(spark, sf_dir)).select("kept", "n", F.round("importance", 6).alias("importance"), "tag_mask", "ts_ms"),
-    f"""WITH {_PAIRS}, g AS (SELECT a AS kept, b AS id FROM pr UNION SELECT a, a FROM pr)
+    f"""WITH RECURSIVE {_PAIRS}, w AS (SELECT a, b FROM pr UNION ALL SELECT b, a FROM pr),
+      reach AS (SELECT a, a AS b FROM w UNION SELECT reach.a, w.b FROM reach JOIN w ON reach.b = w.a), g AS (SELECT a AS id, min(b) AS kept FROM reach GROUP BY a)
       SELECT kept, count(*) AS n, round(max(importance), 6) AS importance, bit_or(tag_mask) AS tag_mask, max(ts_ms) AS ts_ms FROM g JOIN emb ON g.id = emb.id GROUP BY kept""",
 )
 _add("bulk_decay", lambda spark, sf_dir: k.bulk_decayed(memories(spark, sf_dir), NOW_MS, 10 * DAY, 0.5).select("id", F.round("importance", 6).alias("importance")), f"WITH {MEMORIES_SQL} SELECT id, round(CASE WHEN {NOW_MS} - ts_ms > {10 * DAY} THEN importance * 0.5 ELSE importance END, 6) AS importance FROM mem")

@@ -133,7 +133,7 @@ _add(
 )
 _add("equal_frequency_quantize", lambda spark, sf_dir: s.equal_frequency(base(spark, sf_dir)).select("d", "code", F.round("centre", 4).alias("centre"), "n"))
 for _kind in ("turbo", "svasq"):
-    for _bits in (8, 4):
+    for _bits in (8, 4, 2):
         _add(f"{_kind}_quantize_{_bits}", lambda spark, sf_dir, kind=_kind, bits=_bits: s.turned(base(spark, sf_dir), kind, bits).select("id", "codes", F.round(F.aggregate("restored", F.lit(0.0), lambda a, x: a + x * x), 4).alias("length")))
 
 _CENTRES = "c AS (SELECT label, list(m ORDER BY i) AS m FROM (SELECT label, i, avg(v[i]) AS m FROM (SELECT label, v, unnest(range(1, len(v) + 1)) AS i FROM e) GROUP BY label, i) GROUP BY label)"
@@ -154,10 +154,10 @@ _add(
 )
 _add(
     "ivf_flat_search",
-    lambda spark, sf_dir: s.ivf_search(base(spark, sf_dir), asked(spark, sf_dir), label_centres(spark, sf_dir), probes=4),
+    lambda spark, sf_dir: s.ivf_search(base(spark, sf_dir), asked(spark, sf_dir), label_centres(spark, sf_dir), probes=8),
     f"""WITH {E}, {_CENTRES}, d AS (SELECT id, v, label AS cell, list_distance(v, m) AS g FROM (SELECT e.id, e.v, c.label, c.m FROM e, c)),
       own AS (SELECT id, v, arg_min(cell, g) AS cell FROM d GROUP BY id, v),
-      ask AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY g, cell) AS n FROM d WHERE id % 20 = 0) WHERE n <= 4),
+      ask AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY g, cell) AS n FROM d WHERE id % 20 = 0) WHERE n <= 8),
       x AS (SELECT ask.id AS query_id, own.id, round(1 / (1 + list_distance(ask.v, own.v)), 6) AS score FROM ask JOIN own USING (cell))
       SELECT query_id, id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM x) WHERE rank <= 10""",
 )

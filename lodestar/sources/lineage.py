@@ -1,15 +1,58 @@
-"""Cutting lineage in the folder that the whole cluster shares."""
+"""The folder that the whole cluster shares: cut lineage, committed tables."""
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows from ``spark.checkpoint.dir``; a folder is made only where none is set."""
-    context = df.sparkSession.sparkContext
+def ensure_checkpoints(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``.
+
+    Only a local master, where one machine does all, gets a folder of its own if the
+    setting is missing; a cluster must name one that all of it sees.
+    """
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="lodestar-checkpoints-")
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestar-checkpoints-"))
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows from the shared checkpoint folder, with the lineage cut."""
+    ensure_checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return os.path.join(ensure_checkpoints(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def _path(spark: SparkSession, folder: str):
+    """A path and its file system, whatever that is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def committed(spark: SparkSession, folder: str) -> list[str]:
+    """The names of the tables below a folder whose writing has ended well."""
+    path, system = _path(spark, folder)
+    if not system.exists(path):
+        return []
+    names = [status.getPath().getName() for status in system.listStatus(path) if status.isDirectory()]
+    return sorted(n for n in names if system.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS")))
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Delete a folder if it is there."""
+    path, system = _path(spark, folder)
+    system.delete(path, True)

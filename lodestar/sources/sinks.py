@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,12 +10,8 @@ from pyspark.sql import functions as F
 from lodestar.functions import text as t
 from lodestar.functions import vectors as v
 from lodestar.operators import changes, chunking
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster names; a temporary one only if unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="lodestar-")
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+from lodestar.sources.journal import Journal
+from lodestar.sources.lineage import shared_folder
 
 
 def ingested(docs: DataFrame, embed: Callable[[Column], Column], chunker: str = "markdown") -> DataFrame:
@@ -79,29 +72,28 @@ def bundle_round_trip(table: DataFrame, name: str) -> DataFrame:
 
 
 class VectorStore:
-    """add, delete and search over a Parquet table of id, text, metadata, vector."""
+    """add, delete and search over a journal of id, text, metadata, vector.
+
+    add and delete append what changes; compact folds it. Opening the folder again finds
+    the newest state.
+    """
 
     def __init__(self, spark: SparkSession, path: str, embed: Callable[[Column], Column]):
-        self.spark, self.path, self.embed = spark, path, embed
-        self.version = 0
+        self.spark, self.embed = spark, embed
+        self.journal = Journal(spark, path, "id long, text string, metadata map<string,string>, vector array<float>")
 
     def rows(self) -> DataFrame:
-        schema = "id long, text string, metadata map<string,string>, vector array<float>"
-        if self.version == 0:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/v{self.version}")
-
-    def _write(self, rows: DataFrame) -> None:
-        rows.write.parquet(f"{self.path}/v{self.version + 1}")
-        self.version += 1
+        return self.journal.rows()
 
     def add(self, docs: DataFrame) -> None:
         """Add id, text, metadata; an id that is there is replaced."""
-        new = docs.select("id", "text", "metadata", self.embed(F.col("text")).alias("vector"))
-        self._write(self.rows().join(new.select("id"), "id", "left_anti").unionByName(new))
+        self.journal.put(docs.select("id", "text", "metadata", self.embed(F.col("text")).alias("vector")))
 
     def delete(self, ids: list[int]) -> None:
-        self._write(self.rows().where(~F.col("id").isin(*ids)))
+        self.journal.drop(self.spark.createDataFrame([(i,) for i in ids], "id long"))
+
+    def compact(self) -> None:
+        self.journal.compact()
 
     def search(self, query: str, k: int = 4, threshold: float = 0.0, where: Column | None = None) -> DataFrame:
         """id, text, score of the nearest texts above the threshold that pass the filter."""

@@ -6,7 +6,6 @@ keeps a few numbers.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lodestar.sources.lineage import committed, shared_folder
+
 
 def events(spark: SparkSession, sf_dir: str, files: int = 1) -> DataFrame:
     """The events as a stream of files."""
@@ -82,32 +83,72 @@ def welford(rows: DataFrame, warm_up: int = 20) -> DataFrame:
     return rows.groupBy("event_type").applyInPandasWithState(moments, "event_type string, n long, mean double, deviation double", "n long, mean double, m2 double", "update", GroupStateTimeout.NoTimeout)
 
 
-def drained(spark: SparkSession, rows: DataFrame, mode: str) -> DataFrame:
-    """What a stream has given when all that is there has been read."""
-    name = f"lodestar_{uuid.uuid4().hex}"
-    query = rows.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+def drained(spark: SparkSession, rows: DataFrame, mode: str, keys: tuple[str, ...] = (), folder: str | None = None) -> DataFrame:
+    """What a stream has given when all that is there has been read.
 
+    Each batch is a table in the shared folder (one that runs again writes the same
+    one), and nothing comes to the driver. "append" gives all batches, "complete" the
+    last one, "update" the last row of each of the ``keys``. A ``folder`` that is given
+    again goes on where the stream ended.
+    """
+    base = folder or shared_folder(spark, "stream")
 
-def last_by_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/{number}")
+
+    query = rows.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start()
+    query.awaitTermination()
+    numbers = sorted(int(n) for n in committed(spark, f"{base}/out"))
+    if not numbers:
+        return spark.createDataFrame([], rows.schema)
+    if mode == "complete":
+        return spark.read.schema(rows.schema).parquet(f"{base}/out/{numbers[-1]}")
+    if mode == "append":
+        return spark.read.schema(rows.schema).parquet(*[f"{base}/out/{n}" for n in numbers])
+    every = None
+    for n in numbers:
+        own = spark.read.schema(rows.schema).parquet(f"{base}/out/{n}").withColumn("_batch", F.lit(n))
+        every = own if every is None else every.unionByName(own)
+    last = every.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), "_batch").alias("m"))
+    return last.select(*[c if c in keys else F.col(f"m.{c}").alias(c) for c in rows.columns])
+
+
+#: So many batches' changes are folded into one table.
+FOLDED = 16
+
+
+def newest(spark: SparkSession, base: str, before: int | None = None) -> DataFrame | None:
+    """The last event of each user from the newest folded table and the changes since."""
+    numbers = [n for n in sorted(map(int, committed(spark, base))) if before is None or n < before]
+    start = max([n for n in numbers if n % FOLDED == FOLDED - 1], default=0)
+    paths = [f"{base}/{n}" for n in numbers if n >= start]
+    if not paths:
+        return None
+    return spark.read.schema("user_id long, event_id long").parquet(*paths).groupBy("user_id").agg(F.max("event_id").alias("event_id"))
+
+
+def upserted(spark: SparkSession, rows: DataFrame, folder: str) -> DataFrame:
     """The last event of each user, kept up to date by each batch of a stream.
 
-    Every batch replaces a version of a table in the shared folder: a batch that is
-    run again writes the same version.
+    A batch writes its own changes, every FOLDED-th the whole state. All that a batch
+    builds on is found in the folder, so a driver that starts again goes on from there,
+    and a batch that runs again writes the same table.
     """
-    from lodestar.sources.sinks import shared_folder
-
-    base = shared_folder(spark, "last")
-    done = {"version": -1}
+    base = f"{folder}/state"
 
     def upsert(batch: DataFrame, number: int) -> None:
         new = batch.groupBy("user_id").agg(F.max("event_id").alias("event_id"))
-        if number > 0 and done["version"] >= 0:
-            new = batch.sparkSession.read.parquet(f"{base}/{done['version']}").unionByName(new).groupBy("user_id").agg(F.max("event_id").alias("event_id"))
+        old = newest(batch.sparkSession, base, number) if number % FOLDED == FOLDED - 1 else None
+        if old is not None:
+            new = old.unionByName(new).groupBy("user_id").agg(F.max("event_id").alias("event_id"))
         new.write.mode("overwrite").parquet(f"{base}/{number}")
-        done["version"] = number
 
-    query = events(spark, sf_dir).writeStream.foreachBatch(upsert).option("checkpointLocation", f"{base}-log").trigger(availableNow=True).start()
+    query = rows.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema("user_id long, event_id long").parquet(f"{base}/{done['version']}")
+    found = newest(spark, base)
+    return spark.createDataFrame([], "user_id long, event_id long") if found is None else found
+
+
+def last_by_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event of each user of the events."""
+    return upserted(spark, events(spark, sf_dir), shared_folder(spark, "last"))
