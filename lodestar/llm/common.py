@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.sources.lineage import ensure_checkpoints, shared_folder
+
 #: The white space of the contracts: blank and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 #: A word, as a Java (and RE2) pattern.
@@ -48,36 +47,30 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
 
 
-def ensure_checkpoints(spark: SparkSession) -> str:
-    """The folder that the whole cluster shares, from ``spark.checkpoint.dir``.
+#: Rows of a narrow table that go to one file, where a table's rows are known to be few.
+FILE_ROWS = 100_000
 
-    Only where the setting is missing (as in local tests) a folder is made; a
-    cluster must name one, as a machine's own folder is not seen by the others.
-    """
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="lodestar-checkpoints-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return folder
+
+def fewer(df: DataFrame, rows: int | None) -> DataFrame:
+    """The table in no more parts than its rows (known, or bounded) need."""
+    return df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
     """The rows from the shared checkpoint folder, with the lineage cut."""
     ensure_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return fewer(df, rows).checkpoint(eager=True)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return os.path.join(ensure_checkpoints(spark), f"lodestar-{name}-{uuid.uuid4().hex}")
+    return shared_folder(spark, f"lodestar-{name}")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """The rows as a Parquet table in the shared folder: smaller than a checkpoint."""
     path = shared_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    fewer(df, rows).write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -106,18 +99,18 @@ def met(rows: DataFrame, found: DataFrame, keys: list[str], row_bytes: int) -> D
 HOST_ROWS = 20_000
 
 
-def by_host(rows: DataFrame, sites: DataFrame, hosts: DataFrame, key: str, n_bytes: int) -> DataFrame:
+def by_host(rows: DataFrame, sites: DataFrame, hosts: DataFrame, key: str, n_bytes: int, least: int | None = None) -> DataFrame:
     """Left join of rows with a table of one row a host.
 
     Broadcast if that table's size (as counted) is below the bound. Else both are
     dealt by host and salt; ``hosts`` (key, n) tells how many salts a host has, and
-    only hosts with more than one are broadcast: few, as each has HOST_ROWS rows
-    or more and a thousandth of all.
+    only hosts with more than one are broadcast: few, as each has ``least`` rows
+    (HOST_ROWS) or more and a thousandth of all.
     """
     if n_bytes <= BROADCAST_BYTES:
         return rows.join(F.broadcast(sites), key, "left")
     total = hosts.agg(F.sum("n").alias("n")).first()["n"] or 0
-    each = max(HOST_ROWS, total // 1000)
+    each = max(HOST_ROWS if least is None else least, total // 1000)
     salt, salts = internal(rows, "__salt"), internal(rows, "__salts")
     hot = F.broadcast(hosts.where(F.col("n") > each).select(key, F.ceil(F.col("n") / F.lit(each)).cast("int").alias(salts)))
     n = F.coalesce(F.col(salts), F.lit(1))

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import internal, met, small, table, text_of, written
+from lodestar.llm.common import by_host, checkpointed, internal, met, small, table, text_of, written
 from lodestar.llm.components import components
 from lodestar.llm.shingles import WORDS, mixed, shingles
 
@@ -181,15 +181,28 @@ def element_rows(nodes: DataFrame, weights: str = WEIGHTS, n: int = WORDS) -> Da
 
 def checked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose exact similarity reaches the threshold."""
+    known = pairs = written(pairs, "pairs")
+    n = pairs.count()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             near = [similarity((np.frombuffer(x, np.uint64), None), (np.frombuffer(y, np.uint64), None)) >= threshold - EDGE for x, y in zip(frame["ae"], frame["be"], strict=True)]
             yield frame.loc[near, ["a", "b"]]
 
-    left = sets.select(F.col("node").alias("a"), F.col("elements").alias("ae"))
-    right = sets.select(F.col("node").alias("b"), F.col("elements").alias("be"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ae", "be").mapInPandas(run, "a long, b long")
+    # A centre is in many pairs: each side's sets meet them by node and salt.
+    for side in ("a", "b"):
+        own = sets.select(F.col("node").alias(side), F.col("elements").alias(f"{side}e"))
+        pairs = by_host(pairs, own, checkpointed(pairs_of(known, side), n), side, NEVER, 256)
+    return pairs.select("a", "b", "ae", "be").mapInPandas(run, "a long, b long")
+
+
+#: More bytes than any broadcast's bound.
+NEVER = 1 << 62
+
+
+def pairs_of(pairs: DataFrame, side: str) -> DataFrame:
+    """How many pairs a node is in, of those in more than a few."""
+    return pairs.groupBy(side).agg(F.count("*").alias("n")).where("n > 64")
 
 
 def links_of_block(base: list[np.ndarray], base_labels: np.ndarray, probes: list[np.ndarray], probe_labels: np.ndarray, threshold: float) -> list[tuple[int, int]]:
@@ -227,8 +240,8 @@ def block_links(held: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
     """
     rows = held.join(sets, "node").withColumn("weight", F.octet_length("elements") + 64)
     probe = F.col("label") != F.col("main")
-    totals = rows.groupBy("bucket").agg(F.sum("weight").alias("all"), F.sum(F.when(probe, F.col("weight")).otherwise(0)).alias("other"))
-    rows = rows.join(totals, "bucket").select(
+    totals = rows.groupBy("bucket").agg(F.sum("weight").alias("all"), F.sum(F.when(probe, F.col("weight")).otherwise(0)).alias("other"), F.count("*").alias("n"))
+    rows = met(rows, checkpointed(totals), ["bucket"], 32).select(
         "bucket", "node", "label", "elements", probe.alias("probe"),
         F.ceil(F.col("all") / F.lit(BLOCK_BYTES)).cast("int").alias("blocks"), F.ceil(F.greatest("other", F.lit(1)) / F.lit(PROBE_BYTES)).cast("int").alias("chunks"),
     )
@@ -258,8 +271,10 @@ def node_labels(nodes: DataFrame, threshold: float = SIMILARITY, weights: str =
     buckets = written(bucket_rows(nodes, weights, n, bands, rows), "buckets")
     # Buckets of one node tell nothing; sums come before the shuffle, so a bucket
     # that a third of all texts share is no hot task.
-    shared = written(buckets.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last"), F.count("*").alias("n")).where("centre < last").drop("last"), "shared")
-    members = written(met(buckets, shared, ["bucket"], 24).select("bucket", "node", "centre"), "members")
+    shared = buckets.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last"), F.count("*").alias("n")).where("centre < last").drop("last")
+    shared = written(shared, "shared", buckets.count())
+    n_members = shared.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    members = written(met(buckets, shared, ["bucket"], 24).select("bucket", "node", "centre"), "members", n_members)
     touched = members.select("node").distinct()
     sets = written(element_rows(nodes.join(touched, "node", "left_semi"), weights, n), "sets")
     pairs = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
@@ -269,12 +284,13 @@ def node_labels(nodes: DataFrame, threshold: float = SIMILARITY, weights: str =
     for turn in range(rounds + 1):
         held = open_rows.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
         unsettled = held.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high")
-        held = written(held.join(unsettled, "bucket"), "unsettled")
+        unsettled = written(unsettled.select("bucket", "size", F.col("size").alias("n")), "unsettled", n_members)
+        held = written(met(held, unsettled, ["bucket"], 24), "held", n_members)
         # Each bucket's class with the most nodes there, a node of it, and the pairs left.
         order = F.struct(F.xxhash64("bucket", "node", F.lit(turn)).alias("o"), F.col("node").alias("centre"))
         sizes = held.groupBy("bucket", "label").agg(F.count("*").alias("c"), F.min(order).alias("m"), F.first("size").alias("size"))
-        tops = sizes.groupBy("bucket").agg(F.max(F.struct("c", "m", "label")).alias("m"), (F.sum(F.col("c") * (F.col("size") - F.col("c"))) / 2).alias("pairs"))
-        tops = written(tops.select("bucket", F.col("m.m.centre").alias("centre"), F.col("m.label").alias("main"), "pairs"), "tops")
+        tops = sizes.groupBy("bucket").agg(F.max(F.struct("c", "m", "label")).alias("m"), (F.sum(F.col("c") * (F.col("size") - F.col("c"))) / 2).alias("pairs"), F.sum("c").alias("n"))
+        tops = written(tops.select("bucket", F.col("m.m.centre").alias("centre"), F.col("m.label").alias("main"), "pairs", "n"), "tops", n_members)
         left = tops.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("n")).first()["n"]
         if not left:
             return labels
@@ -283,9 +299,9 @@ def node_labels(nodes: DataFrame, threshold: float = SIMILARITY, weights: str =
             break  # centres don't settle any more
         before = left
         # The most likely to be near to the others: a node of the largest class there.
-        pairs = held.join(tops, "bucket").where("label <> main").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+        pairs = met(held, tops, ["bucket"], 40).where("label <> main").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
         labels = components(checked(pairs, sets, threshold), labels)
-    held = held.join(tops, "bucket").select("bucket", "node", "label", "main", "pairs")
+    held = met(held, tops, ["bucket"], 40).select("bucket", "node", "label", "main", "pairs")
     few = held.where(F.col("pairs") <= PAIRS)
     one = few.select("bucket", F.col("node").alias("a"), F.col("label").alias("la"))
     other = few.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"))
@@ -334,15 +350,16 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY, weights: str = WEIGH
     own = F.coalesce(docs["doc_id"].cast("long"), -F.shiftrightunsigned(F.xxhash64(text), 2) - 1)
     rows_ = docs.select(docs["doc_id"].cast("long").alias("doc_id"), own.alias("node"), F.md5(text).alias("digest"), text.alias("text"))
     slim = written(rows_.select("doc_id", "node", "digest"), "ids")
-    firsts = written(slim.groupBy("digest").agg(F.min("node").alias("first"), F.min("doc_id").alias("least"), F.count("*").alias("n")), "digests")
-    alone = written(firsts.select(F.col("first").alias("node")).distinct(), "firsts")
+    n_docs = slim.count()
+    firsts = written(slim.groupBy("digest").agg(F.min("node").alias("first"), F.min("doc_id").alias("least"), F.count("*").alias("n")), "digests", n_docs)
+    alone = written(firsts.select(F.col("first").alias("node")).distinct(), "firsts", n_docs)
     nodes = rows_.join(small(alone, alone.count(), 8), "node", "left_semi").select("node", "text")
     labels = node_labels(nodes, threshold, weights, n, bands, rows)
     # A row for each text, then its class's totals, then a row for each document.
     texts = firsts.join(labels.select(F.col("node").alias("first"), "label"), "first", "left")
-    texts = written(texts.select("digest", "least", F.col("n").alias("copies"), F.coalesce("label", "first").alias("label")), "labelled")
-    totals = written(texts.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"), F.count("*").alias("n")), "totals")
-    known = written(met(texts, totals, ["label"], 32).select("digest", "label", "class_id", "class_size", F.col("copies").alias("n")), "known")
+    texts = written(texts.select("digest", "least", F.col("n").alias("copies"), F.coalesce("label", "first").alias("label")), "labelled", n_docs)
+    totals = written(texts.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"), F.count("*").alias("n")), "totals", n_docs)
+    known = written(met(texts, totals, ["label"], 32).select("digest", "label", "class_id", "class_size", F.col("copies").alias("n")), "known", n_docs)
     return met(slim, known, ["digest"], 72).select("doc_id", "class_id", "class_size", "node", "label")
 
 

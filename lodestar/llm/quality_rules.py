@@ -145,7 +145,7 @@ def frequent_lines(docs: DataFrame, rules: Rules = RULES, text_column: str = "te
     # One row for each distinct line of a text and one for the text itself.
     each = rows.select("host", text_digest(F.col("text")).alias("t"), F.explode(F.array_append(held, F.lit(None))).alias("line"))
     lines = written(each.select("host", "t", F.col("line.h").alias("h"), F.col("line.w").alias("w")).distinct(), "lines")
-    counted = checkpointed(lines.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("h").isNull() | (F.col("n") >= rules.min_docs)))
+    counted = checkpointed(lines.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("h").isNull() | (F.col("n") >= rules.min_docs)), lines.count() // rules.min_docs)
     texts = counted.where("h IS NULL").select("host", F.col("n").alias("n_docs"))
     limit = F.greatest(F.lit(float(rules.min_docs)), F.col("n_docs") * F.lit(rules.min_share))
     reached = counted.where("h IS NOT NULL").join(small(texts, texts.count(), 32), "host").withColumn("limit", limit).where(F.col("n") >= F.col("limit")).select("host", "h", "limit")
@@ -185,7 +185,7 @@ def edited_copies(rows: DataFrame, rules: Rules = RULES) -> DataFrame:
     keyed = rows.where(F.col("asked").isNotNull()).select("host", F.col("text"), own_keys(F.col("text"), F.col("asked"), rules.copy_percent).alias("keys"))
     keys = written(keyed.select("host", text_digest(F.col("text")).alias("t"), F.explode("keys").alias("key")).select("host", "t", "key.k", "key.x").distinct(), "keys")
     first = keys.groupBy("host", "k", "x").agg(F.min("t").alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = met(keys, checkpointed(first), ["host", "k", "x"], 64).where("t > first")
+    later = met(keys, checkpointed(first, keys.count()), ["host", "k", "x"], 64).where("t > first")
     return checkpointed(later.groupBy("host", "t").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED_KEYS).select("host", "t"))
 
 
