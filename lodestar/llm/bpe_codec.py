@@ -10,13 +10,16 @@ pattern that looks ahead only in runs of white space and that starts a contracti
 at an apostrophe. A cut is therefore used only where matching may start afresh
 with the same result: not behind white space, not before an apostrophe, and not
 within a character. Behind the strings of added tokens, which the library takes
-out of a text first, the text begins anew as well.
+out of a text first, the text begins anew as well. All that holds for files of that
+one shape; with any other the library gets whole texts. A very long text is cut like any
+other: its fragments are as short, and memory grows with its length only.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import re
 
 import numpy as np
 import pandas as pd
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import table, text_of
-from lodestar.llm.tokenizers_io import BYTE_BPE, byte_alphabet, library, path_of, vocabulary
+from lodestar.llm.tokenizers_io import BYTE_BPE, byte_alphabet, library, path_of, shape, vocabulary
 
 #: Fragments that a worker's cache holds; it is emptied beyond. Bounds memory only.
 CACHE_FRAGMENTS = 120_000
@@ -62,10 +65,15 @@ class Codec:
         alphabet = byte_alphabet()
         self.bytes_of: dict[int, bytes] = {}
         for token, number in model.items():
-            self.bytes_of[number] = bytes(alphabet[c] for c in token)
+            self.bytes_of[number] = bytes(alphabet[c] for c in token if c in alphabet)
         self.cut = cut_table(list(self.bytes_of.values())).ravel()
+        self.numbers = dict(self.added)
         for content, number in self.added:
             self.bytes_of[number] = content.encode()
+        longest = sorted(self.numbers, key=len, reverse=True)
+        self.marks = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
+        #: Only for a file of the known shape do fragments encode as they do within the text.
+        self.cuts_hold = shape(path) == "byte"
         self.cache: dict[bytes, tuple[str, int, bytes]] = {}
 
     def cuts(self, data: bytes) -> list[int]:
@@ -76,21 +84,10 @@ class Codec:
 
     def parts(self, text: str) -> list[tuple[str, int | None]]:
         """The text between added tokens, and the added tokens' ids."""
-        parts: list[tuple[str, int | None]] = [(text, None)]
-        for content, number in self.added:
-            if content in text:
-                split: list[tuple[str, int | None]] = []
-                for part, known in parts:
-                    if known is not None:
-                        split.append((part, known))
-                        continue
-                    for i, piece in enumerate(part.split(content)):
-                        if i:
-                            split.append((content, number))
-                        if piece:
-                            split.append((piece, None))
-                parts = split
-        return parts
+        if self.marks is None or not self.marks.search(text):
+            return [(text, None)] if text else []
+        # Leftmost first and of several the longest, as the library takes them.
+        return [(piece, self.numbers[piece] if i % 2 else None) for i, piece in enumerate(self.marks.split(text)) if piece]
 
     def entry(self, fragment: bytes, ids: list[int]) -> tuple[str, int, bytes]:
         """A fragment's ids as text, their number, and the bytes that they decode to."""
@@ -108,6 +105,9 @@ class Codec:
 
     def encoded(self, text: str) -> list[tuple[str, int, bytes]]:
         """The fragments of a text, each with its ids."""
+        if not self.cuts_hold:
+            ids = self.library.encode(text, add_special_tokens=False).ids
+            return [(",".join(map(str, ids)), len(ids), self.library.decode(ids, skip_special_tokens=False).encode())] if ids else []
         result: list[tuple[str, int, bytes]] = []
         for part, known in self.parts(text):
             if known is not None:
@@ -129,6 +129,8 @@ class Codec:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; malformed bytes become U+FFFD."""
+        if not self.cuts_hold:
+            return self.library.decode(ids, skip_special_tokens=False)
         return b"".join([self.bytes_of[i] for i in ids]).decode("utf-8", "replace")
 
 

@@ -39,6 +39,39 @@ def vocabulary(path: str) -> tuple[dict[str, int], tuple[tuple[str, int], ...]]:
     return data["model"]["vocab"], tuple((t["content"], t["id"]) for t in data["added_tokens"])
 
 
+#: Normalizer and pre-tokenizer of the named files, as the short cuts assume them. Fixed values.
+SHAPES = {
+    "byte": (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}, None),
+    "word": (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+        "</w>",
+    ),
+}
+
+
+@functools.lru_cache(maxsize=8)
+def shape(path: str) -> str | None:
+    """Which of SHAPES a file has, None for any other: then no short cut holds for it."""
+    with open(path, encoding="utf-8") as file:
+        data = json.load(file)
+    model = data["model"]
+    odd = model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    tokens = data["added_tokens"]
+    if odd or any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in tokens) or not all(t["content"].startswith("<|") and not any(c.isspace() for c in t["content"]) for t in tokens):
+        return None
+    for name, (normalizer, pre_tokenizer, suffix) in SHAPES.items():
+        if (data["normalizer"], data["pre_tokenizer"], model.get("end_of_word_suffix")) == (normalizer, pre_tokenizer, suffix):
+            return name
+    return None
+
+
 @functools.lru_cache(maxsize=1)
 def byte_alphabet() -> dict[str, int]:
     """The printable stand-in of each byte in a byte-level vocabulary.

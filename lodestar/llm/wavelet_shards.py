@@ -6,7 +6,9 @@ number of set bits before each block (the directory), a plane answers rank and
 select, and the planes together give access to any token, the count of an id in
 any range, and the places of its occurrences, without another index.
 
-A shard's file holds, little-endian throughout::
+Each shard is a file of its own in the shared folder, written where its rows are. Its
+name goes to a table that Spark's committer writes, so that what a lost executor or a
+second attempt has left is never read. A file holds, little-endian throughout::
 
     b"LWM1" | bits u8 | documents u64 | tokens u64
     | doc ids i64 * documents | present u8 * documents | lengths u64 * documents
@@ -14,10 +16,9 @@ A shard's file holds, little-endian throughout::
       set bits before it u64, its bytes as stored u32 (the top bit: not compressed)
     | the blocks of all planes, in order
 
-A block holds BLOCK_BYTES bytes of a plane, compressed by itself (zstandard), so
-that a lookup opens only the blocks that it touches. The files are cells of a
-Parquet table: Spark's committer then makes the writing safe against lost
-executors on any file system. Shards follow ascending document ids.
+A block holds BLOCK_BYTES bytes of a plane, compressed by itself (zstandard), so that a
+lookup in a file reads and opens only the blocks that it touches; counts of each
+STRIDE bytes are made when a block is opened. Shards follow ascending document ids.
 """
 
 from __future__ import annotations
@@ -25,26 +26,33 @@ from __future__ import annotations
 import functools
 import re
 import struct
+import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import shared_path, small, table, text_of
-from lodestar.llm.tokenizers_io import WORD_BPE, byte_alphabet, library, path_of
+from lodestar.llm.tokenizers_io import WORD_BPE, byte_alphabet, library, path_of, shape
 
 MAGIC = b"LWM1"
 BLOCK_BYTES = 1 << 15
 RAW = 1 << 31
+#: Bytes of a block between two counts of its set bits.
+STRIDE = 256
 #: A shard is closed when it has so many tokens: packing then stays in a core's cache.
 SHARD_TOKENS = 1_000_000
 END_ID = 2
+#: Tasks that read shards, where there are so many.
+READERS = 4096
 CACHE_WORDS, CACHE_PIECES = 500_000, 250_000
 CACHED_CHARS = 48
 
@@ -88,43 +96,61 @@ def pack(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int], bits: i
 
 
 class WaveletMatrix:
-    """A shard read back: access, rank, select, count, occurrences, whole decoding."""
+    """A shard read back: access, rank, select, count, occurrences, whole decoding.
 
-    def __init__(self, data: bytes):
-        self.data = data
-        magic, self.bits, self.n_docs, self.n = _HEAD.unpack_from(data)
+    Of bytes, or of an open file (read_at, size): then only what is asked for is read.
+    """
+
+    def __init__(self, data: bytes | pa.NativeFile):
+        if isinstance(data, pa.NativeFile):
+            file, size = data, data.size()
+            self._read: Callable[[int, int], bytes] = lambda at, n: file.read_at(n, at)
+        else:
+            size = len(data)
+            self._read = lambda at, n: data[at : at + n]
+        if size < _HEAD.size:
+            raise ValueError("not a shard of this format")
+        magic, self.bits, self.n_docs, self.n = _HEAD.unpack(self._read(0, _HEAD.size))
         if magic != MAGIC:
             raise ValueError("not a shard of this format")
         at = _HEAD.size
-        ids = np.frombuffer(data, "<i8", self.n_docs, at)
-        present = np.frombuffer(data, np.uint8, self.n_docs, at + 8 * self.n_docs)
+        rows = self._read(at, 17 * self.n_docs)
+        ids = np.frombuffer(rows, "<i8", self.n_docs)
+        present = np.frombuffer(rows, np.uint8, self.n_docs, 8 * self.n_docs)
         self.doc_ids = [int(d) if p else None for d, p in zip(ids, present, strict=True)]
-        self.lengths = np.frombuffer(data, "<u8", self.n_docs, at + 9 * self.n_docs).astype(np.int64)
+        self.lengths = np.frombuffer(rows, "<u8", self.n_docs, 9 * self.n_docs).astype(np.int64)
         at += 17 * self.n_docs
+        # For each plane: unset bits, set bits before each block, the blocks' places and sizes.
         self.planes: list[tuple[int, np.ndarray, list[tuple[int, int]]]] = []
-        sizes: list[list[int]] = []
+        sizes: list[np.ndarray] = []
         for _ in range(self.bits):
-            zeros, blocks = _PLANE.unpack_from(data, at)
+            zeros, blocks = _PLANE.unpack(self._read(at, _PLANE.size))
             at += _PLANE.size
-            rows = [struct.unpack_from("<QI", data, at + 12 * i) for i in range(blocks)]
+            directory = np.frombuffer(self._read(at, 12 * blocks), dtype=np.dtype([("before", "<u8"), ("size", "<u4")]))
             at += 12 * blocks
-            self.planes.append((zeros, np.array([r[0] for r in rows], dtype=np.int64), []))
-            sizes.append([r[1] for r in rows])
+            self.planes.append((zeros, directory["before"].astype(np.int64), []))
+            sizes.append(directory["size"])
         for plane, own in zip(self.planes, sizes, strict=True):
-            for size in own:
-                plane[2].append((at, size))
-                at += size & ~RAW
-        self._block = functools.lru_cache(maxsize=64)(self._open)
+            for stored in own.tolist():
+                plane[2].append((at, stored))
+                at += stored & ~RAW
+        self._block = functools.lru_cache(maxsize=64)(self._counted)
 
     def _open(self, level: int, k: int) -> np.ndarray:
         at, size = self.planes[level][2][k]
-        body = self.data[at : at + (size & ~RAW)]
+        body = self._read(at, size & ~RAW)
         if not size & RAW:
             body = zstandard.ZstdDecompressor().decompress(body, max_output_size=BLOCK_BYTES)
         return np.frombuffer(body, dtype=np.uint8)
 
+    def _counted(self, level: int, k: int) -> tuple[np.ndarray, list[int]]:
+        """A block, and the set bits before each of its strides."""
+        block = self._open(level, k)
+        ones = np.add.reduceat(np.bitwise_count(block).astype(np.int64), np.arange(0, len(block), STRIDE))
+        return block, [0, *np.cumsum(ones).tolist()]
+
     def _bit(self, level: int, i: int) -> int:
-        block = self._block(level, i // (8 * BLOCK_BYTES))
+        block, _ = self._block(level, i // (8 * BLOCK_BYTES))
         i %= 8 * BLOCK_BYTES
         return int(block[i >> 3] >> (i & 7)) & 1
 
@@ -133,23 +159,28 @@ class WaveletMatrix:
         zeros, before, _ = self.planes[level]
         if i >= self.n:
             return self.n - zeros
-        block = self._block(level, i // (8 * BLOCK_BYTES))
+        block, strides = self._block(level, i // (8 * BLOCK_BYTES))
         found = int(before[i // (8 * BLOCK_BYTES)])
         i %= 8 * BLOCK_BYTES
-        found += int(np.bitwise_count(block[: i >> 3]).sum(dtype=np.int64))
+        stride = (i >> 3) // STRIDE
+        found += strides[stride] + int(np.bitwise_count(block[stride * STRIDE : i >> 3]).sum(dtype=np.int64))
         return found + (int(block[i >> 3]) & ((1 << (i & 7)) - 1)).bit_count()
 
-    def _place(self, level: int, bit: int, k: int) -> int:
-        """Place of the k-th (from 0) set or unset bit of a plane."""
-        low, high = 0, self.n
-        while low < high:  # the first place with k + 1 of them up to it
-            middle = (low + high) // 2
-            ones = self._ones(level, middle + 1)
-            if (ones if bit else middle + 1 - ones) > k:
-                high = middle
-            else:
-                low = middle + 1
-        return low
+    def _places(self, level: int, bit: int, ks: np.ndarray) -> np.ndarray:
+        """Places of the k-th (from 0) set or unset bits of a plane, for ascending ks.
+
+        The directory tells each k's block; a block is opened once for all its ks.
+        """
+        _, before, blocks = self.planes[level]
+        counts = before if bit else np.arange(len(blocks), dtype=np.int64) * (8 * BLOCK_BYTES) - before
+        own = np.searchsorted(counts, ks, side="right") - 1
+        result = np.empty(len(ks), dtype=np.int64)
+        for k in np.unique(own).tolist():
+            here = own == k
+            start = k * 8 * BLOCK_BYTES
+            bits = np.unpackbits(self._block(level, k)[0], bitorder="little", count=min(8 * BLOCK_BYTES, self.n - start))
+            result[here] = start + np.flatnonzero(bits == bit)[ks[here] - counts[k]]
+        return result
 
     def access(self, i: int) -> int:
         """The token at place i."""
@@ -180,22 +211,24 @@ class WaveletMatrix:
         """Occurrences of an id in the shard."""
         return self.rank(symbol, self.n)
 
+    def _climbed(self, symbol: int, places: np.ndarray) -> np.ndarray:
+        """From places below the last plane up to places in the sequence."""
+        for level in range(self.bits - 1, -1, -1):
+            bit = symbol >> (self.bits - 1 - level) & 1
+            places = self._places(level, bit, places - self.planes[level][0] if bit else places)
+        return places
+
     def select(self, symbol: int, k: int) -> int:
         """Place of the k-th (from 0) occurrence of an id."""
         start, end = self._range(symbol, self.n)
         if not 0 <= k < end - start:
             raise IndexError(k)
-        i = start + k
-        for level in range(self.bits - 1, -1, -1):
-            zeros = self.planes[level][0]
-            bit = symbol >> (self.bits - 1 - level) & 1
-            i = self._place(level, bit, i - zeros if bit else i)
-        return i
+        return int(self._climbed(symbol, np.array([start + k]))[0])
 
-    def occurrences(self, symbol: int) -> Iterator[int]:
-        """All places of an id, ascending."""
-        for k in range(self.count(symbol)):
-            yield self.select(symbol, k)
+    def occurrences(self, symbol: int) -> np.ndarray:
+        """All places of an id, ascending: one walk down for their range, one up for all."""
+        start, end = self._range(symbol, self.n)
+        return self._climbed(symbol, np.arange(start, end))
 
     def decode(self) -> np.ndarray:
         """All tokens: the planes' sorts undone, the last first."""
@@ -238,10 +271,22 @@ class Pieces(dict):
         return value
 
 
+def files(place: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path on it."""
+    return fs.FileSystem.from_uri(place) if re.match("[a-zA-Z][a-zA-Z0-9+.-]*:", place) else (fs.LocalFileSystem(), place)
+
+
+def open_shard(place: str) -> WaveletMatrix:
+    """One shard by its file; lookups read only the blocks that they touch."""
+    system, path = files(place)
+    return WaveletMatrix(system.open_input_file(path))
+
+
 class WordEncoder:
     """Ids of texts by the library, word by word with a cache.
 
-    This tokenizer's file drops white space, composes characters (never over white
+    The short cut holds for files of the shape "word" (see tokenizers_io): with any
+    other the library gets whole texts. This tokenizer's file drops white space, composes characters (never over white
     space) and splits pieces within words, so a text's ids are its words' ids. A new
     word is mostly a known piece with other punctuation or capitals: its pieces are
     cached as well.
@@ -254,6 +299,7 @@ class WordEncoder:
         self.bits = max(1, (size - 1).bit_length())
         self.kind = "<u2" if self.bits <= 16 else "<u4"
         self.pieces = Pieces(self.library.model, self.kind)
+        self.by_words = shape(path) == "word"
 
     def words(self, text: str) -> tuple[list[str], bool]:
         """The words, and whether all are plain and in lower case already."""
@@ -268,6 +314,8 @@ class WordEncoder:
         return np.array(self.library.encode(word, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_words:
+            return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         known, result = self.cache, []
@@ -292,13 +340,17 @@ def word_encoder(path: str) -> WordEncoder:
 
 
 def write_shards(docs: DataFrame, out: str, path: str = WORD_BPE, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> None:
-    """Encode whole texts and write them as shards, in ascending order of the id.
+    """Encode whole texts and write them as shards, in ascending order of the id: a file
+    each in ``out``/files, and their table in ``out``/shards. A very long text is in one
+    shard, whole.
 
     A null text counts as empty and still gets the end id; null ids come first;
     rows with one id stay together, ordered by a hash of their text; an empty table
     gives an empty folder of shards; other columns are not read.
     """
-    place = path_of(path)
+    place, folder = path_of(path), f"{out}/files"
+    system, local = files(folder)
+    system.create_dir(local, recursive=True)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = word_encoder(place)
@@ -312,8 +364,12 @@ def write_shards(docs: DataFrame, out: str, path: str = WORD_BPE, end_id: int =
 
         def shard() -> pd.DataFrame:
             ids = np.frombuffer(b"".join(pieces), dtype=own.kind)
-            blob = pack(ids, doc_ids, lengths, own.bits)
-            return pd.DataFrame({"part": [part], "seq": [seq], "n_docs": [len(doc_ids)], "n_tokens": [len(ids)], "shard": [blob]})
+            # A name of its own for each attempt: the table lists the committed one.
+            name = f"{folder}/{part:06d}-{seq:06d}-{uuid.uuid4().hex}.lwm"
+            system, path = files(name)
+            with system.open_output_stream(path) as file:
+                file.write(pack(ids, doc_ids, lengths, own.bits))
+            return pd.DataFrame({"part": [part], "seq": [seq], "n_docs": [len(doc_ids)], "n_tokens": [len(ids)], "file": [name]})
 
         for frame in frames:
             texts, keys, null = frame["text"].tolist(), frame["doc_id"].tolist(), frame["absent"].tolist()
@@ -330,14 +386,13 @@ def write_shards(docs: DataFrame, out: str, path: str = WORD_BPE, end_id: int =
             yield shard()
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     # A null id would turn the batch's column into floating point: it goes as a flag.
     ordered = ordered.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("absent"), "text")
-    shards = ordered.mapInPandas(run, "part int, seq int, n_docs long, n_tokens long, shard binary")
-    shards.write.option("compression", "none").parquet(out)
+    ordered.mapInPandas(run, SHARD_SCHEMA).write.parquet(f"{out}/shards")
 
 
-SHARD_SCHEMA = "part int, seq int, n_docs long, n_tokens long, shard binary"
+SHARD_SCHEMA = "part int, seq int, n_docs long, n_tokens long, file string"
 
 
 def read_documents(spark: SparkSession, out: str) -> DataFrame:
@@ -345,8 +400,10 @@ def read_documents(spark: SparkSession, out: str) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for part, seq, blob in zip(frame["part"], frame["seq"], frame["shard"], strict=True):
-                matrix = WaveletMatrix(bytes(blob))
+            for part, seq, name in zip(frame["part"], frame["seq"], frame["file"], strict=True):
+                system, path = files(name)
+                with system.open_input_file(path) as file:
+                    matrix = WaveletMatrix(file.read())
                 ids = matrix.decode().astype("<u4")
                 ends = np.cumsum(matrix.lengths)
                 starts = ends - matrix.lengths
@@ -354,7 +411,7 @@ def read_documents(spark: SparkSession, out: str) -> DataFrame:
                 crcs = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pd.DataFrame({"doc_id": pd.array(matrix.doc_ids, dtype="Int64"), "part": part, "seq": seq, "place": starts, "n_tokens": matrix.lengths, "ids_crc32": crcs})
 
-    shards = spark.read.schema(SHARD_SCHEMA).parquet(out)
+    shards = spark.read.schema(SHARD_SCHEMA).parquet(f"{out}/shards")
     # Prefix sums in two levels, so that no task sees the shards of all parts.
     sizes = shards.select("part", "seq", "n_tokens")
     inner = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
@@ -362,8 +419,10 @@ def read_documents(spark: SparkSession, out: str) -> DataFrame:
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(outer), F.lit(0)).alias("part_start"))
     starts = sizes.select("part", "seq", F.coalesce(F.sum("n_tokens").over(inner), F.lit(0)).alias("seq_start")).join(parts, "part")
     starts = starts.select("part", "seq", (F.col("part_start") + F.col("seq_start")).alias("shard_start"))
-    rows = shards.select("part", "seq", "shard").mapInPandas(run, "doc_id long, part int, seq int, place long, n_tokens long, ids_crc32 long")
-    joined = rows.join(small(starts, sizes.count(), 32), ["part", "seq"])
+    n = sizes.count()
+    # Names are short: dealt anew, so that a task reads few files.
+    rows = shards.select("part", "seq", "file").repartition(max(1, min(n, READERS)), "part", "seq").mapInPandas(run, "doc_id long, part int, seq int, place long, n_tokens long, ids_crc32 long")
+    joined = rows.join(small(starts, n, 32), ["part", "seq"])
     return joined.select("doc_id", (F.col("shard_start") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
 
 

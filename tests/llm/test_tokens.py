@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
 
 from lodestar.llm import bpe_codec, token_counts, wavelet_shards
-from lodestar.llm.tokenizers_io import BYTE_BPE, WORD_BPE, library, path_of
+from lodestar.llm.tokenizers_io import BYTE_BPE, WORD_BPE, library, path_of, shape
 
 ALPHABET = "ab c'stdre \t\n\r\x0b\x1c\x85\xa0　é…ñÉ中1290!?.<|'ßà́️😀‍İΣ"
 PIECES = ["<|endoftext|>", " 've", "\n\n", "  ", "<|startoftext|>", "'LL"]
@@ -79,11 +81,61 @@ def test_wavelet_matrix(n):
         assert matrix.rank(symbol, i) == (places < i).sum()
         k = int((places < i).sum())
         assert matrix.select(symbol, k) == i
+        assert (matrix.occurrences(symbol) == places).all()
     assert matrix.count(48_999) == (ids == 48_999).sum() and matrix.count(1 << 20) == 0
     with pytest.raises(IndexError):
         matrix.access(n)
 
 
+def test_other_files_go_to_the_library(spark, messy, messy_rows, tmp_path):
+    """A short cut holds for its own file only; with another the results are the library's, too."""
+    found = [*texts(300, 5, 40), "Hello World, it is fine."]
+    for path, other in ((path_of(BYTE_BPE), library(path_of(BYTE_BPE))), (path_of(WORD_BPE), library(path_of(WORD_BPE)))):
+        encoder, own = wavelet_shards.WordEncoder(path), bpe_codec.Codec(path)
+        for text, ids in zip(found, encoder.encode(found), strict=True):
+            want = other.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(ids, encoder.kind).tolist() == want and own.encode(text) == want
+            assert own.decode(want) == other.decode(want, skip_special_tokens=False)
+    tokenizer = library(path_of(WORD_BPE))
+    got = sorted((str(r["doc_id"]), r["n_tokens"]) for r in token_counts.counts(messy, path=WORD_BPE).collect())
+    assert got == sorted((str(r[0]), len(tokenizer.encode(r[1] or "", add_special_tokens=False).ids)) for r in messy_rows)
+    assert (shape(path_of(BYTE_BPE)), shape(path_of(WORD_BPE))) == ("byte", "word")
+    changed = json.loads(open(path_of(BYTE_BPE), encoding="utf-8").read())
+    changed["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "other.json").write_text(json.dumps(changed))
+    assert shape(str(tmp_path / "other.json")) is None
+
+
+def test_added_tokens_are_taken_leftmost_and_longest():
+    own = bpe_codec.Codec(path_of(BYTE_BPE))
+    own.numbers = {"<|a|>": 1, "<|a|>b": 2, "|>b": 3}
+    own.marks = re.compile("(" + "|".join(map(re.escape, sorted(own.numbers, key=len, reverse=True))) + ")")
+    assert own.parts("x<|a|>by|>b<|a|>") == [("x", None), ("<|a|>b", 2), ("y", None), ("|>b", 3), ("<|a|>", 1)]
+
+
+@pytest.mark.parametrize("size", [3_000_000])
+def test_texts_of_megabytes(spark, size):
+    text = ("word éé 12 <|x|> it's\n" * (size // 20))[:size]
+    tokenizer = library(path_of(BYTE_BPE))
+    ids = tokenizer.encode(text, add_special_tokens=False).ids
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert token_counts.counts(docs).first()["n_tokens"] == len(ids)
+    assert bpe_codec.digests(docs).first()["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+
+
+def test_one_file_opens_alone(spark, messy, tmp_path):
+    out = str(tmp_path / "shards")
+    wavelet_shards.write_shards(messy, out, shard_tokens=2_000)
+    rows = spark.read.parquet(f"{out}/shards").orderBy("part", "seq").collect()
+    assert len(rows) > 1
+    for row in rows:
+        matrix = wavelet_shards.open_shard(row["file"])
+        ids = matrix.decode()
+        assert (matrix.n_docs, matrix.n) == (row["n_docs"], row["n_tokens"])
+        assert matrix.access(len(ids) // 2) == ids[len(ids) // 2]
+        assert (matrix.occurrences(2) == np.flatnonzero(ids == 2)).all() and matrix.count(2) == row["n_docs"]
+
+
 def test_op9_and_op4_rows(messy, messy_rows, empty):
     tokenizer = library(path_of(BYTE_BPE))
     want9, want4 = [], []
