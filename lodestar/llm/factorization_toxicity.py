@@ -9,10 +9,10 @@ places. The score of a text with the terms x is::
 
 The factors v let a pair of terms weigh more (an insult with a mention of a group)
 or less (a quotation) than the two do alone. Training is bounded: TRAIN_ROWS
-labelled rows (chosen by a hash of the id if there are more) give their terms to
-the driver, which keeps the terms that tell the labels apart at all (their shares
-among both labels differ by Z standard errors) and fits by Adagrad on logistic
-loss. Terms that say nothing would otherwise add up in long texts. Scoring is a
+labelled rows of TRAIN_BYTES at most (chosen by a hash of the id if there are more)
+give their terms to the driver, which keeps the terms that tell the labels apart (their
+shares among both labels differ by Z standard errors, over all rows or over those that
+hold one of the clearest terms) and fits by Adagrad on logistic loss. Terms that say nothing would otherwise add up in long texts. Scoring is a
 column function on each text where it lies: no shuffle.
 """
 
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import fold_of, table, text_of
+from lodestar.llm.common import fold_of, table, text_of, written
 from lodestar.llm.labelled import bounded_labels, labelled_texts
 from lodestar.llm.shingles import words
 
@@ -38,6 +38,10 @@ FOLDS, HELD_OUT = 5, 0
 FACTORS = 8
 Z = 3.0
 MIN_ROWS = 3
+#: Partners are looked for among the rows of so many of the clearest terms, with this distance.
+STRONG, PAIR_Z = 64, 4.0
+#: Bytes of terms that go to the driver at most; beyond, a hash of the id chooses fewer rows.
+TRAIN_BYTES = 128 << 20
 BEGINNINGS = (4, 5, 6, 8)
 CACHE_WORDS = 120_000
 #: The score of every text if no label is known.
@@ -95,22 +99,38 @@ def terms(text: str) -> np.ndarray:
     return np.unique(np.concatenate([places, *more]))
 
 
-def informative(rows: list[np.ndarray], labels: np.ndarray, z: float = Z, least: int = MIN_ROWS) -> np.ndarray:
-    """The places whose shares of the rows with and without the label differ clearly."""
-    positive = sum(labels == 1)
+def distances(rows: list[np.ndarray], labels: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places in so many rows, and by how many standard errors their shares of the
+    rows with and without the label differ."""
+    positive = int((labels == 1).sum())
     negative = len(labels) - positive
     if not positive or not negative:
-        return np.zeros(0, dtype=np.int32)
-    hits = np.zeros(PLACES)
-    both = np.zeros(PLACES)
-    for row, label in zip(rows, labels, strict=True):
-        both[row] += 1
-        if label == 1:
-            hits[row] += 1
+        return np.zeros(0, dtype=np.int32), np.zeros(0)
+    sizes = [len(row) for row in rows]
+    places, at = np.unique(np.concatenate(rows), return_inverse=True)
+    both = np.bincount(at, minlength=len(places))
+    hits = np.bincount(at, weights=np.repeat(labels == 1, sizes), minlength=len(places))
     share = both / len(labels)
     error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / positive + 1 / negative))
     apart = np.abs(hits / positive - (both - hits) / negative) / error
-    return np.flatnonzero((both >= least) & (apart >= z)).astype(np.int32)
+    return places[both >= least].astype(np.int32), apart[both >= least]
+
+
+def informative(rows: list[np.ndarray], labels: np.ndarray, z: float = Z, least: int = MIN_ROWS, strong: int = STRONG, pair_z: float = PAIR_Z) -> np.ndarray:
+    """The places whose shares of the rows with and without the label differ clearly.
+
+    Also those that do so only among the rows that hold one of the ``strong`` clearest
+    places: a partner that is as frequent in both kinds of rows says nothing alone, but
+    its pair with an insult does.
+    """
+    places, apart = distances(rows, labels, least)
+    chosen = [places[apart >= z]]
+    for place in places[np.argsort(-apart, kind="stable")[:strong]].tolist():
+        held = np.array([(k := np.searchsorted(row, place)) < len(row) and row[k] == place for row in rows])
+        if held.any():
+            own, far = distances([row for row, h in zip(rows, held, strict=True) if h], labels[held], least)
+            chosen.append(own[far >= pair_z])
+    return np.unique(np.concatenate(chosen)).astype(np.int32)
 
 
 def gradient(rows: list[np.ndarray], labels: np.ndarray, w: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +185,11 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int
             yield pd.DataFrame({"doc_id": frame["doc_id"], "label": frame["label"], "terms": [terms(x).tobytes() for x in frame["text"]]})
 
     chosen = labelled_texts(docs, bounded_labels(labels, column, folds, held_out, bound))
-    rows = chosen.mapInPandas(run, "doc_id long, label int, terms binary").collect()
+    found = written(chosen.mapInPandas(run, "doc_id long, label int, terms binary"), "terms", bound)
+    size = found.agg(F.coalesce(F.sum(F.octet_length("terms") + 24), F.lit(0)).alias("n")).first()["n"]
+    if size > TRAIN_BYTES:
+        found = found.where(F.pmod(F.xxhash64("doc_id", F.lit("bytes")), F.lit(1 << 30)) < int((1 << 30) * TRAIN_BYTES / size))
+    rows = found.collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r["doc_id"], r["label"], bytes(r["terms"])))
