@@ -6,7 +6,9 @@ never moves a text between tasks.
 
 from __future__ import annotations
 
+import io
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -37,15 +39,15 @@ def by_sentence(text: str, size: int = 512, overlap: int = 64) -> list[Chunk]:
         if limit >= len(text):
             stop = len(text)
         else:
-            inside = [e for e in ends if start < e <= limit]
+            k = bisect_right(ends, limit)
             blank = text.rfind(" ", start + 1, limit)
-            stop = inside[-1] if inside else blank + 1 if blank > start else limit
+            stop = ends[k - 1] if k and ends[k - 1] > start else blank + 1 if blank > start else limit
         if piece := text[start:stop].strip():
             found.append((start, piece, ""))
         if stop >= len(text):
             break
-        back = [e for e in ends if max(start + 1, stop - overlap) <= e < stop]
-        start = back[0] if back else stop
+        k = bisect_left(ends, max(start + 1, stop - overlap))
+        start = ends[k] if k < len(ends) and ends[k] < stop else stop
     return found
 
 
@@ -63,8 +65,8 @@ def by_token(text: str, size: int = 128, overlap: int = 16) -> list[Chunk]:
             bounds.append(i + 1)
     found, start = [], 0
     while start < len(words):
-        inside = [b for b in bounds if start < b <= start + size]
-        stop = inside[-1] if inside else min(len(words), start + size)
+        k = bisect_right(bounds, start + size)
+        stop = bounds[k - 1] if k and bounds[k - 1] > start else min(len(words), start + size)
         found.append((words[start][0], text[words[start][0] : words[stop - 1][1]], ""))
         if stop >= len(words):
             break
@@ -72,6 +74,37 @@ def by_token(text: str, size: int = 128, overlap: int = 16) -> list[Chunk]:
     return found
 
 
+def streamed(read: Callable[[int], str], size: int = 512, overlap: int = 64) -> Iterator[Chunk]:
+    """Chunks of a text that is read piece by piece (``read`` gives up to n characters, none
+    at the end): a chunk ends with a sentence in its second half if one ends there, else
+    with a word; the next begins ``overlap`` before. No more than two chunks are held."""
+    if size <= 0 or not 0 <= overlap < size:
+        raise ValueError("an overlap is shorter than its chunk")
+    window, offset, more = "", 0, True
+    while True:
+        while more and len(window) <= size:
+            piece = read(size)
+            more, window = bool(piece), window + piece
+        if not window:
+            return
+        stop = len(window)
+        if stop > size:
+            sentence = [m.end() for m in _SENTENCE.finditer(window, size // 2, size + 1) if m.end() <= size]
+            blank = window.rfind(" ", size // 2, size)
+            stop = sentence[-1] if sentence else blank + 1 if blank >= 0 else size
+        if piece := window[:stop].strip():
+            yield offset + len(window) - len(window.lstrip()) if window[:stop] else offset, piece, ""
+        if stop >= len(window) and not more:
+            return
+        step = max(1, stop - overlap)
+        window, offset = window[step:], offset + step
+
+
+def by_stream(text: str, size: int = 512, overlap: int = 64) -> list[Chunk]:
+    """The streamed chunks of a text that is there."""
+    return list(streamed(io.StringIO(text, newline="").read, size, overlap))
+
+
 _FENCE = re.compile(r"^\s*(```|~~~)")
 _HEADING = re.compile(r"^(#{1,6})\s+(.*?)\s*#*$")
 
@@ -126,17 +159,21 @@ def by_markdown(text: str, size: int = 2500, overlap: int = 200) -> list[Chunk]:
     begins with the last ``overlap`` characters of the one before, from a word on."""
     found: list[Chunk] = []
     held: list[tuple[int, str, str]] = []
+    width = 0
 
     def close() -> None:
+        nonlocal width
         if held:
             found.append((held[0][0], "\n\n".join(b for _, b, _ in held), held[0][2]))
             held.clear()
+        width = 0
 
     for start, _, body, heading in blocks(text):
-        if held and (sum(len(b) + 2 for _, b, _ in held) + len(body) > size or (heading != held[0][2] and body.lstrip().startswith("#"))):
+        if held and (width + len(body) > size or (heading != held[0][2] and body.lstrip().startswith("#"))):
             close()
         if len(body) <= size:
             held.append((start, body, heading))
+            width += len(body) + 2
         else:
             close()
             found += [(start + s, piece, heading) for s, piece, _ in by_sentence(body, size, 0)]
@@ -147,7 +184,7 @@ def by_markdown(text: str, size: int = 2500, overlap: int = 200) -> list[Chunk]:
     return found
 
 
-CHUNKERS: dict[str, Callable[..., list[Chunk]]] = {"sentence": by_sentence, "token": by_token, "markdown": by_markdown}
+CHUNKERS: dict[str, Callable[..., list[Chunk]]] = {"sentence": by_sentence, "token": by_token, "markdown": by_markdown, "stream": by_stream}
 
 
 def chunked(docs: DataFrame, chunker: str | Callable[..., list[Chunk]] = "sentence", **options) -> DataFrame:

@@ -232,40 +232,65 @@ def gate_by_similarity(results: DataFrame, limit: float = 0.40) -> DataFrame:
     return results.groupBy("query_id").agg(F.max("score").alias("best")).where(F.col("best") < limit)
 
 
+#: Queries that an associative memory takes at once: their states are small numbers of rows.
+STATES = 10_000
+
+
 def hopfield(patterns: DataFrame, queries: DataFrame, beta: float = 8.0, steps: int = 3) -> DataFrame:
-    """Dense associative memory: each step replaces a state by softmax(beta X q) X.
+    """query_id, state, energy: each step replaces a state by softmax(beta X q) X.
 
-    Each step is one pass over the patterns that sums, in blocks, what a softmax needs
-    (largest value, weights, weighted vectors); states are the stated queries only.
+    A step is one pass over the patterns that sums, in blocks and then in tasks, what a
+    softmax needs (largest value, weights, weighted vectors); the tasks' sums are merged
+    by a shuffle. States are the stated queries only, STATES at most. The energy of the
+    last state is |q|^2 / 2 - log(sum exp(beta X q)) / beta.
     """
+    if queries.count() > STATES:
+        raise ValueError(f"more than {STATES} queries: ask in blocks")
     states = [(r["query_id"], np.array(r["vector"], float)) for r in queries.select("query_id", "vector").orderBy("query_id").collect()]
     names = [n for n, _ in states]
     state = np.stack([x for _, x in states]) if states else np.zeros((0, 1))
-    for _ in range(steps):
-        now = state
+    kind = "i int, top double, total double, v array<double>"
+
+    def merged(a: tuple, b: tuple) -> tuple:
+        top = np.maximum(a[0], b[0])
+        x, y = np.exp(a[0] - top), np.exp(b[0] - top)
+        return top, a[1] * x + b[1] * y, a[2] * x[:, None] + b[2] * y[:, None]
 
-        def run(frames: Iterator[pd.DataFrame], now: np.ndarray = now) -> Iterator[pd.DataFrame]:
+    def merge_rows(frame: pd.DataFrame) -> pd.DataFrame:
+        top = frame["top"].max()
+        scale = np.exp(frame["top"].to_numpy() - top)
+        return pd.DataFrame({"i": [frame["i"].iloc[0]], "top": [top], "total": [float(frame["total"].to_numpy() @ scale)], "v": [scale @ np.stack(frame["v"].to_list())]})
+
+    def summed(now: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = None
             for frame in frames:
                 if len(frame):
                     x = np.stack(frame["vector"].to_list())
                     z = beta * now @ x.T
                     top = z.max(axis=1)
                     w = np.exp(z - top[:, None])
-                    yield pd.DataFrame({"i": np.arange(len(now)), "top": top, "total": w.sum(axis=1), "v": list(w @ x)})
-
-        parts = patterns.select("vector").mapInPandas(run, "i int, top double, total double, v array<double>").collect()
-        if not parts:
+                    own = (top, w.sum(axis=1), w @ x)
+                    held = own if held is None else merged(held, own)
+            if held is not None:
+                yield pd.DataFrame({"i": np.arange(len(now)), "top": held[0], "total": held[1], "v": list(held[2])})
+
+        rows = patterns.select("vector").mapInPandas(run, kind).groupBy("i").applyInPandas(merge_rows, kind).orderBy("i").collect()
+        if not rows:
+            return None
+        return np.array([r["top"] for r in rows]), np.array([r["total"] for r in rows]), np.array([r["v"] for r in rows])
+
+    energy = np.full(len(state), np.nan)
+    for step in range(steps + 1):
+        found = summed(state) if len(state) else None
+        if found is None:
             break
-        top = np.full(len(now), -np.inf)
-        for r in parts:
-            top[r["i"]] = max(top[r["i"]], r["top"])
-        total, vectors = np.zeros(len(now)), np.zeros_like(now)
-        for r in parts:
-            scale = np.exp(r["top"] - top[r["i"]])
-            total[r["i"]] += r["total"] * scale
-            vectors[r["i"]] += np.array(r["v"]) * scale
-        state = vectors / total[:, None]
-    return patterns.sparkSession.createDataFrame([(n, [float(x) for x in row]) for n, row in zip(names, state, strict=True)], "query_id long, state array<double>")
+        if step == steps:
+            energy = (state**2).sum(axis=1) / 2 - (found[0] + np.log(found[1])) / beta
+        else:
+            state = found[2] / found[1][:, None]
+    rows = [(n, [float(x) for x in row], float(e)) for n, row, e in zip(names, state, energy, strict=True)]
+    return patterns.sparkSession.createDataFrame(rows, "query_id long, state array<double>, energy double")
 
 
 def integrated_information(groups: DataFrame, regularization: float = 1e-3) -> DataFrame:

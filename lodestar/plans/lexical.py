@@ -153,9 +153,18 @@ _add(
       g AS (SELECT query_id, id, round(s, 6) AS maxsim, round(0.7::DOUBLE * s + (1 - 0.7::DOUBLE) * score, 6) AS score FROM m)
       SELECT query_id, id, maxsim, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM g) WHERE rank <= 10""",
 )
+_BARE = r"""regexp_replace(regexp_replace(coalesce(html, ''), '<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>|<!--.*?-->', ' ', 'gis'), '<[^>]+>', ' ', 'gs')"""
+for _entity, _char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    _BARE = f"replace({_BARE}, '{_entity}', '{_char}')"
+_BARE = f"trim(regexp_replace({_BARE}, '\\s+', ' ', 'g'))"
+_add("html_reader", lambda spark, sf_dir: read(spark, sf_dir, "pages").select("page_id", t.html_text(F.coalesce("html", F.lit(""))).alias("text")), f"SELECT page_id, {_BARE} AS text FROM pages")
 _add(
     "content_tags",
-    lambda spark, sf_dir: read(spark, sf_dir, "pages").select("page_id", t.content_tags(F.col("url"), t.html_text(F.col("html"))).alias("tags")).select("page_id", F.size("tags").alias("n"), "tags"),
+    lambda spark, sf_dir: read(spark, sf_dir, "pages").select("page_id", t.content_tags(F.col("url"), t.html_text(F.coalesce("html", F.lit("")))).alias("tags")).select("page_id", F.size("tags").alias("n"), F.concat_ws(" ", "tags").alias("tags")),
+    f"""WITH b AS (SELECT page_id, url, {_BARE} AS text FROM pages), p AS (SELECT page_id, list_filter(string_split_regex(lower(url), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) > 2) AS path,
+        [x.t for x in list_sort([{{'n': -length(w), 't': w}} for w in list_distinct(list_filter(string_split_regex(lower(left(text, 500)), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) > 4))])][1:5] AS words FROM b),
+      u AS (SELECT page_id, list_concat(path, words) AS a FROM p), d AS (SELECT page_id, list_filter(a, lambda x, i: list_position(a, x) = i)[1:10] AS tags FROM u)
+      SELECT page_id, len(tags)::INT AS n, array_to_string(tags, ' ') AS tags FROM d""",
 )
 
 
@@ -179,6 +188,6 @@ _add("pii_scrub", scrub, f"SELECT doc_id, md5(clean) AS digest, (length(clean) -
 _add("sentence_chunks", lambda spark, sf_dir: chunking.chunked(docs(spark, sf_dir), "sentence").select("id", "chunk", "start", F.md5("text").alias("digest")))
 _add("token_chunks", lambda spark, sf_dir: chunking.chunked(docs(spark, sf_dir), "token").select("id", "chunk", "start", F.md5("text").alias("digest")))
 _add("markdown_chunks", lambda spark, sf_dir: chunking.chunked(docs(spark, sf_dir), "markdown").select("id", "chunk", "start", "heading", F.md5("text").alias("digest")))
-_add("html_reader", lambda spark, sf_dir: read(spark, sf_dir, "pages").select("page_id", t.html_text(F.col("html")).alias("text")))
+_add("stream_chunks", lambda spark, sf_dir: chunking.chunked(docs(spark, sf_dir), "stream").select("id", "chunk", "start", F.md5("text").alias("digest")))
 _add("markdown_title", lambda spark, sf_dir: read(spark, sf_dir, "documents").select("doc_id", t.markdown_title(F.concat(F.lit("# "), F.col("text")), F.lit("untitled")).alias("title")), "SELECT doc_id, trim(split_part(coalesce(text, ''), chr(10), 1)) AS title FROM documents")
 _add("word_tokens", lambda spark, sf_dir: chunking.word_offsets(docs(spark, sf_dir)).groupBy("id").agg(F.count("*").alias("n"), F.sum("start").alias("starts"), F.max("end").alias("last")))

@@ -118,8 +118,26 @@ _add(
         (CASE WHEN days < 1 THEN 0 WHEN days < 7 THEN 0.2 WHEN days < 30 THEN 0.5 WHEN days < 90 THEN 0.7 ELSE 0.9 END)::DOUBLE AS staleness,
         round(CASE WHEN days > 0 THEN rec / days ELSE rec END, 6) AS recalls_a_day FROM a""",
 )
-_add("context_pack", lambda spark, sf_dir: r.context_pack(results(spark, sf_dir), 800))
-_add("mmr_rerank", lambda spark, sf_dir: r.mmr(results(spark, sf_dir, 30).select("query_id", "id", "score").join(embedded(spark, sf_dir).select("id", "vector"), "id"), 10, 0.5))
+_BUDGET = " ".join(f"WHEN '{tier}' THEN {int(800 * r.CHARS_PER_TOKEN * share)}" for tier, share in r.PACK_SHARES.items())
+_add(
+    "context_pack",
+    lambda spark, sf_dir: r.context_pack(results(spark, sf_dir), 800),
+    f"""{_RESULTS.replace('WITH', 'WITH RECURSIVE', 1)}, it AS (SELECT query_id, memory_type, res.id, length(text) AS len, row_number() OVER (PARTITION BY query_id, memory_type ORDER BY score DESC, res.id) AS n, CASE memory_type {_BUDGET} ELSE 0 END AS budget FROM res JOIN mem ON res.id = mem.id),
+      fo AS (SELECT query_id, memory_type, 0::BIGINT AS n, 0::BIGINT AS used, NULL::BIGINT AS id, 0::BIGINT AS took FROM it GROUP BY ALL
+        UNION ALL SELECT fo.query_id, fo.memory_type, it.n, CASE WHEN used + len <= budget THEN used + len ELSE used END, CASE WHEN used + len <= budget THEN it.id END, took + (used + len <= budget)::INT
+        FROM fo JOIN it ON it.query_id = fo.query_id AND it.memory_type = fo.memory_type AND it.n = fo.n + 1)
+      SELECT query_id, memory_type, (took - 1)::INT AS place, id FROM fo WHERE id IS NOT NULL""",
+)
+_add(
+    "mmr_rerank",
+    lambda spark, sf_dir: r.mmr(results(spark, sf_dir, 30).select("query_id", "id", "score").join(embedded(spark, sf_dir).select("id", "vector"), "id"), 10, 0.5),
+    f"""{_RESULTS.replace('WITH', 'WITH RECURSIVE', 1).replace('rank <= 10', 'rank <= 30')}, ca AS MATERIALIZED (SELECT query_id, res.id, score, vector FROM res JOIN emb ON res.id = emb.id),
+      pk AS (SELECT query_id, 1 AS place, id, [id] AS taken, [vector] AS tv FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM ca) WHERE n = 1
+        UNION ALL SELECT query_id, place + 1, id, list_append(taken, id), list_append(tv, vector) FROM (SELECT pk.query_id, pk.place, ca.id, pk.taken, pk.tv, ca.vector,
+          row_number() OVER (PARTITION BY pk.query_id ORDER BY round(0.5::DOUBLE * ca.score - 0.5::DOUBLE * list_max([1 / (1 + list_distance(ca.vector, u)) for u in pk.tv]), 9) DESC, ca.score DESC, ca.id) AS n
+          FROM pk JOIN ca ON ca.query_id = pk.query_id AND NOT list_contains(pk.taken, ca.id) WHERE pk.place < 10) WHERE n = 1)
+      SELECT query_id, id, place::INT AS place FROM pk""",
+)
 _add(
     "temperature_softmax",
     lambda spark, sf_dir: r.tempered(results(spark, sf_dir).select("query_id", "id", "score"), 0.5).select("query_id", "id", F.round("score", 6).alias("score")),
@@ -267,7 +285,19 @@ _add(
       SELECT context, CASE WHEN signals >= 10 THEN profile ELSE 'BALANCED' END AS profile, round(value, 6) AS value, signals::BIGINT AS signals FROM k WHERE place = 1""",
 )
 _add("provenance_confidence", lambda spark, sf_dir: memories(spark, sf_dir).groupBy("provenance").agg(F.round(F.avg(s.confidence_of(F.col("provenance"))), 6).alias("confidence"), F.count("*").alias("n")), f"WITH {MEMORIES_SQL} SELECT provenance, (CASE provenance WHEN 'OBSERVED' THEN 0.9 WHEN 'USER_STATED' THEN 1 WHEN 'REFLECTED' THEN 0.7 WHEN 'INFERRED' THEN 0.5 WHEN 'PROCEDURAL' THEN 1 ELSE 0.6 END)::DOUBLE AS confidence, count(*) AS n FROM mem GROUP BY provenance")
-_add("hopfield_recall", lambda spark, sf_dir: r.hopfield(base(spark, sf_dir), asked(spark, sf_dir)).select("query_id", F.transform("state", lambda x: F.round(x, 5)).alias("state")))
+def _hopfield_sql() -> str:
+    """Three steps of softmax(8 X q) X, and the energy of the last state."""
+    steps = []
+    for k in range(3):
+        steps.append(f"""z{k} AS (SELECT query_id, x.id, 8 * list_dot_product(q, v) AS z FROM s{k}, x), w{k} AS (SELECT query_id, id, exp(z - max(z) OVER (PARTITION BY query_id)) AS w FROM z{k}),
+          s{k + 1} AS MATERIALIZED (SELECT query_id, list(t ORDER BY i) AS q FROM (SELECT query_id, i, sum(w * a) / sum(w) AS t FROM (SELECT query_id, w, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS a FROM w{k} JOIN x USING (id)) GROUP BY query_id, i) GROUP BY query_id)""")
+    return f"""WITH x AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), s0 AS (SELECT id AS query_id, v AS q FROM x WHERE id % 20 = 0), {', '.join(steps)},
+      e AS (SELECT query_id, max(z) AS top, z FROM (SELECT query_id, 8 * list_dot_product(q, v) AS z FROM s3, x) GROUP BY query_id, z), t AS (SELECT query_id, max(z) AS top FROM e GROUP BY query_id),
+      n AS (SELECT s3.query_id, t.top + ln(sum(exp(8 * list_dot_product(q, v) - t.top))) AS l FROM s3 JOIN t USING (query_id), x GROUP BY s3.query_id, t.top)
+      SELECT s3.query_id, [round(y, 4) + 0 for y in q] AS state, round(list_dot_product(q, q) / 2 - l / 8, 5) AS energy FROM s3 JOIN n USING (query_id)"""
+
+
+_add("hopfield_recall", lambda spark, sf_dir: r.hopfield(base(spark, sf_dir), asked(spark, sf_dir)).select("query_id", F.transform("state", lambda x: F.round(x, 4) + F.lit(0.0)).alias("state"), F.round("energy", 5).alias("energy")), _hopfield_sql())
 _add("integrated_information", lambda spark, sf_dir: r.integrated_information(base(spark, sf_dir).select(F.floor(F.col("id") / 8).alias("group_id"), "id", "vector")).select("group_id", F.round("phi", 4).alias("phi"), "n"))
 
 

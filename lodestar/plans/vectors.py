@@ -131,7 +131,12 @@ _add(
       SELECT id, [(n4[2 * i + 1] | (n4[2 * i + 2] << 4))::INT for i in range(0, len(n4) // 2)] AS nibbles,
         [(n2[4 * i + 1] | (n2[4 * i + 2] << 2) | (n2[4 * i + 3] << 4) | (n2[4 * i + 4] << 6))::INT for i in range(0, len(n2) // 4)] AS crumbs, true AS same4, true AS same2 FROM b""",
 )
-_add("equal_frequency_quantize", lambda spark, sf_dir: s.equal_frequency(base(spark, sf_dir)).select("d", "code", F.round("centre", 4).alias("centre"), "n"))
+_add(
+    "equal_frequency_quantize",
+    lambda spark, sf_dir: s.equal_frequency(base(spark, sf_dir)).select("d", "code", F.round("centre", 4).alias("centre"), "n"),
+    f"""WITH {E}, x AS (SELECT unnest(range(0, len(v))) AS d, unnest(v) AS x FROM e), c AS (SELECT d, quantile_disc(x, [{', '.join(f'{i / 16}' for i in range(1, 16))}]) AS cuts FROM x GROUP BY d)
+      SELECT d::INT AS d, len(list_filter(cuts, lambda c: x.x > c))::INT AS code, round(avg(x), 4) AS centre, count(*) AS n FROM x JOIN c USING (d) GROUP BY ALL""",
+)
 for _kind in ("turbo", "svasq"):
     for _bits in (8, 4, 2):
         _add(f"{_kind}_quantize_{_bits}", lambda spark, sf_dir, kind=_kind, bits=_bits: s.turned(base(spark, sf_dir), kind, bits).select("id", "codes", F.round(F.aggregate("restored", F.lit(0.0), lambda a, x: a + x * x), 4).alias("length")))

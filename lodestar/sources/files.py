@@ -125,13 +125,70 @@ def hashed_embedder(dimensions: int = 64) -> Callable[[Column], Column]:
 #: Sources by kind: how each is read. Services without a reader in Spark need a plug-in.
 CONNECTORS = {
     "file-watch": ("files", ("path",)), "direct": ("frame", ()), "db-query": ("jdbc", ("url", "query")), "kafka-consumer": ("kafka", ("servers", "topic")), "s3-poll": ("files", ("path",)),
-    "rest-api-poll": ("plug-in", ("url",)), "webhook": ("plug-in", ("path",)), "github": ("plug-in", ("repository",)), "confluence": ("plug-in", ("space",)), "jira": ("plug-in", ("project",)),
-    "notion": ("plug-in", ("database",)), "mongodb-poll": ("plug-in", ("collection",)), "rss": ("plug-in", ("url",)), "salesforce": ("plug-in", ("object",)), "slack": ("plug-in", ("channel",)),
-    "sharepoint": ("plug-in", ("site",)), "google-drive": ("plug-in", ("folder",)), "web-scraper": ("plug-in", ("url",)), "notify-slack": ("plug-in", ("channel",)), "notify-email": ("plug-in", ("to",)),
+    "rest-api-poll": ("http", ("url",)), "webhook": ("json", ("path",)), "github": ("plug-in", ("repository",)), "confluence": ("plug-in", ("space",)), "jira": ("plug-in", ("project",)),
+    "notion": ("plug-in", ("database",)), "mongodb-poll": ("plug-in", ("collection",)), "rss": ("http", ("url",)), "salesforce": ("plug-in", ("object",)), "slack": ("plug-in", ("channel",)),
+    "sharepoint": ("plug-in", ("site",)), "google-drive": ("plug-in", ("folder",)), "web-scraper": ("http", ("url",)), "notify-slack": ("plug-in", ("channel",)), "notify-email": ("plug-in", ("to",)),
 }
 _PLUGINS: dict[str, Callable[..., DataFrame]] = {}
 
 
+def fetched(spark: SparkSession, urls: list[str], schemes: tuple[str, ...] = ("http", "https"), seconds: float = 30.0) -> DataFrame:
+    """url, body, problem: each address fetched by the task that has its row."""
+    for url in urls:
+        if url.split(":", 1)[0].lower() not in schemes:
+            raise ValueError(f"address {url} isn't of {', '.join(schemes)}")
+
+    @F.pandas_udf("body string, problem string")
+    def get(addresses: pd.Series) -> pd.DataFrame:
+        from urllib.request import urlopen
+
+        rows = []
+        for address in addresses:
+            try:
+                with urlopen(address, timeout=seconds) as answer:
+                    rows.append((answer.read().decode("utf-8", "replace"), None))
+            except OSError as error:
+                rows.append((None, str(error)))
+        return pd.DataFrame(rows, columns=["body", "problem"])
+
+    return spark.createDataFrame([(u,) for u in urls], "url string").repartition(max(1, len(urls))).select("url", get("url").alias("r")).select("url", "r.*")
+
+
+def feed_items(pages: DataFrame) -> DataFrame:
+    """url, body -> url, title, link, text, published: the items of RSS and Atom feeds."""
+
+    @F.pandas_udf("array<struct<title:string,link:string,text:string,published:string>>")
+    def items(bodies: pd.Series) -> pd.Series:
+        from xml.etree import ElementTree
+
+        result = []
+        for body in bodies:
+            found = []
+            # A feed has no need of a document type, through which entities could grow without bound.
+            if body and "<!DOCTYPE" not in body and "<!ENTITY" not in body:
+                try:
+                    tree = ElementTree.fromstring(body)
+                except ElementTree.ParseError:
+                    tree = ElementTree.Element("none")
+                for node in tree.iter():
+                    if node.tag.rpartition("}")[2] not in ("item", "entry"):
+                        continue
+                    own = {k.tag.rpartition("}")[2]: k for k in node}
+                    text = lambda *names, own=own: next((own[n].text for n in names if n in own and own[n].text), None)
+                    link = text("link") or (own["link"].get("href") if "link" in own else None)
+                    found.append({"title": text("title"), "link": link, "text": text("description", "summary", "content"), "published": text("pubDate", "published", "updated")})
+            result.append(found)
+        return pd.Series(result, dtype=object)
+
+    return pages.select("url", F.explode(items("body")).alias("i")).select("url", "i.*")
+
+
+def rest_items(pages: DataFrame, path: str = "$") -> DataFrame:
+    """url, body -> url, item: the elements (as JSON) of the array at a path of the answer."""
+    array = F.from_json(F.get_json_object("body", path), "array<variant>")
+    return pages.select("url", F.explode(array).alias("v")).select("url", F.to_json("v").alias("item"))
+
+
 def plug_in(kind: str, reader: Callable[..., DataFrame]) -> None:
     """Register a reader (spark, options) for a kind of source."""
     _PLUGINS[kind] = reader
@@ -148,6 +205,15 @@ def connected(spark: SparkSession, kind: str, stream: bool = False, **options) -
     reader = spark.readStream if stream else spark.read
     if how == "files":
         return reader.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", options.get("pattern", "*")).load(options["path"])
+    if how == "json":
+        # What a gateway has received lies as JSON lines in a folder.
+        return reader.schema(options.get("schema", "id string, text string, received string")).json(options["path"])
+    if how == "http":
+        urls = [options["url"]] if isinstance(options["url"], str) else list(options["url"])
+        pages = fetched(spark, urls, options.get("schemes", ("http", "https")))
+        if kind == "rss":
+            return feed_items(pages)
+        return rest_items(pages, options.get("items", "$")) if kind == "rest-api-poll" else pages.select("url", t.html_text(F.col("body")).alias("text"))
     if how == "jdbc":
         return spark.read.format("jdbc").options(url=options["url"], query=options["query"]).load()
     if how == "kafka":
