@@ -6,7 +6,7 @@ numbers of joins; each join sums or takes maxima before the next.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,15 +101,23 @@ def bridges(edges: DataFrame) -> DataFrame:
     return rows.select("src", "dst", "weight", "shared", score.cast("int").alias("bridge"))
 
 
-def min_labels(edges: DataFrame, checkpoint) -> DataFrame:
-    """node, label: connected components by smallest labels with pointer jumping."""
-    both = checkpoint(edges.select(F.col("src").alias("node"), F.col("dst").alias("other")).unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("other"))).distinct())
-    found = checkpoint(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")))
+def min_labels(edges: DataFrame, checkpoint: Callable[[DataFrame, int | None], DataFrame], rows: int | None = None) -> DataFrame:
+    """node, label: connected components by smallest labels with pointer jumping.
+
+    Each round every node takes the smallest label among its neighbours' and its own, and
+    then its label's label (which halves the length of chains). Labels only fall, so the
+    rounds end when none falls; each is checkpointed. ``rows`` bounds the edges, both ways,
+    where it is known. No edges have no components.
+    """
+    both = edges.select(F.col("src").alias("node"), F.col("dst").alias("other")).unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("other")))
+    both = checkpoint(both.where("node <> other").distinct(), rows)
+    rows = both.count()  # there are no more nodes than rows
+    found = checkpoint(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")), rows)
     while True:
         seen = both.join(found.select(F.col("node").alias("other"), F.col("label").alias("o")), "other").groupBy("node").agg(F.min("o").alias("o"))
         near = found.join(seen, "node").select("node", F.least("label", "o").alias("label"), F.col("label").alias("was"))
         jump = found.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        now = checkpoint(near.join(jump, "label", "left").select("node", F.least("label", F.coalesce("next", "label")).alias("label"), "was"))
+        now = checkpoint(near.join(jump, "label", "left").select("node", F.least("label", F.coalesce("next", "label")).alias("label"), "was"), rows)
         if not now.where("label < was").take(1):
             return now.select("node", "label")
         found = now.select("node", "label")
