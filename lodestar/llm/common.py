@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.sources.lineage import ensure_checkpoints, shared_folder
+from lodestar.functions.text import let
+from lodestar.sources.lineage import checkpointed, fewer, shared_folder
 
-#: The white space of the contracts: blank and U+0009 to U+000D.
-SPACES = " \t\n\x0b\x0c\r"
 #: A word, as a Java (and RE2) pattern.
 WORD = r"[^\x20\x09-\x0D]+"
 
+__all__ = ["by_host", "checkpointed", "fold_of", "internal", "let", "met", "shared_path", "small", "table", "text_of", "words_of", "written"]
+
 #: The largest table, in bytes, that an operator broadcasts.
 BROADCAST_BYTES = 8 << 20
 
@@ -33,35 +32,11 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with the value computed once a row.
-
-    Catalyst may put an expression into every place that refers to it, also into
-    a lambda that runs for each element; a lambda's own variable can't be inlined.
-    """
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo the number of folds; null for a null id."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
 
 
-#: Rows of a narrow table that go to one file, where a table's rows are known to be few.
-FILE_ROWS = 100_000
-
-
-def fewer(df: DataFrame, rows: int | None) -> DataFrame:
-    """The table in no more parts than its rows (known, or bounded) need."""
-    return df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))
-
-
-def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """The rows from the shared checkpoint folder, with the lineage cut."""
-    ensure_checkpoints(df.sparkSession)
-    return fewer(df, rows).checkpoint(eager=True)
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     return shared_folder(spark, f"lodestar-{name}")

@@ -1,35 +1,22 @@
-"""Connected components of a table of links, by DataFrame joins."""
+"""Connected components of a table of links, by the core's search."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import checkpointed
+from lodestar.operators.graph import min_labels
+from lodestar.sources.lineage import checkpointed
 
 
 def components(links: DataFrame, labels: DataFrame | None = None, rows: int | None = None) -> DataFrame:
     """links(a, b) -> (node, label): the smallest node that a node is linked to.
 
-    Each round every node takes the smallest label among its neighbours' and its
-    own, and then its label's label (which halves the length of chains). Labels
-    only fall, so the rounds end when none falls; each is checkpointed in the
-    shared folder. ``labels`` may hold labels found before: links between their
-    classes are added to the given ones. ``rows`` bounds the links, both ways, where it
-    is known: small tables are written in few parts. An empty table has no components.
+    ``labels`` may hold labels found before: links between their classes are added to
+    the given ones. ``rows`` bounds the links, both ways, where it is known. An empty
+    table has no components.
     """
-    both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    edges = links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
     if labels is not None:
-        old = labels.where("node <> label")
-        both = both.unionByName(old.select("node", F.col("label").alias("other"))).unionByName(old.select(F.col("label").alias("node"), F.col("node").alias("other")))
-    both = checkpointed(both.where("node <> other").distinct(), rows)
-    rows = both.count()  # there are no more nodes than rows
-    found = checkpointed(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")), rows)
-    while True:
-        seen = both.join(found.select(F.col("node").alias("other"), F.col("label").alias("o")), "other").groupBy("node").agg(F.min("o").alias("o"))
-        near = found.join(seen, "node").select("node", F.least("label", "o").alias("label"), F.col("label").alias("was"))
-        jump = found.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        now = checkpointed(near.join(jump, "label", "left").select("node", F.least("label", F.coalesce("next", "label")).alias("label"), "was"), rows)
-        if not now.where("label < was").take(1):
-            return now.select("node", "label")
-        found = now.select("node", "label")
+        edges = edges.unionByName(labels.where("node <> label").select(F.col("node").alias("src"), F.col("label").alias("dst")))
+    return min_labels(edges, checkpointed, rows)

@@ -36,7 +36,7 @@ from lodestar.llm.shingles import WORDS, shingle_hashes, word_hashes, words
 
 EXACT, SKETCH = 8, 160
 LANES = EXACT + SKETCH
-#: Documents of a range of ids, as long as there are no more than RANGES ranges.
+#: Documents of a range of ids, as long as there are no more than RANGES ranges or so.
 ROWS_EACH = 512
 RANGES = 65_536
 
@@ -111,40 +111,52 @@ def of_text(text: str) -> np.ndarray:
 def placed(docs: DataFrame, rows_each: int = ROWS_EACH) -> DataFrame:
     """The documents dealt in ranges of the id, each with its successor's copy.
 
-    Columns: range, tail, doc_id, text. Cuts of about ``rows_each`` ids (at most
-    RANGES of them, whatever the size) make ranges; the first row of a range also goes,
+    Columns: range, tail, doc_id, text. Cuts of the id make ranges of about ``rows_each``
+    rows (more where that would be over RANGES ranges; a range is sorted and streamed, never
+    held); an id of many rows is cut by the hash of the text. The first row of a range also goes,
     marked as tail, to the range before, that of the first range to the last. Then
     one shuffle moves each text once, and a task that holds a range has every
     document's successor.
     """
-    slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    known = slim.select("doc_id").where(F.col("doc_id").isNotNull())
-    n_rows = known.count()
-    parts = min(RANGES, max(1, -(-n_rows // rows_each)))
-    cuts = np.unique(np.array(known.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts), dtype=np.int64)) if parts > 1 else np.zeros(0, np.int64)
-
-    @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, ids.to_numpy(), side="right").astype(np.int32))
-
-    # A null id sorts before all others: it is in the first range.
-    least = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    heads = sorted(r["head"] for r in slim.select(least.alias("doc_id")).withColumn("range", range_of("doc_id")).groupBy("range").agg(F.min("doc_id").alias("head")).select("head").collect())
-    # Ranges without a row (many equal ids) are left out: a head begins each range.
-    bounds = np.array(heads[1:], dtype=np.int64)
-
-    @F.pandas_udf("int")
-    def dealt(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, ids.to_numpy(), side="right").astype(np.int32))
-
+    text = text_of(docs)
+    # A null id sorts before all others: it is in the first ranges.
+    least = F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63)))
+    slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), least.alias("least"), F.xxhash64(text).alias("h"))
+    keys = slim.select("least", "h")
+    n_rows = keys.count()
+    each = max(rows_each, -(-n_rows // RANGES))
+    parts = max(1, -(-n_rows // each))
+    cuts = {(int(c), -(1 << 63)) for c in keys.approxQuantile("least", [i / parts for i in range(1, parts)], 0.1 / parts)} if parts > 1 else set()
+    # An id of many rows (null, say) is cut by the hash of the text: few ids, of many rows each.
+    for row in keys.groupBy("least").agg(F.count("*").alias("n")).where(F.col("n") > 4 * each).collect():
+        pieces = -(-row["n"] // each)
+        cuts |= {(row["least"], -(1 << 63) + (k << 64) // pieces) for k in range(1, pieces)}
+
+    def dealer(bounds: list[tuple[int, int]]):
+        """The number of bounds up to a row's (id, hash)."""
+        ids, hashes = (np.array([b[i] for b in bounds], dtype=np.int64) for i in (0, 1))
+
+        @F.pandas_udf("int")
+        def dealt(own: pd.Series, h: pd.Series) -> pd.Series:
+            x, y = own.to_numpy(), h.to_numpy()
+            low, high = np.searchsorted(ids, x, side="left"), np.searchsorted(ids, x, side="right")
+            result = high.copy()
+            for i in np.flatnonzero(high > low).tolist():
+                result[i] = low[i] + np.searchsorted(hashes[low[i] : high[i]], y[i], side="right")
+            return pd.Series(result.astype(np.int32))
+
+        return dealt
+
+    found = keys.withColumn("range", dealer(sorted(cuts))("least", "h")).groupBy("range").agg(F.min(F.struct("least", "h")).alias("head"))
+    # Ranges without a row are left out: a head begins each range.
+    heads = sorted((r["head"]["least"], r["head"]["h"]) for r in found.select("head").collect())
     n = max(1, len(heads))
-    rows = slim.withColumn("least", least).withColumn("range", dealt("least"))
+    rows = slim.withColumn("range", dealer(heads[1:])("least", "h"))
     own = F.struct(F.col("range").alias("range"), F.lit(False).alias("tail"))
     before = F.struct(F.pmod(F.col("range") - 1, F.lit(n)).alias("range"), F.lit(True).alias("tail"))
-    first = F.col("least").isin(heads) if n <= 64 else F.col("is_head")
-    if n > 64:
-        marks = docs.sparkSession.createDataFrame(pd.DataFrame({"least": heads, "is_head": True}))
-        rows = rows.join(F.broadcast(marks), "least", "left")  # RANGES rows at most
+    marks = docs.sparkSession.createDataFrame([(*head, True) for head in heads], "least long, h long, is_head boolean")
+    rows = rows.join(F.broadcast(marks), ["least", "h"], "left")  # about RANGES rows at most
+    first = F.col("is_head")
     places = F.when(F.coalesce(first, F.lit(False)), F.array(own, before)).otherwise(F.array(own))
     rows = rows.withColumn("place", F.explode(places)).select("place.range", "place.tail", "doc_id", "text")
     return rows.repartition("range").sortWithinPartitions("range", "tail", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))

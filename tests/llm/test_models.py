@@ -275,3 +275,16 @@ def test_fingerprints_of_messy_rows(spark, messy, messy_rows, empty):
     assert mh.fingerprints(empty).collect() == []
     alone = mh.fingerprints(spark.createDataFrame([(5, "abcd")], "doc_id long, text string")).collect()
     assert [r["edited_sha256"] for r in alone] == [hashlib.sha256(b"abab").hexdigest()]
+
+
+def test_hot_ids_are_cut_by_the_text(spark):
+    """Null ids and one id of many rows go to several ranges; every row has its successor."""
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, make_text(i, 10)) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = {r["range"]: r["count"] for r in mh.placed(docs, 8).where("NOT tail").groupBy("range").count().collect()}
+    assert len(sizes) > 20 and max(sizes.values()) <= 40
+    found = mh.fingerprints(docs, 8).collect()
+    assert sorted(str(r["doc_id"]) for r in found) == sorted(str(r[0]) for r in rows)
+    assert sorted(r["fingerprint"] for r in found) == sorted(mh.to_text(mh.fingerprint(t)) for _, t in rows)
+    whole = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["edited_sha256"]) for r in mh.fingerprints(docs, 1000).collect())
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["edited_sha256"]) for r in found) == whole
