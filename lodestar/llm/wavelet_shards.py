@@ -51,9 +51,9 @@ STRIDE = 256
 #: A shard is closed when it has so many tokens: packing then stays in a core's cache.
 SHARD_TOKENS = 1_000_000
 END_ID = 2
-#: Tasks that read shards, where there are so many.
-READERS = 4096
-CACHE_WORDS, CACHE_PIECES = 500_000, 250_000
+#: Shards that a task reads back, about.
+FILES = 6
+CACHE_WORDS = 700_000
 CACHED_CHARS = 48
 
 _HEAD = struct.Struct("<4sBQQ")
@@ -255,19 +255,18 @@ _PLAIN_TEXT = re.compile("[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[^\\W\\d_]+|\\d|(?:[^\\w]|_)+")
 
 
-class Pieces(dict):
-    """Lower-case piece -> its ids, by the library's model; emptied when large."""
+class Words(dict):
+    """Word -> its ids, learnt when first met; emptied when large."""
 
-    def __init__(self, model, kind: str):
-        self.model, self.kind = model, kind
-        self.shown = {b: c for c, b in byte_alphabet().items()}
+    def __init__(self, learn: Callable[[str], bytes]):
+        self.learn = learn
 
-    def __missing__(self, piece: str) -> bytes:
-        spelt = piece if piece.isascii() else "".join([self.shown[b] for b in piece.encode()])
-        value = array("H" if self.kind == "<u2" else "I", [x.id for x in self.model.tokenize(spelt)]).tobytes()
-        if len(self) >= CACHE_PIECES:
-            self.clear()
-        self[piece] = value
+    def __missing__(self, word: str) -> bytes:
+        value = self.learn(word)
+        if len(word) <= CACHED_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = value
         return value
 
 
@@ -288,17 +287,20 @@ class WordEncoder:
     The short cut holds for files of the shape "word" (see tokenizers_io): with any
     other the library gets whole texts. This tokenizer's file drops white space, composes characters (never over white
     space) and splits pieces within words, so a text's ids are its words' ids. A new
-    word is mostly a known piece with other punctuation or capitals: its pieces are
-    cached as well.
+    word is mostly a known one with other punctuation or capitals, so its pieces are
+    looked up as words.
     """
 
     def __init__(self, path: str):
         self.library = library(path)
-        self.cache: dict[str, bytes] = {}
+        # Texts of plain words in lower case have a cache of their own: no word of theirs is looked at again.
+        self.plain, self.odd = Words(self.learn_plain), Words(self.learn)
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.bits = max(1, (size - 1).bit_length())
         self.kind = "<u2" if self.bits <= 16 else "<u4"
-        self.pieces = Pieces(self.library.model, self.kind)
+        self.typecode = "H" if self.kind == "<u2" else "I"
+        self.model = self.library.model
+        self.shown = {b: c for c, b in byte_alphabet().items()}
         self.by_words = shape(path) == "word"
 
     def words(self, text: str) -> tuple[list[str], bool]:
@@ -308,29 +310,27 @@ class WordEncoder:
         # U+001C to U+001F separate words for str.split() but not for the library.
         return _WORDS.findall(text) if _ODD.search(text) else text.split(), False
 
-    def learn(self, word: str, plain: bool = False) -> bytes:
-        if plain or (_PLAIN.fullmatch(word) and "<|" not in word):
-            return b"".join([self.pieces[p] for p in _PIECES.findall(word if plain else word.lower())])
+    def learn_plain(self, word: str) -> bytes:
+        """A plain word in lower case: a piece, or pieces that are words themselves."""
+        if not word.isalpha():
+            found = [word[:-1], word[-1]] if word[:-1].isalpha() else _PIECES.findall(word)
+            if len(found) > 1:
+                return b"".join([self.plain[p] for p in found])
+        spelt = word if word.isascii() else "".join([self.shown[b] for b in word.encode()])
+        return array(self.typecode, [x.id for x in self.model.tokenize(spelt)]).tobytes()
+
+    def learn(self, word: str) -> bytes:
+        if _PLAIN.fullmatch(word) and "<|" not in word:
+            return self.plain[word.lower()]
         return np.array(self.library.encode(word, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_words:
             return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        known, result = self.cache, []
+        result = []
         for text in texts:
             row, plain = self.words(text)
-            got = list(map(known.get, row))
-            for i in [i for i, value in enumerate(got) if value is None]:
-                word = row[i]
-                value = known.get(word)
-                if value is None:
-                    value = self.learn(word, plain)
-                    if len(word) <= CACHED_CHARS:
-                        known[word] = value
-                got[i] = value
-            result.append(b"".join(got))
+            result.append(b"".join(map((self.plain if plain else self.odd).__getitem__, row)))
         return result
 
 
@@ -420,8 +420,8 @@ def read_documents(spark: SparkSession, out: str) -> DataFrame:
     starts = sizes.select("part", "seq", F.coalesce(F.sum("n_tokens").over(inner), F.lit(0)).alias("seq_start")).join(parts, "part")
     starts = starts.select("part", "seq", (F.col("part_start") + F.col("seq_start")).alias("shard_start"))
     n = sizes.count()
-    # Names are short: dealt anew, so that a task reads few files.
-    rows = shards.select("part", "seq", "file").repartition(max(1, min(n, READERS)), "part", "seq").mapInPandas(run, "doc_id long, part int, seq int, place long, n_tokens long, ids_crc32 long")
+    # Names are short: dealt anew, so that a task reads a few files.
+    rows = shards.select("part", "seq", "file").repartition(max(1, -(-n // FILES)), "part", "seq").mapInPandas(run, "doc_id long, part int, seq int, place long, n_tokens long, ids_crc32 long")
     joined = rows.join(small(starts, n, 32), ["part", "seq"])
     return joined.select("doc_id", (F.col("shard_start") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
 
