@@ -175,6 +175,27 @@ def hyperedge_vertices(edges: DataFrame) -> DataFrame:
     return edges.select("edge_id", "kind", "weight", "memory", F.explode("vertices").alias("v")).select("edge_id", "kind", "weight", "memory", "v.entity", "v.role")
 
 
+def hyperedges_added(edges: DataFrame, new: DataFrame) -> DataFrame:
+    """The hyperedges with new ones (kind, weight, memory, vertices); an edge without a
+    vertex is rejected, one of equal kind, memory and vertices is there already. Ids follow
+    from the content, so a write that is tried again adds nothing."""
+    key = lambda df: F.xxhash64(df["kind"], df["memory"], F.array_sort(df["vertices"]))
+    rows = new.where(F.size("vertices") > 0)
+    rows = rows.withColumn("_key", key(rows)).dropDuplicates(["_key"])
+    fresh = rows.join(edges.select(key(edges).alias("_key")), "_key", "left_anti")
+    return edges.unionByName(fresh.withColumn("edge_id", F.col("_key")).select(*edges.columns))
+
+
+def hyperedges_boosted(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The hyperedges, those of two vertices heavier by what each pair (a, b, boost) of
+    their entities adds, whichever comes first."""
+    two = F.size("vertices") == 2
+    names = F.array_sort(F.transform("vertices", lambda v: v["entity"]))
+    wanted = pairs.groupBy(F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b")).agg(F.sum("boost").alias("_boost"))
+    rows = edges.withColumn("_a", F.when(two, F.get(names, F.lit(0)))).withColumn("_b", F.when(two, F.get(names, F.lit(1))))
+    return rows.join(wanted, ["_a", "_b"], "left").withColumn("weight", F.col("weight") + F.coalesce("_boost", F.lit(0.0))).select(*edges.columns)
+
+
 def co_occurring(vertices: DataFrame) -> DataFrame:
     """a, b, n: entities of one hyperedge, a < b. Hyperedges are short."""
     own = vertices.groupBy("edge_id").agg(F.array_sort(F.collect_set("entity")).alias("tags"))

@@ -129,6 +129,23 @@ _add(
     f"""WITH {_HV}, s AS (SELECT c AS start, memory, c, m FROM hv WHERE c IN ('c1', 'c20')), e AS (SELECT DISTINCT start, unnest([c, m]) AS x FROM s), h AS (SELECT DISTINCT start, hv.memory FROM e JOIN hv ON hv.c = x OR hv.m = x)
       SELECT start, count(*) AS n, max(memory) AS last FROM h GROUP BY start""",
 )
+_add(
+    "hyperedge_boost",
+    lambda spark, sf_dir: g.hyperedges_boosted(
+        hyperedges(spark, sf_dir), read(spark, sf_dir, "customer").where("c_custkey % 4 = 0").select(F.lit("m1995-03").alias("a"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("b"), F.lit(0.25).alias("boost"))
+    ).select("edge_id", F.round("weight", 6).alias("weight")),
+    f"WITH {_HV} SELECT memory AS edge_id, round(1 + CASE WHEN m = 'm1995-03' AND substr(c, 2)::BIGINT IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 = 0) THEN 0.25 ELSE 0 END, 6)::DOUBLE AS weight FROM hv",
+)
+
+
+def added_hyperedges(spark, sf_dir):
+    """Half of the orders' hyperedges, then all of them, and one without vertices."""
+    rows = hyperedges(spark, sf_dir)
+    none = rows.limit(1).withColumn("vertices", F.slice("vertices", 1, 0)).withColumn("memory", F.lit(-1).cast(rows.schema["memory"].dataType))
+    return g.hyperedges_added(rows.where("edge_id % 2 = 0"), rows.unionByName(none)).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("memory").alias("memories"))
+
+
+_add("hyperedge_add", added_hyperedges, "SELECT 0 AS kind, count(*) AS n, count(DISTINCT o_orderkey) AS memories FROM orders")
 _add(
     "hyperedge_decay",
     lambda spark, sf_dir: hyperedges(spark, sf_dir).withColumn("weight", (F.col("edge_id") % 10) / 10.0 * 0.95).where("weight >= 0.5").select("edge_id", F.round("weight", 6).alias("weight")),
