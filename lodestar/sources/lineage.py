@@ -41,9 +41,23 @@ def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
     return fewer(df, rows).checkpoint(eager=True)
 
 
+_MADE: list[str] = []
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return os.path.join(ensure_checkpoints(spark), f"{name}-{uuid.uuid4().hex}")
+    """A new path in the shared folder; what is written there stays until ``swept``."""
+    path = os.path.join(ensure_checkpoints(spark), f"{name}-{uuid.uuid4().hex}")
+    _MADE.append(path)
+    return path
+
+
+def swept(spark: SparkSession) -> int:
+    """Delete the tables that this driver's queries have written to the shared folder; to be
+    called when their results have been read. Returns how many there were."""
+    made, _MADE[:] = list(_MADE), []
+    for path in made:
+        removed(spark, path)
+    return len(made)
 
 
 def _path(spark: SparkSession, folder: str):

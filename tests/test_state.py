@@ -53,7 +53,7 @@ def test_engine_opens_its_folder_again(spark, tmp_path):
     third = MemoryEngine(spark, path, files.hashed_embedder(16), now_ms=lambda: 10**12)
     assert third.status() == {"EPISODIC": 1} and third.inspect(1)["pinned"] and third.version == 3
     # A change writes the rows that it concerns, not the table.
-    assert spark.read.parquet(f"{path}/change-2").count() == 1
+    assert spark.read.parquet(f"{path}/memories/change-2").count() == 1
     third.vacuum()
     assert MemoryEngine(spark, path, files.hashed_embedder(16)).memories().count() == 1
 
@@ -177,3 +177,48 @@ def test_index_recall(spark):
 
     found = {r["index"]: r["recall"] for r in __spark_entry__.queries()["index_recall"](spark, "/root/testdata/sf0.01").collect()}
     assert len(found) == 4 and min(found.values()) >= 0.9
+
+
+def test_engine_facts_notes_and_replicas(spark, tmp_path):
+    from lodestar.engine import MemoryEngine
+
+    clock = [1_000]
+    new = lambda name: MemoryEngine(spark, str(tmp_path / name), files.hashed_embedder(16), now_ms=lambda: clock[0])
+    engine, other = new("a"), new("b")
+    facts_ = lambda *rows: spark.createDataFrame(list(rows), "fact_id long, subject long, predicate string, object long")
+    engine.assert_facts(facts_((1, 7, "lives_in", 100), (2, 100, "part_of", 200)))
+    clock[0] = 2_000
+    engine.assert_facts(facts_((3, 7, "lives_in", 101)))
+    again = new("a")
+    assert {r["fact_id"] for r in again.facts(valid_at=1_500).collect()} == {1, 2} and {r["fact_id"] for r in again.facts(valid_at=2_500).collect()} == {2, 3}
+    assert {(r["fact_id"], r["superseded_by"]) for r in again.fact_history().where("predicate = 'lives_in'").collect()} == {(1, 3), (3, None)}
+    assert {tuple(r["nodes"]) for r in again.graph_recall(7).collect()} >= {(7, 100), (7, 101), (7, 100, 200)}
+    again.retract(3, by=4)
+    assert 3 not in {r["fact_id"] for r in again.facts().collect()}
+    engine.note("plan", "buy apples")
+    engine.note("old", "x")
+    engine.note("old", None)
+    assert new("a").notes() == {"plan": "buy apples"}
+    engine.remember(spark.createDataFrame([(1, "red apples", 5), (2, "blue skies", 5)], "id long, text string, session_id long"))
+    engine.remind(1, 1_500)
+    engine.remind(2, 9_000)
+    assert [(r["id"], r["text"]) for r in engine.reminders_due().collect()] == [(1, "red apples")]
+    other.remember(spark.createDataFrame([(2, "blue skies", 5), (3, "sour grapes", 6)], "id long, text string, session_id long"))
+    other.forget(2)
+    assert {r["id"]: r["change"] for r in engine.would_change(other).collect()} == {2: True}
+    engine.merge_from(other)
+    assert engine.status() == {"EPISODIC": 2} and engine.inspect(2)["tombstoned"] and engine.inspect(3)["text"] == "sour grapes"
+    assert [r["id"] for r in engine.session(5).collect()] == [1] and [r["id"] for r in engine.unresolved().collect()] == [1, 3]
+    engine.export_bundle(str(tmp_path / "bundle"))
+    third = new("c")
+    third.import_bundle(str(tmp_path / "bundle"))
+    assert third.status() == {"EPISODIC": 2} and third.facts().count() == engine.facts().count()
+    assert third.replay().count() == 2 and third.tombstone_ratios().count() == 1 and third.consolidation_due(0).first()["changes"] == 3
+
+
+def test_written_tables_can_be_swept(spark, tmp_path):
+    lineage._MADE.clear()
+    path = lineage.shared_folder(spark, "swept")
+    spark.range(3).write.parquet(path)
+    assert lineage.swept(spark) == 1 and lineage.swept(spark) == 0
+    assert lineage.committed(spark, path.rsplit("/", 1)[0]).count(path.rsplit("/", 1)[1]) == 0
