@@ -39,7 +39,7 @@ FACTORS = 8
 Z = 3.0
 MIN_ROWS = 3
 #: Partners are looked for among the rows of so many of the clearest terms, with this distance.
-STRONG, PAIR_Z = 64, 4.0
+STRONG, PAIR_Z = 16, 5.0
 #: Bytes of terms that go to the driver at most; beyond, a hash of the id chooses fewer rows.
 TRAIN_BYTES = 128 << 20
 BEGINNINGS = (4, 5, 6, 8)
@@ -106,14 +106,17 @@ def distances(rows: list[np.ndarray], labels: np.ndarray, least: int) -> tuple[n
     negative = len(labels) - positive
     if not positive or not negative:
         return np.zeros(0, dtype=np.int32), np.zeros(0)
-    sizes = [len(row) for row in rows]
-    places, at = np.unique(np.concatenate(rows), return_inverse=True)
-    both = np.bincount(at, minlength=len(places))
-    hits = np.bincount(at, weights=np.repeat(labels == 1, sizes), minlength=len(places))
-    share = both / len(labels)
+    # Counted row by row in two small arrays: the rows of all terms at once would be copied.
+    both, hits = np.zeros(PLACES, dtype=np.int32), np.zeros(PLACES, dtype=np.int32)
+    for row, label in zip(rows, labels, strict=True):
+        both[row] += 1  # a row's places are distinct
+        if label == 1:
+            hits[row] += 1
+    places = np.flatnonzero(both >= least)
+    n, own = both[places].astype(float), hits[places].astype(float)
+    share = n / len(labels)
     error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / positive + 1 / negative))
-    apart = np.abs(hits / positive - (both - hits) / negative) / error
-    return places[both >= least].astype(np.int32), apart[both >= least]
+    return places.astype(np.int32), np.abs(own / positive - (n - own) / negative) / error
 
 
 def informative(rows: list[np.ndarray], labels: np.ndarray, z: float = Z, least: int = MIN_ROWS, strong: int = STRONG, pair_z: float = PAIR_Z) -> np.ndarray:
@@ -125,11 +128,16 @@ def informative(rows: list[np.ndarray], labels: np.ndarray, z: float = Z, least:
     """
     places, apart = distances(rows, labels, least)
     chosen = [places[apart >= z]]
-    for place in places[np.argsort(-apart, kind="stable")[:strong]].tolist():
-        held = np.array([(k := np.searchsorted(row, place)) < len(row) and row[k] == place for row in rows])
-        if held.any():
-            own, far = distances([row for row, h in zip(rows, held, strict=True) if h], labels[held], least)
-            chosen.append(own[far >= pair_z])
+    clearest = places[np.argsort(-apart, kind="stable")[:strong]]
+    number = np.zeros(PLACES, dtype=np.int16)
+    number[clearest] = np.arange(1, len(clearest) + 1)
+    holders: list[list[int]] = [[] for _ in clearest]
+    for i, row in enumerate(rows):
+        for k in (found := number[row])[found > 0].tolist():
+            holders[k - 1].append(i)
+    for held in holders:
+        own, far = distances([rows[i] for i in held], labels[held], least)
+        chosen.append(own[far >= pair_z])
     return np.unique(np.concatenate(chosen)).astype(np.int32)
 
 
@@ -189,11 +197,10 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int
     size = found.agg(F.coalesce(F.sum(F.octet_length("terms") + 24), F.lit(0)).alias("n")).first()["n"]
     if size > TRAIN_BYTES:
         found = found.where(F.pmod(F.xxhash64("doc_id", F.lit("bytes")), F.lit(1 << 30)) < int((1 << 30) * TRAIN_BYTES / size))
-    rows = found.collect()
+    rows = sorted((r["doc_id"], r["label"], bytes(r["terms"])) for r in found.toLocalIterator())
     if not rows:
         return None
-    rows.sort(key=lambda r: (r["doc_id"], r["label"], bytes(r["terms"])))
-    return fit([np.frombuffer(r["terms"], np.int32) for r in rows], np.array([r["label"] == 1 for r in rows], dtype=float))
+    return fit([np.frombuffer(body, np.int32) for _, _, body in rows], np.array([label == 1 for _, label, _ in rows], dtype=float))
 
 
 def score(machine: Machine | None, text: Column) -> Column:

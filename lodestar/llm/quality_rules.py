@@ -11,7 +11,7 @@ copies are told from documents that share a block of lines by what is left of th
 without the lines that reach the limits: an edited copy's own lines are versions of
 its original's lines and so share most of their three-word windows with other copies'
 lines, while documents that only share a block have own lines of their own. So each
-text with a fifth or more of its words in such lines gets eight keys, the least of
+text with a twentieth or more of its words in such lines gets eight keys, the least of
 eight hashes of the windows of its own lines; a text that shares two keys or more with
 earlier texts of its host (by digest) is an edited copy and does not count. What is
 shared never enters a key, so a block of lines is counted right whatever its length.
@@ -28,6 +28,7 @@ many documents, by a salt.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,7 +49,7 @@ class Rules:
     min_share: float = 0.01
     min_left_percent: int = 20
     #: From this share of its words in lines that reach the limits, a text may be an edited copy.
-    copy_percent: int = 20
+    copy_percent: int = 5
 
 
 RULES = Rules()
@@ -172,9 +173,12 @@ def own_keys(text: Column, asked: Column, percent: int) -> Column:
         grams = F.transform(words, lambda x, i: text_digest(F.concat_ws(" ", x, *[F.get(words, i + k) for k in range(1, SHINGLE)])))
         return F.slice(grams, F.lit(1), F.greatest(F.size(words) - (SHINGLE - 1), F.lit(1)))
 
+    def flipped(mask: int) -> Callable[[Column], Column]:
+        return lambda x: x.bitwiseXOR(F.lit(mask))
+
     def least(grams: Column) -> Column:
         # A constant's bits flipped give each key another order of the windows' hashes.
-        return F.array(*[F.struct(F.lit(k).alias("k"), F.array_min(F.transform(grams, lambda x, m=m: x.bitwiseXOR(F.lit(m)))).alias("x")) for k, m in enumerate(MASKS)])
+        return F.array(*[F.struct(F.lit(k).alias("k"), F.array_min(F.transform(grams, flipped(m))).alias("x")) for k, m in enumerate(MASKS)])
 
     own = let(F.array_distinct(normal_lines(text)), shares)
     return let(own, lambda x: F.when(F.size(x) > 0, let(let(F.split(F.concat_ws(" ", x), " "), windows), least)))
@@ -274,7 +278,7 @@ tw AS (SELECT host, t, h, length(h) - length(replace(h, ' ', '')) + 1 AS n FROM
 reached AS (SELECT tw.host, h, greatest(10.0::DOUBLE, n_docs * 0.01::DOUBLE) AS lim FROM tw JOIN host USING (host)
             GROUP BY tw.host, h, n_docs HAVING count(*) >= 10 AND count(*) >= n_docs * 0.01::DOUBLE),
 heavy AS (SELECT tw.host, t FROM tw LEFT JOIN reached r ON tw.host = r.host AND tw.h = r.h GROUP BY tw.host, t
-          HAVING count(r.h) > 0 AND 100 * sum(CASE WHEN r.h IS NOT NULL THEN n ELSE 0 END) >= 20 * sum(n)),
+          HAVING count(r.h) > 0 AND 100 * sum(CASE WHEN r.h IS NOT NULL THEN n ELSE 0 END) >= 5 * sum(n)),
 first_at AS (SELECT host, t, trim(regexp_replace(lower(line), '[\x20\x09\x0B-\x0D]+', ' ', 'g')) AS h, min(i) AS i
              FROM (SELECT host, t, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM t) GROUP BY ALL),
 own AS (SELECT o.host, o.t, string_split(string_agg(o.h, ' ' ORDER BY i), ' ') AS ws FROM first_at o JOIN heavy USING (host, t)

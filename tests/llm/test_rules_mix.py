@@ -65,7 +65,7 @@ def brute_lines(rows):
         for t, lines in own.items():
             common = sum(len(x.split(" ")) for x in lines if x in reached)
             rest = " ".join(x for x in lines if x not in reached).split()
-            if not common or not rest or 100 * common < 20 * sum(len(x.split(" ")) for x in lines):
+            if not common or not rest or 100 * common < 5 * sum(len(x.split(" ")) for x in lines):
                 continue
             grams = [int(hashlib.md5(" ".join(rest[i : i + 3]).encode()).hexdigest()[:15], 16) for i in range(max(1, len(rest) - 2))]
             keys[t] = [(k, min(g ^ m for g in grams)) for k, m in enumerate(quality_rules.MASKS)]
