@@ -171,7 +171,7 @@ def odd_options(spark, sf_dir):
 
 
 _add(
-    "option_warnings",
+    "recall_option_warnings",
     odd_options,
     """SELECT doc_id, list_filter([CASE WHEN doc_id % 5 - 1 <= 0 THEN 'top_k must be positive' END, CASE WHEN doc_id % 3 > 0 AND (doc_id % 7) / 4 > 1 THEN 'mmr_lambda is outside 0..1' END, CASE WHEN (doc_id % 4) / 2 - 0.5 <= 0 THEN 'temperature must be positive' END,
       CASE WHEN doc_id % 200 - 100 > 50 THEN 'min_valence exceeds max_valence' END, CASE WHEN (doc_id % 6) / 4 + 0.4::DOUBLE > 1.5 THEN 'alpha and beta together exceed 1.5' END], lambda x: x IS NOT NULL) AS warnings FROM documents""",
