@@ -121,7 +121,8 @@ def why_not(scored: DataFrame, gates: Gates, now_ms: int, suppressions: DataFram
 
 def mmr(candidates: DataFrame, k: int = 10, balance: float = 0.5) -> DataFrame:
     """Greedy diversity: balance * score - (1 - balance) * the largest 1 / (1 + L2) to one
-    taken. candidates: query_id, id, score, vector, few for each query; adds place."""
+    taken. candidates: query_id, id, score, vector, GROUP for each query at most; adds place."""
+    candidates = bounded_groups(candidates, "query_id", GROUP, "query")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["score", "id"], ascending=[False, True]).reset_index(drop=True)
@@ -293,9 +294,22 @@ def hopfield(patterns: DataFrame, queries: DataFrame, beta: float = 8.0, steps:
     return patterns.sparkSession.createDataFrame(rows, "query_id long, state array<double>, energy double")
 
 
+#: Vectors of a group whose Gram matrix one task holds.
+GROUP = 2_048
+
+
+def bounded_groups(rows: DataFrame, key: str, most: int, what: str) -> DataFrame:
+    """The rows, if no group has more than so many of them."""
+    large = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > most).select(key).take(1)
+    if large:
+        raise ValueError(f"{what} {large[0][0]} has more than {most} rows")
+    return rows
+
+
 def integrated_information(groups: DataFrame, regularization: float = 1e-3) -> DataFrame:
     """group_id, vector -> phi: log-determinant of the diagonal minus that of the Gram
-    matrix of a group's vectors; groups are small by choice."""
+    matrix of a group's vectors. Groups are small by choice, GROUP vectors at most."""
+    groups = bounded_groups(groups, "group_id", GROUP, "group")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(frame.sort_values("id")["vector"].to_list())

@@ -144,8 +144,14 @@ for _kind in ("turbo", "svasq"):
 _CENTRES = "c AS (SELECT label, list(m ORDER BY i) AS m FROM (SELECT label, i, avg(v[i]) AS m FROM (SELECT label, v, unnest(range(1, len(v) + 1)) AS i FROM e) GROUP BY label, i) GROUP BY label)"
 
 
+#: Cells of an index by label: their centres go to the driver and to every task.
+CELLS = 65_536
+
+
 def label_centres(spark, sf_dir) -> np.ndarray:
-    """The mean vector of each label: as many as there are labels."""
+    """The mean vector of each label: as many as there are labels, CELLS at most."""
+    if base(spark, sf_dir).select("label").distinct().count() > CELLS:
+        raise ValueError(f"more than {CELLS} labels: choose centres by k_means instead")
     each = base(spark, sf_dir).select("label", F.posexplode("vector").alias("d", "x")).groupBy("label", "d").agg(F.avg("x").alias("x"))
     rows = each.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("d", "x"))).alias("m")).orderBy("label").collect()
     return np.array([[e["x"] for e in r["m"]] for r in rows])

@@ -222,3 +222,14 @@ def test_written_tables_can_be_swept(spark, tmp_path):
     spark.range(3).write.parquet(path)
     assert lineage.swept(spark) == 1 and lineage.swept(spark) == 0
     assert lineage.committed(spark, path.rsplit("/", 1)[0]).count(path.rsplit("/", 1)[1]) == 0
+
+
+def test_groups_are_bounded(spark, monkeypatch):
+    from lodestar.operators import recall
+
+    rows = spark.createDataFrame([(1, i, 1.0, [float(i), 1.0]) for i in range(6)], "query_id long, id long, score double, vector array<double>")
+    assert recall.mmr(rows, 3).count() == 3
+    monkeypatch.setattr(recall, "GROUP", 5)
+    for call in (lambda: recall.mmr(rows, 3), lambda: recall.integrated_information(rows.withColumnRenamed("query_id", "group_id"))):
+        with pytest.raises(ValueError, match="more than 5"):
+            call()
