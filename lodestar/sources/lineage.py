@@ -31,7 +31,8 @@ FILE_ROWS = 100_000
 
 
 def fewer(df: DataFrame, rows: int | None) -> DataFrame:
-    """The table in no more parts than its rows (known, or bounded) need."""
+    """The table in no more parts than its rows (known, or bounded) need. Fewer parts are
+    fewer tasks of the stage that makes it: the rows are to be those that it reads, too."""
     return df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))
 
 
