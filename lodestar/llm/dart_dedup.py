@@ -272,9 +272,10 @@ def node_labels(nodes: DataFrame, threshold: float = SIMILARITY, weights: str =
     # Buckets of one node tell nothing; sums come before the shuffle, so a bucket
     # that a third of all texts share is no hot task.
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last"), F.count("*").alias("n")).where("centre < last").drop("last")
-    shared = written(shared, "shared", buckets.count())
+    n_buckets = buckets.count()
+    shared = written(shared, "shared", n_buckets)
     n_members = shared.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    members = written(met(buckets, shared, ["bucket"], 24).select("bucket", "node", "centre"), "members", n_members)
+    members = written(met(buckets, shared, ["bucket"], 24).select("bucket", "node", "centre"), "members", n_buckets)
     touched = members.select("node").distinct()
     sets = written(element_rows(nodes.join(touched, "node", "left_semi"), weights, n), "sets")
     pairs = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()

@@ -193,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int
             yield pd.DataFrame({"doc_id": frame["doc_id"], "label": frame["label"], "terms": [terms(x).tobytes() for x in frame["text"]]})
 
     chosen = labelled_texts(docs, bounded_labels(labels, column, folds, held_out, bound))
-    found = written(chosen.mapInPandas(run, "doc_id long, label int, terms binary"), "terms", bound)
+    found = written(chosen.mapInPandas(run, "doc_id long, label int, terms binary"), "terms")
     size = found.agg(F.coalesce(F.sum(F.octet_length("terms") + 24), F.lit(0)).alias("n")).first()["n"]
     if size > TRAIN_BYTES:
         found = found.where(F.pmod(F.xxhash64("doc_id", F.lit("bytes")), F.lit(1 << 30)) < int((1 << 30) * TRAIN_BYTES / size))
